@@ -6,21 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsewright.llm import substring_trees
+from pulsewright.llm import setsketch_dedup, substring_trees, winnow_decontam
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_winnow_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow_decontam.digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op7_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch_dedup.digest(_documents(spark, sf_dir))
+
+
 def op10_substring_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_trees.digest(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_winnow_decontam": op3_winnow_decontam,
+    "op7_setsketch_dedup": op7_setsketch_dedup,
     "op10_substring_trees": op10_substring_trees,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_winnow_decontam": winnow_decontam.ORACLE_SQL,
+    "op7_setsketch_dedup": setsketch_dedup.ORACLE_SQL,
     "op10_substring_trees": substring_trees.ORACLE_SQL,
 }

@@ -6,33 +6,67 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsewright.llm import setsketch_dedup, substring_trees, winnow_decontam
+from pulsewright.llm import language_id, pfair_mix, pii_bootstrap, quality_rules, setsketch_dedup, substring_trees, token_files, winnow_decontam
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary; at the same place on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digest(_documents(spark, sf_dir), tokenizer_path())
+
+
+def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair_mix.digest(_documents(spark, sf_dir))
+
+
 def op3_winnow_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow_decontam.digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(_documents(spark, sf_dir))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.digest(_documents(spark, sf_dir))
+
+
 def op7_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch_dedup.digest(_documents(spark, sf_dir))
 
 
+def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_bootstrap.digest(_documents(spark, sf_dir))
+
+
 def op10_substring_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_trees.digest(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
+    "op2_pfair_mix": op2_pfair_mix,
     "op3_winnow_decontam": op3_winnow_decontam,
+    "op4_language_id": op4_language_id,
+    "op6_quality_rules": op6_quality_rules,
     "op7_setsketch_dedup": op7_setsketch_dedup,
+    "op8_pii_bootstrap": op8_pii_bootstrap,
     "op10_substring_trees": op10_substring_trees,
 }
 
+#: None for the others: models, schedules and files are not SQL; they are tested against brute force.
 ORACLES: dict[str, str] = {
     "op3_winnow_decontam": winnow_decontam.ORACLE_SQL,
+    "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op7_setsketch_dedup": setsketch_dedup.ORACLE_SQL,
     "op10_substring_trees": substring_trees.ORACLE_SQL,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsewright.llm import language_id, pfair_mix, pii_bootstrap, quality_rules, setsketch_dedup, substring_trees, token_files, winnow_decontam
+from pulsewright.llm import language_id, pfair_mix, pii_bootstrap, quality_rules, setsketch_dedup, substring_trees, suffix_cover_dedup, token_files, weak_quality, winnow_decontam
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digest(_documents(spark, sf_dir))
 
 
+def op5_suffix_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_cover_dedup.digest(_documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(_documents(spark, sf_dir))
 
@@ -48,6 +52,10 @@ def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_bootstrap.digest(_documents(spark, sf_dir))
 
 
+def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.digest(_documents(spark, sf_dir))
+
+
 def op10_substring_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_trees.digest(_documents(spark, sf_dir))
 
@@ -57,9 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pfair_mix": op2_pfair_mix,
     "op3_winnow_decontam": op3_winnow_decontam,
     "op4_language_id": op4_language_id,
+    "op5_suffix_cover_dedup": op5_suffix_cover_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_setsketch_dedup": op7_setsketch_dedup,
     "op8_pii_bootstrap": op8_pii_bootstrap,
+    "op9_weak_quality": op9_weak_quality,
     "op10_substring_trees": op10_substring_trees,
 }
 

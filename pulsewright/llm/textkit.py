@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17
 
 _SEED = np.random.Generator(np.random.PCG64(20240607))
 #: A random odd multiplier and a random value per byte for polynomial hashing modulo 2**64.

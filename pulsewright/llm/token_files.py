@@ -8,7 +8,8 @@ its documents (doc_id, start within the shard, n_tokens). Tokens of one document
 after the other, each closed by the end id, fill the sequences without gaps.
 
 Encoding: a byte-level tokenizer starts a new piece at every single space
-between two other characters, so texts are cut there, each distinct piece is
+between two other characters (and at other places that surely are boundaries),
+so texts are cut there, each distinct piece is
 encoded once (and kept), and the ids are put together by gathering. The ids are
 those of whole texts.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,37 +38,92 @@ from pulsewright.llm import textkit as K
 LENGTH = 2048
 BATCH = 512
 END = 0
-CACHE_PIECES = 400_000
+#: Pieces that a Python worker keeps: some 20 bytes each.
+CACHE_PIECES = 3_000_000
 
 _held: dict = {}
 
 
-def tokenizer(path: str):
-    """The tokenizer of a file, loaded once per Python worker; strings of special tokens in a text are ordinary text."""
-    if path not in _held:
+class Pieces:
+    """Ids of the pieces seen so far, found by their hash: sorted keys, and where each one's ids stand in a pool."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _held[path] = (t, {})
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.starts, self.lengths, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the known keys, whether it is known) of each key."""
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        return at, known
+
+    def look_up(self, keys: np.ndarray, text_of) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths in the pool of sorted, distinct keys; text_of(i) gives the texts of those not known."""
+        at, known = self.find(keys)
+        if not known.all():
+            if len(self.keys) + len(keys) > CACHE_PIECES:
+                self.clear()
+                at, known = self.find(keys)
+            new = np.flatnonzero(~known)
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(text_of(new), add_special_tokens=False)]
+            lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+            starts = len(self.pool) + np.cumsum(lengths) - lengths
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(encoded), self.kind, int(lengths.sum()))])
+            self.keys, self.starts, self.lengths = np.insert(self.keys, at[new], keys[new]), np.insert(self.starts, at[new], starts), np.insert(self.lengths, at[new], lengths)
+            at, _ = self.find(keys)
+        return self.starts[at], self.lengths[at]
+
+
+def pieces_of(path: str) -> Pieces:
+    """The tokenizer of a file and its pieces, once per Python worker; strings of special tokens in a text are ordinary text."""
+    if path not in _held:
+        _held[path] = Pieces(path)
     return _held[path]
 
 
 def id_type(path: str) -> type:
-    return np.uint16 if tokenizer(path)[0].get_vocab_size() <= 1 << 16 else np.uint32
+    return pieces_of(path).kind
+
+
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK[33:127] = True
+_MARK[48:58] = _MARK[65:91] = _MARK[97:123] = False
+_MARK[ord("'")] = False
 
 
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where pieces start (at rows, and at single spaces between characters that are surely not white space), and the rows' offsets into them."""
+    """Where pieces start, and the rows' offsets into them.
+
+    Pieces start with rows; at a single space or line feed between characters
+    that are surely not white space, and behind such a line feed; and at an
+    ASCII mark behind a Latin letter. A byte-level tokenizer has a boundary at each.
+    """
     n = len(data)
-    at = np.flatnonzero(data == 0x20)
+    safe = np.zeros(n + 1, bool)
+    at = np.flatnonzero((data == 0x20) | (data == 0x0A))
     at = at[(at > 0) & (at < n - 1)]
     p1, p2, p3, q = data[at - 1], data[at - 2], data[at - 3], data[at + 1]
     before = (p1 > 0x20) & (p1 < 0x7F) | (p1 >= 0x80) & ((p2 >= 0xC3) & (p2 <= 0xDF) | (p2 >= 0x80) & (p2 < 0xC0) & (p3 >= 0xE4))
     after = (q > 0x20) & (q < 0x7F) | (q >= 0xC3) & ((q < 0xE1) | (q > 0xE3))
-    safe = np.zeros(n + 1, bool)
-    safe[at[before & after]] = True
-    safe[offsets[1:-1] - 1] = False  # a row's last character
+    at = at[before & after]
+    safe[at] = True
+    safe[at[data[at] == 0x0A] + 1] = True
+    mark = np.flatnonzero(_MARK[data])
+    mark = mark[mark > 1]
+    p1, p2 = data[mark - 1], data[mark - 2]
+    safe[mark[_LETTER[p1] | (p2 == 0xC3) & (p1 >= 0x80) & (p1 != 0x97) & (p1 != 0xB7)]] = True
+    ends = offsets[1:-1]
+    last = ends[ends > 0] - 1  # white space at a row's end is not between two characters of it
+    safe[last[(data[last] == 0x20) | (data[last] == 0x0A)]] = False
     safe[offsets[:-1]] = True
     safe[n] = False
     starts = np.flatnonzero(safe)
@@ -76,34 +133,26 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def encode(data: np.ndarray, offsets: np.ndarray, path: str, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows, each closed by the end id, and the rows' offsets into them."""
-    t, cache = tokenizer(path)
-    kind = id_type(path)
+    held = pieces_of(path)
     if not len(data):
-        return np.full(len(offsets) - 1, end, kind), np.arange(len(offsets))
+        return np.full(len(offsets) - 1, end, held.kind), np.arange(len(offsets))
     starts, cut = piece_starts(data, offsets)
     ends = np.append(starts[1:], len(data))
     h = K.span_hash(K.prefix_hash(K.BYTE_VALUE[data]), starts, ends)
-    unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    keys = unique.tolist()
-    ids = [cache.get(k) for k in keys]
-    missing = [i for i, x in enumerate(ids) if x is None]
-    if missing:
-        if len(cache) + len(missing) > CACHE_PIECES:
-            cache.clear()
-        raw = data.tobytes()
-        texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[first[missing]].tolist(), ends[first[missing]].tolist(), strict=True)]
-        for i, e in zip(missing, t.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids[i] = cache[keys[i]] = np.array(e.ids, kind).tobytes()
-    size = np.dtype(kind).itemsize
-    lengths = np.array([len(x) for x in ids] + [size], np.int64) // size
-    flat = np.frombuffer(b"".join(ids) + np.array([end], kind).tobytes(), kind)
-    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+
+    def texts(which: np.ndarray) -> list[str]:
+        raw, own = data.tobytes(), first[which]
+        return [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
+
+    begin, length = held.look_up(keys, texts)
+    # each row's end id is one more piece, behind the pool
+    begin, length = np.append(begin, len(held.pool)), np.append(length, 1)
     pieces = np.insert(inverse, cut[1:], len(keys))
-    n_of = lengths[pieces]
+    n_of = length[pieces]
     stop = np.cumsum(n_of)
-    out = flat[np.arange(stop[-1]) + np.repeat(begin[pieces] - (stop - n_of), n_of)]
-    rows = np.concatenate([[0], stop[cut[1:] + np.arange(len(cut) - 1)]])
-    return out, rows
+    out = np.append(held.pool, held.kind(end))[np.arange(stop[-1]) + np.repeat(begin[pieces] - (stop - n_of), n_of)]
+    return out, np.concatenate([[0], stop[cut[1:] + np.arange(len(cut) - 1)]])
 
 
 class Shard:
@@ -155,7 +204,7 @@ def _write(folder: str, path: str, length: int, end: int):
             if not b.num_rows:
                 continue
             shard = shard or Shard(name, id_type(path), length)
-            for i, j, data, offsets in K.chunks(b.column("text"), 4 * K.CHUNK_BYTES):
+            for i, j, data, offsets in K.chunks(b.column("text"), 16 * K.CHUNK_BYTES):
                 ids, rows = encode(data, offsets, path, end)
                 shard.add(ids, rows, b.column("doc_id").slice(i, j - i))
         if shard:

@@ -48,6 +48,9 @@ class ControlLimits:
         return healthy.agg(*aggs)
 
     def fit(self, healthy: DataFrame) -> ControlLimits:
+        if not self.features:
+            self.limits = {}
+            return self
         row = self.limits_of(healthy).first()
         self.limits = {f: (row[f"mu_{f}"], row[f"sd_{f}"]) for f in self.features if row[f"mu_{f}"] is not None}
         return self

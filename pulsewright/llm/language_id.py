@@ -28,7 +28,7 @@ from pulsewright.llm import textkit as K
 PER_LANGUAGE = 1500
 MAX_BYTES = 60_000
 #: Share of the calibration texts whose score is below the rejection threshold, and the most that threshold can be.
-REJECTED, MOST = 0.0005, 0.5
+REJECTED, MOST = 0.0005, 0.4
 UNKNOWN = "und"
 
 _ASCII_LETTER = np.zeros(256, bool)

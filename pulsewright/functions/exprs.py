@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, SparkSession
@@ -13,6 +13,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row: inside another lambda it would be computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def safe_ratio(num: str | Column, den: str | Column) -> Column:
     """num / den where den is positive, else null (a bare division raises under ANSI rules)."""
     return F.when(col(den) > 0, col(num) / col(den))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsewright.cluster import ship
-from pulsewright.functions.exprs import array_median, clip, first_argmax
+from pulsewright.functions.exprs import array_median, clip, first_argmax, let
 from pulsewright.operators.windows import ordered, trailing_median, trailing_rows
 
 FAULTS = ("bpfo", "bpfi", "bsf", "ftf")
@@ -34,33 +34,40 @@ def lines(freqs: Mapping[str, float]) -> dict[str, float]:
     return {k: v * (2 if k == "bsf" else 1) for k, v in freqs.items()}
 
 
+def _sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+
+def _centred(a: str | Column) -> Column:
+    """The array as doubles, less its mean."""
+    x = F.transform(F.col(a) if isinstance(a, str) else a, lambda v: v.cast("double"))
+    return let(_sum(x) / F.size(x).cast("double"), lambda m: F.transform(x, lambda v: v - m))
+
+
 def time_domain(a: str | Column) -> dict[str, Column]:
     """rms, peak, p2p, crest, kurtosis (normal = 3) and skewness of an array about its mean, by array functions."""
-    a = F.transform(F.col(a) if isinstance(a, str) else a, lambda x: x.cast("double"))
-    n = F.size(a).cast("double")
-    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, x: s + x)
-    mean = total(a) / n
-    moment = lambda k: total(F.transform(a, lambda x: F.pow(x - mean, F.lit(float(k))))) / n
-    m2 = moment(2)
-    rms = F.sqrt(m2)
-    peak = F.greatest(F.array_max(a) - mean, mean - F.array_min(a))
-    some = lambda c: F.when(rms > 0, c)
-    return {"rms": rms, "peak": peak, "p2p": F.array_max(a) - F.array_min(a), "crest": some(peak / rms), "kurtosis": some(moment(4) / (m2 * m2)), "skewness": some(moment(3) / F.pow(m2, F.lit(1.5)))}
+    mean = lambda z, f: _sum(F.transform(z, f)) / F.size(z).cast("double")
+    m2 = lambda z: mean(z, lambda v: v * v)
+    peak = lambda z: F.greatest(F.array_max(z), -F.array_min(z))
+    some = lambda z, c: F.when(m2(z) > 0, c)
+    parts = {
+        "rms": lambda z: F.sqrt(m2(z)), "peak": peak, "p2p": lambda z: F.array_max(z) - F.array_min(z), "crest": lambda z: some(z, peak(z) / F.sqrt(m2(z))),
+        "kurtosis": lambda z: some(z, mean(z, lambda v: v * v * v * v) / F.pow(m2(z), F.lit(2.0))), "skewness": lambda z: some(z, mean(z, lambda v: v * v * v) / F.pow(m2(z), F.lit(1.5))),
+    }
+    return {k: let(_centred(a), f) for k, f in parts.items()}
 
 
 def dft_power(a: str, n: int, hann: bool = True) -> Column:
     """Array of |rfft|**2 / n of an array of n values about its mean, by array functions; for short arrays (use SpectralFeatures for long ones)."""
-    x = F.transform(F.col(a), lambda v: v.cast("double"))
-    mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
     win = [0.5 - 0.5 * math.cos(2 * math.pi * i / (n - 1)) if hann else 1.0 for i in range(n)]
-    w = F.zip_with(x, F.array(*[F.lit(v) for v in win]), lambda v, h: (v - mean) * h)
+    windowed = F.zip_with(_centred(a), F.array(*[F.lit(v) for v in win]), lambda v, h: v * h)
     step = 2 * math.pi / n
 
-    def power(k: Column) -> Column:
-        part = lambda f: F.aggregate(F.transform(w, lambda v, i: v * f(i * k * step)), F.lit(0.0), lambda s, v: s + v)
+    def power(w: Column, k: Column) -> Column:
+        part = lambda f: _sum(F.transform(w, lambda v, i: v * f(i * k * step)))
         return (F.pow(part(F.cos), F.lit(2.0)) + F.pow(part(F.sin), F.lit(2.0))) / n
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n // 2)), power)
+    return let(windowed, lambda w: F.transform(F.sequence(F.lit(0), F.lit(n // 2)), lambda k: power(w, k)))
 
 
 @dataclass(frozen=True)

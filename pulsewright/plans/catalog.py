@@ -553,6 +553,37 @@ def naive_rul(spark, d):
     return V.naive_life(s).select(big("bearing"), "eval_fraction", r6("actual_rul"), r6("naive_rul"), r6("abs_error"))
 
 
+@query
+def onset_economics(spark, d):
+    """Each limit of the onset rule priced: warnings by their lead, false alarms by inspections."""
+    c = economics.CostModel(parts_delivery_hours=12.0, scheduling_hours=4.0)
+    out = None
+    for k in (0.5, 1.0, 1.5):
+        s = _summary(spark, d, k, _P)
+        e = V.evaluate_onsets(s).select("false_alarms")
+        v = s.agg(F.sum(c.value_of_warning("hours_before_failure")).alias("v")).join(F.broadcast(e))
+        one = v.select(F.lit(k).alias("k"), big("false_alarms"), r6(F.col("v") - F.col("false_alarms") * c.false_inspection, "net_value"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def summary_report(spark, d):
+    """Onset summary joined with the remaining life at 75 %: one row per bearing."""
+    life = _rul(spark, d).filter("eval_fraction = 0.75").select("test", "bearing", "actual_rul", F.round("pred_rul", 3).alias("rul75_pred"))
+    s = _summary(spark, d).join(life, ["test", "bearing"], "left")
+    return s.select(big("bearing"), "known_failure", r6("life_hours"), r6("onset_hours"), r6("actual_rul", "rul75_actual"), "rul75_pred")
+
+
+@query
+def kinematics(spark, d):
+    """Defect frequencies over a grid of shaft speeds, as SQL arithmetic."""
+    ratio = F.lit(0.331 / 2.815) * F.cos(F.radians(F.lit(15.17)))
+    g = spark.range(1, 6).select((F.col("id") * 500).alias("rpm"))
+    hz = F.col("rpm") / 60.0
+    return g.select(big("rpm"), r6(8.0 * hz * (1 - ratio), "bpfo"), r6(8.0 * hz * (1 + ratio), "bpfi"), r6(F.lit(0.5 * 2.815 / 0.331) * hz * (1 - ratio * ratio), "bsf"), r6(0.5 * hz * (1 - ratio), "ftf"))
+
+
 # --- not SQL: models, long transforms, streams --------------------------------------
 
 

@@ -116,13 +116,24 @@ e2 AS (SELECT *, sum(CASE WHEN a THEN 1 ELSE 0 END) OVER (PARTITION BY {by}, isl
 ep AS (SELECT * FROM e2 WHERE a AND rn = {p})"""
 
 
+def onset(k: str) -> str:
+    """False alarms and value of one limit, as a query of its own."""
+    return f"""SELECT {k}::DOUBLE AS k, sum(CASE WHEN kf IS NOT NULL THEN early ELSE len(list_filter(hs, lambda e: first IS NULL OR e < first)) END)::BIGINT AS false_alarms,
+      {r6("sum(CASE WHEN kf IS NULL OR onset IS NULL OR life - onset <= 0 THEN 0.0 WHEN life - onset >= 16 THEN 21000.0 ELSE 16000.0 END) - 500 * sum(CASE WHEN kf IS NOT NULL THEN early ELSE len(list_filter(hs, lambda e: first IS NULL OR e < first)) END)", "net_value")}
+      FROM (WITH {summary(k)} SELECT *, min(CASE WHEN kf IS NOT NULL THEN onset END) OVER () AS first FROM su)"""
+
+
 KNOWN = "known(bearing, known_failure) AS (VALUES " + ", ".join(f"({b}, '{m}')" for _, b, m in B.KNOWN) + ")"
-SUMMARY = f"""{KNOWN}, {HEALTH}, {eps()}, li AS (SELECT bearing, max(hours) AS life FROM hh GROUP BY 1), al AS (SELECT bearing, list(hours ORDER BY hours) AS hs FROM ep GROUP BY 1),
+def summary(k: str = "1.0") -> str:
+    return f"""{KNOWN}, {HEALTH}, {eps(k)}, li AS (SELECT bearing, max(hours) AS life FROM hh GROUP BY 1), al AS (SELECT bearing, list(hours ORDER BY hours) AS hs FROM ep GROUP BY 1),
 s0 AS (SELECT li.*, known_failure AS kf, coalesce(hs, []) AS hs FROM li LEFT JOIN al USING (bearing) LEFT JOIN known USING (bearing)),
 s1 AS (SELECT *, CASE WHEN kf IS NOT NULL THEN list_filter(hs, lambda e: life - e <= 60) ELSE hs END AS ok FROM s0),
 s2 AS (SELECT *, ok[1] AS onset, CASE WHEN kf IS NOT NULL THEN len(hs) - len(ok) ELSE 0 END AS early FROM s1),
 dg AS (SELECT bearing, median(round(z_rms, 6)) AS r, median(round(z_peak, 6)) AS p, median(round(z_kurtosis, 6)) AS q FROM hh JOIN s2 USING (bearing) WHERE hours >= onset GROUP BY 1),
 su AS (SELECT s2.*, CASE WHEN r IS NULL THEN NULL WHEN r >= p AND r >= q THEN 'outer' WHEN p >= q THEN 'inner' ELSE 'roller' END AS diagnosed FROM s2 LEFT JOIN dg USING (bearing))"""
+
+
+SUMMARY = summary()
 RUL = f"""{KNOWN}, {HEALTH}, g AS (SELECT hh.* FROM hh JOIN known USING (bearing)),
 tl AS (SELECT *, row_number() OVER (PARTITION BY bearing ORDER BY hours DESC) AS rn FROM g),
 eol AS (SELECT bearing, median(rms_ratio) AS own_eol, max(hours) AS eol FROM tl WHERE rn <= 6 GROUP BY 1),
@@ -238,6 +249,10 @@ ORACLES: dict[str, str] = {
       SELECT count(CASE WHEN kf IS NOT NULL THEN onset END) AS detected, count(kf) AS failed, {r6('median(CASE WHEN kf IS NOT NULL THEN life - onset END)', 'median_lead_h')},
         sum(CASE WHEN kf IS NOT NULL THEN early ELSE len(list_filter(hs, lambda e: first IS NULL OR e < first)) END)::BIGINT AS false_alarms FROM f""",
     "k_sweep": f"""WITH {HEALTH}, gr AS (SELECT * FROM hh, (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (1.5::DOUBLE)) AS a(k), (VALUES (1), (2), (4)) AS b(p)), {eps('k', 'p', 'gr', 'k, p, bearing')} SELECT k, p::BIGINT AS p, count(*) AS n, {r6('min(hours)', 'first_alarm')} FROM ep GROUP BY 1, 2""",
+    "onset_economics": " UNION ALL ".join(onset(k) for k in ("0.5", "1.0", "1.5")),
+    "summary_report": f"""SELECT s.bearing, s.known_failure, {r6('life', 'life_hours')}, {r6('onset', 'onset_hours')}, {r6('actual', 'rul75_actual')}, rul75_pred FROM (WITH {SUMMARY} SELECT bearing, coalesce(kf, 'none') AS known_failure, life, onset FROM su) s
+      LEFT JOIN (WITH {RUL} SELECT bearing, actual, round(pred, 3) AS rul75_pred FROM ru WHERE f = 0.75) r ON r.bearing = s.bearing""",
+    "kinematics": f"""SELECT rpm, {r6('8 * hz * (1 - q)', 'bpfo')}, {r6('8 * hz * (1 + q)', 'bpfi')}, {r6('0.5 * 2.815 / 0.331 * hz * (1 - q * q)', 'bsf')}, {r6('0.5 * hz * (1 - q)', 'ftf')} FROM (SELECT i * 500 AS rpm, i * 500 / 60.0::DOUBLE AS hz, 0.331 / 2.815::DOUBLE * cos(radians(15.17)) AS q FROM range(1, 6) AS r(i))""",
     "exp_fit": f"WITH {HEALTH} SELECT bearing, {r6('regr_intercept(ln(greatest(rms_ratio, 1e-3)), hours)', 'a')}, {r6('regr_slope(ln(greatest(rms_ratio, 1e-3)), hours)', 'b')}, count(rms_ratio) AS points FROM hh GROUP BY 1",
     "loo_rul": f"WITH {RUL} SELECT bearing::BIGINT AS bearing, f AS eval_fraction, {r6('hi_fail')}, {r6('own_eol')}, {r6('t_eval')}, {r6('actual', 'actual_rul')}, round(pred, 3) AS pred_rul FROM ru",
     "rul_error": f"WITH {RUL} SELECT f AS eval_fraction, round(median(abs(pred - actual)), 3) AS median_abs_error FROM ru GROUP BY 1",

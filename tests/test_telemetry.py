@@ -75,6 +75,13 @@ def test_chunks_equal_one_series(spark, raw):
     pd.testing.assert_frame_equal(a, b[a.columns], rtol=1e-9)
 
 
+def test_row_signals_in_chunks_equal_one_series(spark, raw):
+    df = rows(spark, raw)
+    both = [T.row_signals(df, T.Channels(**{**C.__dict__, "chunk": k})).toPandas().sort_values("us").reset_index(drop=True) for k in (None, 7, 60)]
+    for other in both[1:]:
+        pd.testing.assert_frame_equal(both[0], other[both[0].columns])
+
+
 def test_drift_shift_and_labels(spark, raw):
     t0 = int(raw.timestamp[0].timestamp()) // 60
     out, base = T.build_features(rows(spark, raw), C, (t0, t0 + 700), [("F1", t0 + 800, t0 + 900), ("F2", t0 + 850, t0 + 950)])

@@ -14,11 +14,15 @@ _SHIPPED = "pulsewright.shipped"
 
 #: Rows of one long each that may be broadcast (16 MB); beyond it a shuffle join is used.
 BROADCAST_ROWS = 2_000_000
+#: Rows of an Arrow batch at most: whole documents of some ten thousand rows would take an executor's memory outside the heap.
+ARROW_ROWS = 500
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, wherever they run; once per application."""
+    """Make this package importable in Python workers, wherever they run (once per application), and keep Arrow batches small."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if sc.getLocalProperty(_SHIPPED):
         return
     root = Path(__file__).resolve().parent

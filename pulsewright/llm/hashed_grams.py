@@ -32,6 +32,19 @@ def buckets(data: np.ndarray, n: int) -> np.ndarray:
     x = np.zeros(max(0, len(data) - n + 1), np.uint32)
     for i in range(n):
         x |= data[i : len(data) - n + 1 + i].astype(np.uint32) << np.uint32(8 * i)
+    return _bucket(x, n)
+
+
+def _drawn(data: np.ndarray, start: np.ndarray, size: np.ndarray, n: int, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Buckets of k runs of n bytes drawn from each of the texts that start there."""
+    at = start[:, None] + (rng.random((len(start), k)) * (size - n + 1)[:, None]).astype(np.int64)
+    x = np.zeros(at.shape, np.uint32)
+    for i in range(n):
+        x |= data[at + i].astype(np.uint32) << np.uint32(8 * i)
+    return _bucket(x, n)
+
+
+def _bucket(x: np.ndarray, n: int) -> np.ndarray:
     x = (x ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * _ODD
     x ^= x >> np.uint32(15)
     x *= np.uint32(0x85EBCA6B)
@@ -76,19 +89,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def features(texts: list[bytes], fold: np.ndarray) -> list[np.ndarray]:
-    out = []
-    for t in texts:
-        d = fold[np.frombuffer(t, np.uint8)]
-        out.append(np.concatenate([buckets(d, n) for n in GRAMS]))
-    return out
-
-
-def train(texts: list[bytes], targets: np.ndarray, fold: np.ndarray, labels: list[str], epochs: int = 12, per_text: int = 256, batch: int = 32, rate: float = 0.5, seed: int = 1) -> Model:
+def train(texts: list[bytes], targets: np.ndarray, fold: np.ndarray, labels: list[str], epochs: int = 12, per_text: int = 255, batch: int = 32, rate: float = 0.5, seed: int = 1) -> Model:
     """Stochastic gradient descent on soft targets (texts x classes); each step sees `per_text` features of each of `batch` texts, drawn anew."""
     rng = np.random.default_rng(seed)
-    feats = [f for f in features(texts, fold)]
-    keep = np.array([i for i, f in enumerate(feats) if len(f)], np.int64)
+    data = fold[np.frombuffer(b"".join(texts), np.uint8)]
+    size = np.array([len(t) for t in texts], np.int64)
+    start = np.cumsum(size) - size
+    keep = np.flatnonzero(size >= max(GRAMS))  # shorter texts do not train
+    each = per_text // len(GRAMS)
     emb = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     head = rng.normal(0, 0.1, (DIM, targets.shape[1])).astype(np.float32)
     bias = np.zeros(targets.shape[1], np.float32)
@@ -99,13 +107,13 @@ def train(texts: list[bytes], targets: np.ndarray, fold: np.ndarray, labels: lis
                 continue
             lr = rate * (1 - done / steps)
             done += 1
-            at = np.stack([feats[i][rng.integers(0, len(feats[i]), per_text)] for i in s])
+            at = np.concatenate([_drawn(data, start[s], size[s], n, each, rng) for n in GRAMS], 1)
             x = emb[at].mean(1)
             g = (softmax(x @ head + bias) - targets[s]).astype(np.float32)
             dx = g @ head.T
             head -= lr * x.T @ g / len(s)
             bias -= lr * g.mean(0)
-            np.subtract.at(emb, at.reshape(-1), np.repeat(lr * 20 * dx / per_text, per_text, 0))
+            np.subtract.at(emb, at.reshape(-1), np.repeat(lr * 20 * dx / at.shape[1], at.shape[1], 0))
     return Model(labels, (emb @ head).astype(np.float32), bias.astype(float))
 
 

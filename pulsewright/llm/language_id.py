@@ -20,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsewright.cluster import ship
 from pulsewright.llm import hashed_grams as H
 from pulsewright.llm import textkit as K
+from pulsewright.llm.rows import pack, unpack
 
 PER_LANGUAGE = 1500
 MAX_BYTES = 60_000
@@ -91,8 +93,8 @@ def predict(docs: DataFrame, model: H.Model | None, carry: list[str]) -> DataFra
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(*carry, F.col("text").alias("text")) if "text" not in carry else docs.select(*carry)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in carry)
-    return rows.mapInArrow(_predict(spark.sparkContext.broadcast(model), len(carry)), f"{kinds}, lang_pred string, score double, rejected boolean")
+    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    return rows.mapInArrow(_predict(spark.sparkContext.broadcast(model), len(carry)), T.StructType([*rows.schema.fields[: len(carry)], *new]))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -102,5 +104,4 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose language is not rejected; columns as they were."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    return predict(rows, fit(docs), ["row"]).filter("not rejected").select("row.*")
+    return unpack(predict(pack(docs), fit(docs), ["rest", "text"]).filter("not rejected"), docs.columns)

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsewright.llm.rows import pack, unpack
+
 # Frequent function words of the supported languages.
 STOP_WORDS = {
     "en": "the of and to in is that for it as was with be by on this are from or have an they which at not but his he you".split(),
@@ -105,7 +107,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of `docs` that break no rule; columns as they were."""
-    return judge(docs.select(F.struct(*docs.columns).alias("row"), "text"), rules).filter("kept").select("row.*")
+    return unpack(judge(pack(docs), rules).filter("kept"), docs.columns)
 
 
 _STOPS_SQL = ", ".join(f"'{w}'" for w in sorted({w for ws in STOP_WORDS.values() for w in ws}))

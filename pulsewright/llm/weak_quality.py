@@ -26,11 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsewright.cluster import discard, materialise, ship
 from pulsewright.llm import hashed_grams as H
 from pulsewright.llm import quality_rules
 from pulsewright.llm import textkit as K
+from pulsewright.llm.rows import pack, unpack
 
 SAMPLE = 3000
 MAX_BYTES = 60_000
@@ -89,17 +91,17 @@ def _score(shared):
                     score[i:j] = model.probabilities(H.SHAPES[data], offsets)[:, 1]
                 words = np.concatenate([[0], np.cumsum(K.NON_SPACE[data])])[offsets]
                 score[i:j][np.diff(words) == 0] = 0.0
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("rid"), pa.array(score)], ["row", "rid", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("rest"), b.column("text"), b.column("rid"), pa.array(score)], ["rest", "text", "rid", "score"])
 
     return run
 
 
-def score(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """row (a struct of the columns `carry` of `docs`, or all), rid, score and posterior of every row of `docs`."""
+def score(docs: DataFrame) -> DataFrame:
+    """rest (a struct of the columns of `docs` but text), text, rid, score and posterior of every row of `docs`."""
     spark = docs.sparkSession
     ship(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), text.alias("text")).withColumn("rid", F.xxhash64("text"))
+    rows = pack(docs).withColumn("rid", F.xxhash64(text))
     voted = materialise(votes(docs.select(F.col("doc_id"), "text").withColumn("rid", F.xxhash64(text))).select("doc_id", "rid", "pattern", F.octet_length("text").alias("n_bytes")), "weak-votes")
     posteriors = label_model({r["pattern"]: r["n"] for r in voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()})  # at most 3**6 + 1 rows
     table = F.broadcast(spark.createDataFrame([(k, v) for k, v in posteriors.items()] or [(-2, 0.0)], "pattern int, posterior double"))
@@ -111,12 +113,12 @@ def score(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     for good, n in sizes.items():
         pick = pick | ((F.col("good") == good) & (F.col("h") < int((1 << 30) * min(1.0, SAMPLE / 2 / n))))
     chosen = materialise(usable.filter(pick).groupBy("rid").agg(F.first("posterior").alias("posterior")), "weak-sample")
-    sample = sorted((r["rid"], r["text"].encode(), r["posterior"]) for r in rows.select("rid", "text").join(F.broadcast(chosen), "rid").dropDuplicates(["rid"]).collect())
+    sample = sorted((r["rid"], (r["text"] or "").encode(), r["posterior"]) for r in rows.select("rid", "text").join(F.broadcast(chosen), "rid").dropDuplicates(["rid"]).collect())
     model = None
     if sample:
         p = np.array([x[2] for x in sample])
         model = H.train([x[1] for x in sample], np.stack([1 - p, p], 1), H.SHAPES, ["bad", "good"])
-    scored = rows.select("row", "rid", "text").mapInArrow(_score(spark.sparkContext.broadcast(model)), f"row {rows.schema['row'].dataType.simpleString()}, rid long, score double")
+    scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), T.StructType([*rows.schema, T.StructField("score", T.DoubleType())]))
     by_text = materialise(known.groupBy("rid").agg(F.max("posterior").alias("posterior")), "weak-posteriors")
     discard(chosen)
     return scored.join(by_text, "rid")
@@ -124,10 +126,10 @@ def score(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, score, posterior (of the labellers) and kept of every row of `docs`."""
-    out = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
-    return out.select(F.col("row.doc_id").alias("doc_id"), "score", "posterior", (F.col("score") >= THRESHOLD).alias("kept"))
+    out = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return out.select(F.col("rest.doc_id").alias("doc_id"), "score", "posterior", (F.col("score") >= THRESHOLD).alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that score `THRESHOLD` or more; columns as they were."""
-    return score(docs).filter(F.col("score") >= THRESHOLD).select("row.*")
+    return unpack(score(docs).filter(F.col("score") >= THRESHOLD), docs.columns)

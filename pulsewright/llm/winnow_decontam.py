@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from pulsewright.cluster import discard, materialise, ship
 from pulsewright.llm import textkit as K
+from pulsewright.llm.rows import pack, unpack
 
 WINDOW = 10
 GRAM = 5
@@ -170,8 +171,7 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that hold no window of the benchmark; columns as they were."""
-    flagged = mark(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text")), benchmark)
-    return flagged.filter(F.size("hits") == 0).select("row.*")
+    return unpack(mark(pack(docs), benchmark).filter(F.size("hits") == 0), docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -505,7 +505,7 @@ def _summary(spark, d, k=_K, p=_P):
 def onset_summary(spark, d):
     s = _summary(spark, d)
     return s.select(
-        big("bearing"), "known_failure", r6("life_hours"), r6("onset_hours"), r6("hours_before_failure"), r6("onset_pct_life"), big("alarm_episodes"), big("early_false_alarms"), F.array_join(F.transform("alarm_hours", lambda x: x.cast("long").cast("string")), ",").alias("alarm_hours"), "diagnosed", "diagnosis_correct"
+        big("bearing"), "known_failure", r6("life_hours"), r6("onset_hours"), r6("hours_before_failure"), r6("onset_pct_life"), big("alarm_episodes"), big("early_false_alarms"), F.array_join(F.transform("alarm_hours", lambda x: x.cast("long").cast("string")), ",").alias("alarm_hours"), "diagnosed", F.col("diagnosis_correct").cast("string").alias("diagnosis_correct")
     )
 
 

@@ -244,7 +244,7 @@ ORACLES: dict[str, str] = {
       SELECT ts AS "timestamp", bearing, CASE WHEN rms IS NULL THEN NULL WHEN rms >= peak AND rms >= kurtosis THEN 'rms' WHEN peak >= kurtosis THEN 'peak' ELSE 'kurtosis' END AS hi_driver FROM z""",
     "alarm_episodes": f"WITH {HEALTH}, {eps()} SELECT bearing, {r6('hours')} FROM ep",
     "onset_summary": f"""WITH {SUMMARY} SELECT bearing, coalesce(kf, 'none') AS known_failure, {r6('life', 'life_hours')}, {r6('onset', 'onset_hours')}, {r6('CASE WHEN kf IS NOT NULL THEN life - onset END', 'hours_before_failure')}, {r6('100 * onset / life', 'onset_pct_life')},
-      len(hs)::BIGINT AS alarm_episodes, early::BIGINT AS early_false_alarms, array_to_string(list_transform(hs, lambda x: x::BIGINT::VARCHAR), ',') AS alarm_hours, diagnosed, CASE WHEN kf IS NOT NULL THEN diagnosed = kf END AS diagnosis_correct FROM su""",
+      len(hs)::BIGINT AS alarm_episodes, early::BIGINT AS early_false_alarms, array_to_string(list_transform(hs, lambda x: x::BIGINT::VARCHAR), ',') AS alarm_hours, diagnosed, CASE WHEN kf IS NOT NULL THEN CAST(diagnosed = kf AS VARCHAR) END AS diagnosis_correct FROM su""",
     "onset_evaluation": f"""WITH {SUMMARY}, f AS (SELECT *, min(CASE WHEN kf IS NOT NULL THEN onset END) OVER () AS first FROM su)
       SELECT count(CASE WHEN kf IS NOT NULL THEN onset END) AS detected, count(kf) AS failed, {r6('median(CASE WHEN kf IS NOT NULL THEN life - onset END)', 'median_lead_h')},
         sum(CASE WHEN kf IS NOT NULL THEN early ELSE len(list_filter(hs, lambda e: first IS NULL OR e < first)) END)::BIGINT AS false_alarms FROM f""",

@@ -38,9 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == before:
             break
         before = seen
-        large = materialise(_star(now, True), "star")
-        small = materialise(_star(large, False), "star")
-        discard(now, large)
+        small = materialise(_star(_star(now, True), False), "star")
+        discard(now)
         now = small
     out = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return out.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

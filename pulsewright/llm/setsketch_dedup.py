@@ -14,14 +14,16 @@ its least document goes on.
 shares none with probability (1 - 0.75**4)**40 = 2.5e-7. Classes with an
 equal band are a bucket.
 
-*Links.* Buckets are never expanded into pairs. In each round every member of a
-bucket is held against one hub, the bucket's least member; proposals that the
-joint likelihood of both sketches puts far below the threshold are dropped and
-the others are verified on full sets. Buckets that lie within one component
-are done; from all others the hub is taken off, as all its pairs are settled,
-and the next round begins. After `ROUNDS` rounds the pairs that remain between
-different components are listed. So no link between different texts of different
-components is lost, and none within a component is needed.
+*Links.* Buckets are not expanded into pairs. First every member of a bucket is
+held against its least member; proposals that the joint likelihood of both
+sketches puts far below the threshold are dropped and the others are verified on
+full sets. Buckets that then lie within one component are done. The documents of
+the others get their shingles' frequencies; the `HUBS` members of a bucket whose
+shingles are most frequent stand nearest to what the others are copies of, and
+are the hubs of the second round. Pairs that are still in different components
+are found by an exact prefix filter: in the order from the rarest shingle on, a
+linked pair shares one early in both. So no link between different components
+is lost, and none within a component is needed.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsewright.cluster import discard, materialise, only_rows_of, ship
@@ -45,7 +47,8 @@ REGISTERS = ROWS * BANDS
 SKETCH_BASE, SKETCH_RATE = 1.001, 20.0
 #: Proposals whose estimate is below this go unverified; at 160 registers it is over 5 standard errors below 0.75.
 LEAST_ESTIMATE = 0.55
-ROUNDS = 4
+#: Hubs of a bucket in the second round.
+HUBS = 3
 
 _GEN = np.random.Generator(np.random.PCG64(77))
 _XOR = _GEN.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
@@ -149,37 +152,94 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(fits))
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
+#: Members that are held against a hub at one place; a hub of more is sent to several.
+HUB_MEMBERS = 64
 
-    def own(text: bytes) -> np.ndarray:
-        x = np.frombuffer(text, np.uint8)
-        return np.unique(shingle_sets(x, np.array([0, len(x)]))[0])
 
-    for b in batches:
-        linked = []
-        for ta, tb in zip(b.column("ta").cast(pa.binary()).to_pylist(), b.column("tb").cast(pa.binary()).to_pylist(), strict=True):
-            if held[0] != tb:
-                held = (tb, own(tb))
-            x, y = own(ta), held[1]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            linked.append(100 * both >= PERCENT * (len(x) + len(y) - both) > 0)
-        yield b.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+def _set_of(text: bytes) -> np.ndarray:
+    x = np.frombuffer(text, np.uint8)
+    return np.unique(shingle_sets(x, np.array([0, len(x)]))[0])
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (b, salt, a, text) sorted by b, salt, a: the hub's own row, without a, comes first."""
+    held, hub = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        texts = batch.column("text").cast(pa.binary())
+        for i, (b, salt, a) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("b", "salt", "a")), strict=True)):
+            own = _set_of(texts[i].as_py())
+            if a is None:
+                held, hub = (b, salt), own
+            elif held == (b, salt):
+                both = len(np.intersect1d(own, hub, assume_unique=True))
+                if 100 * both >= PERCENT * (len(own) + len(hub) - both) > 0:
+                    out.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
 
 def _linked(proposals: DataFrame, sketch: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
-    """The verified ones of the proposed pairs (a, b): a table."""
-    of = sketch.select("doc_id", "registers", "n_shingles")
+    """The verified ones of the proposed pairs (a: member, b: hub): a table."""
+    of = sketch.select("doc_id", "registers", "n_shingles").dropDuplicates(["doc_id"])
     pairs = proposals.join(of.toDF("a", "ra", "na"), "a").join(of.toDF("b", "rb", "nb"), "b")
     likely = materialise(pairs.mapInArrow(_likely, "a long, b long"), f"{tag}-likely")
     nodes = materialise(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), f"{tag}-nodes")
-    need = only_rows_of(texts, nodes, ["doc_id"])
-    both = likely.join(need.toDF("a", "ta"), "a").join(need.toDF("b", "tb"), "b")
-    out = materialise(both.mapInArrow(_verify, "a long, b long"), f"{tag}-links")
+    need = only_rows_of(texts, nodes, ["doc_id"]).dropDuplicates(["doc_id"])
+    hubs = likely.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select("b", F.expr(f"cast(ceil(n / {HUB_MEMBERS}.0) as long)").alias("salts"))
+    members = likely.join(hubs, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), "a").join(need.toDF("a", "text"), "a").select("b", "salt", "a", "text")
+    heads = hubs.join(need.toDF("b", "text"), "b").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "text")
+    rows = heads.unionByName(members).repartition("b", "salt").sortWithinPartitions("b", "salt", "a")
+    out = materialise(rows.mapInArrow(_verify, "a long, b long"), f"{tag}-links")
     discard(likely, nodes)
     return out
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i, j, data, offsets in K.chunks(b.column("text")):
+            x, cut = shingle_sets(data, offsets)
+            parts = [np.unique(x[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
+            doc = b.column("doc_id").slice(i, j - i).take(pa.array(np.repeat(np.arange(j - i), [len(p) for p in parts])))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(np.concatenate(parts).view(np.int64))], ["doc_id", "shingle"])
+
+
+def _ranked_shingles(nodes: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, shingle, freq, n, pos) of the documents of `nodes`: in how many of them a shingle stands, the set's size, and the shingle's place from the rarest on."""
+    # a document that stands for several sets is taken with each
+    shingles = materialise(only_rows_of(texts, nodes, ["doc_id"]).dropDuplicates(["doc_id", "text"]).mapInArrow(_shingles, "doc_id long, shingle long").distinct(), "near-shingles")
+    freq = materialise(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("freq")), "near-freq")
+    w = Window.partitionBy("doc_id")
+    out = shingles.join(freq, "shingle").withColumns({"n": F.count(F.lit(1)).over(w), "pos": F.row_number().over(w.orderBy("freq", "shingle")) - 1})
+    out = materialise(out, "near-ranked")
+    discard(shingles, freq)
+    return out
+
+
+def _prefix_pairs(ranked: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs of different components that may be linked: an exact prefix filter.
+
+    Sets of sizes n and m that are linked share at least 3/7 (n + m) shingles. So
+    in the order from the rarest on, the first shingle that they share stands
+    where each of them has that many left. Rows that no size in their shingle's
+    group allows go first, then groups of one component.
+    """
+    rows = ranked.filter("4 * (n - pos) >= 3 * n").join(comp.toDF("doc_id", "c"), "doc_id", "left").select("shingle", "doc_id", F.coalesce("c", "doc_id").alias("c"), F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"))
+    sizes = rows.groupBy("shingle").agg(F.min("n").alias("least_n"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("shingle", "least_n")
+    rows = materialise(rows.join(sizes, "shingle").filter("7 * (n - pos) >= 3 * (n + least_n)").drop("least_n"), "near-prefix")
+    mixed = rows.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("shingle")
+    left = materialise(rows.join(mixed, "shingle"), "near-prefix")
+    right = left.toDF("shingle", "doc_id_2", "c_2", "n_2", "pos_2")
+    fits = "(n > n_2 or n = n_2 and doc_id > doc_id_2) and c <> c_2 and 4 * n_2 >= 3 * n and 7 * (n - pos) >= 3 * (n + n_2) and 7 * (n_2 - pos_2) >= 3 * (n + n_2)"
+    return left.join(right, "shingle").filter(fits).select(F.col("doc_id").alias("a"), F.col("doc_id_2").alias("b")).distinct()
+
+
+def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of `members` (bucket, doc_id, ...) in buckets that lie in several components, with c, the component."""
+    known = members.join(comp.toDF("doc_id", "c"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+    mixed = known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
+    return known.join(mixed, "bucket")
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sketch, members, links): a row per document; (s1, s2, n_shingles, rep) per set; (node, component) of linked representatives.
 
@@ -190,47 +250,32 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     sketch = materialise(rows.mapInArrow(_sketch, SKETCH), "near-sketch")
     known = sketch.filter("doc_id is not null and n_shingles > 0")
-    members = materialise(known.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "near-classes")
+    known_members = materialise(known.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "near-classes")
     # a vertex that stands for several sets (rows that repeat an id) keeps all of them
-    reps = materialise(only_rows_of(known, members.select(F.col("rep").alias("doc_id")), ["doc_id"]).dropDuplicates(["doc_id", "s1", "s2"]), "near-reps")
+    reps = materialise(only_rows_of(known, known_members.select(F.col("rep").alias("doc_id")), ["doc_id"]).dropDuplicates(["doc_id", "s1", "s2"]), "near-reps")
     texts = rows.filter("doc_id is not null")
 
     buckets = reps.mapInArrow(_bands, "bucket long, doc_id long")
     hubs = materialise(buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).filter("hub < top").select("bucket", "hub"), "near-hubs")
     shared = materialise(buckets.join(hubs.select("bucket"), "bucket").distinct(), "near-buckets")
-    edges: DataFrame | None = None
-    comp: DataFrame | None = None
-    used: list[DataFrame] = []
-    for step in range(ROUNDS + 1):
-        if step < ROUNDS:
-            proposed = shared.join(hubs, "bucket").filter("doc_id > hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-            if comp is not None:
-                proposed = _between(proposed, comp)
-        else:
-            proposed = _between(shared.toDF("bucket", "a").join(shared.toDF("bucket", "b"), "bucket").filter("a > b").select("a", "b"), comp)
-        found = _linked(proposed.distinct(), reps, texts, f"near-{step}")
-        used.append(found)
-        edges = found if edges is None else edges.unionByName(found)
-        comp = materialise(components(edges), "near-components")
-        if step == ROUNDS:
-            break
-        rest = shared.join(hubs, "bucket").filter("doc_id > hub").select("bucket", "doc_id")
-        with_comp = rest.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
-        mixed = with_comp.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("doc_id").alias("hub")).filter("lo < hi")
-        next_hubs = materialise(mixed.select("bucket", "hub"), "near-hubs")
-        next_shared = materialise(rest.join(next_hubs.select("bucket"), "bucket"), "near-buckets")
-        discard(hubs, shared)
-        hubs, shared = next_hubs, next_shared
-        if hubs.limit(1).count() == 0:
-            break
-    discard(hubs, shared, reps, *used)
-    return sketch, members, comp
-
-
-def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components."""
-    out = pairs.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
-    return out.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    proposed = shared.join(hubs, "bucket").filter("doc_id > hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    links = [_linked(proposed, reps, texts, "near-0")]
+    comp = materialise(components(links[0]), "near-components")
+
+    rest = shared.join(hubs, "bucket").filter("doc_id > hub").select("bucket", "doc_id")
+    rest = materialise(_mixed(rest, comp), "near-open")
+    nodes = materialise(rest.select("doc_id").distinct(), "near-rest")
+    ranked = _ranked_shingles(nodes, reps, texts)
+    weight = ranked.groupBy("doc_id").agg(F.avg("freq").alias("weight"))
+    nearest = Window.partitionBy("bucket").orderBy(F.desc("weight"), "doc_id")
+    heads = rest.join(weight, "doc_id").withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") <= HUBS).select("bucket", F.col("doc_id").alias("hub"), F.col("c").alias("hub_c"))
+    proposed = rest.join(materialise(heads, "near-heads"), "bucket").filter("c <> hub_c").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    links.append(_linked(proposed, reps, texts, "near-1"))
+    comp = materialise(components(links[0].unionByName(links[1])), "near-components")
+    links.append(_linked(_prefix_pairs(ranked, comp), reps, texts, "near-2"))
+    comp = materialise(components(links[0].unionByName(links[1]).unionByName(links[2])), "near-components")
+    discard(hubs, shared, rest, nodes, ranked, reps, *links)
+    return sketch, known_members, comp
 
 
 def digest(docs: DataFrame) -> DataFrame:

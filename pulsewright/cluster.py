@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 _SHIPPED = "pulsewright.shipped"
 
-#: Rows of one long each that may be broadcast (16 MB); beyond it a shuffle join is used.
-BROADCAST_ROWS = 2_000_000
+#: Rows of a few longs that may be broadcast (some 50 MB as a hash table); beyond it a shuffle join is used.
+BROADCAST_ROWS = 500_000
 #: Rows of an Arrow batch at most: whole documents of some ten thousand rows would take an executor's memory outside the heap.
 ARROW_ROWS = 500
 
@@ -83,7 +83,7 @@ def only_rows_of(df: DataFrame, keys: DataFrame, on: list[str], bound: int = BRO
     sides are shuffled.
     """
     keys = keys.select(*on)
-    small = keys.limit(bound + 1).count() <= bound
+    small = keys.count() <= bound  # of a Parquet table: from the files' footers
     return df.join(F.broadcast(keys) if small else keys, on, "left_semi")
 
 

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from pulsewright.cluster import discard, materialise, only_rows_of, ship
 from pulsewright.llm import textkit as K
+from pulsewright.llm.rows import pack, unpack
 
 SPAN = 200
 GRAM = 64
@@ -145,6 +146,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return t.withColumns({"k1": F.xxhash64("_t"), "k2": F.xxhash64(F.lit(1), "_t")})
 
 
+def _named_windows(texts: DataFrame, part: DataFrame, span: int, gram: int) -> DataFrame:
+    rows = only_rows_of(texts, part, ["k1"]).dropDuplicates(["k1"]).join(part, "k1")
+    return rows.select("k1", "text", "part").mapInArrow(_windows(span, gram), "k1 long, p1 long, p2 long, n int")
+
+
 def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(copies, cut): keys of texts that occur in several rows, and k1, k2, n_removed, n_spans, kept, kept_sha256 of other texts that lose bytes."""
     spark = docs.sparkSession
@@ -163,15 +169,16 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple[DataFr
     segments = materialise(shared.groupBy("name", "segment").agg(F.sum("n").alias("n"), F.min("k1").alias("k1")), "cover-segments")
     whole = shared.join(segments.filter("n > 1").select("name", "segment"), ["name", "segment"]).groupBy("k1").agg(F.collect_set("segment").alias("whole"))
     alone = segments.filter("n = 1").select("name").distinct()
-    part = materialise(segments.join(alone, "name").groupBy("k1").agg(F.collect_set("segment").alias("part")), "cover-part")
+    part = materialise(segments.join(alone, "name").groupBy("k1").agg(F.collect_set("segment").alias("part"), F.collect_set(F.when(F.col("n") == 1, F.col("segment"))).alias("own")), "cover-part")
 
-    windows = only_rows_of(texts, part, ["k1"]).dropDuplicates(["k1"]).join(part, "k1").select("k1", "text", "part").mapInArrow(_windows(span, gram), "k1 long, p1 long, p2 long, n int")
-    windows = materialise(windows, "cover-windows")
-    nodes = materialise(windows.groupBy("p1", "p2").agg(F.sum("n").alias("n")).filter("n > 1").select("p1", "p2"), "cover-nodes")
-    single = windows.join(nodes, ["p1", "p2"]).groupBy("k1").agg(F.collect_set("p1").alias("single"))
+    # the windows are named twice rather than kept: first of all these segments, then of those that stand alone
+    every = _named_windows(texts, part.select("k1", "part"), span, gram)
+    nodes = materialise(every.groupBy("p1", "p2").agg(F.sum("n").alias("n")).filter("n > 1").select("p1", "p2"), "cover-nodes")
+    own = _named_windows(texts, part.filter("size(own) > 0").select("k1", F.col("own").alias("part")), span, gram).select("k1", "p1", "p2")
+    single = own.join(nodes, ["p1", "p2"]).groupBy("k1").agg(F.collect_set("p1").alias("single"))
     none = F.expr("cast(array() as array<long>)")
     hits = materialise(whole.join(single, "k1", "full_outer").select("k1", F.coalesce("whole", none).alias("whole"), F.coalesce("single", none).alias("single")), "cover-hits")
-    discard(shared, segments, part, windows, nodes)
+    discard(shared, segments, part, nodes)
 
     cut = only_rows_of(texts, hits, ["k1"]).dropDuplicates(["k1", "k2"]).join(hits, "k1").select("k1", "k2", "text", "whole", "single").mapInArrow(_cut(span, gram), "k1 long, k2 long, n_removed long, n_spans long, kept string, kept_sha256 string")
     return copies, cut.join(copies.select("k1", "k2"), ["k1", "k2"], "left_anti")
@@ -194,6 +201,5 @@ def dedup_bytes(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """`docs` with text cut to the bytes kept; bytes that are no longer UTF-8 at a cut are replaced. Texts without repeats, nulls included, stay as they are."""
     copies, cut = repeats(docs, span)
     info = cut.select("k1", "k2", F.col("kept").alias("_new")).unionByName(copies.select("k1", "k2", F.lit("").alias("_new")))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    rows = keyed(rows).drop("_t").join(info, ["k1", "k2"], "left")
-    return rows.select(*[F.coalesce(F.col("_new"), F.col("row.text")).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    rows = keyed(pack(docs)).drop("_t").join(info, ["k1", "k2"], "left")
+    return unpack(rows.withColumn("text", F.coalesce("_new", "text")), docs.columns)

@@ -8,6 +8,7 @@ machine (no use of Python's salted ``hash``).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,6 +90,25 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         j = min(j, n)
         yield i, j, raw[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
+    tidy()
+
+
+_batches = [0]
+
+
+def tidy(every: int = 16) -> None:
+    """Give memory back to the system now and then: workers live on, idle, beside other operators' ones."""
+    _batches[0] += 1
+    if _batches[0] % every == 0:
+        pa.default_memory_pool().release_unused()
+        if _LIBC is not None:
+            _LIBC.malloc_trim(0)
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: nothing to trim with
+    _LIBC = None
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

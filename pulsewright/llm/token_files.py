@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,9 @@ LENGTH = 2048
 BATCH = 512
 END = 0
 #: Pieces that a Python worker keeps: some 20 bytes each.
-CACHE_PIECES = 3_000_000
+CACHE_PIECES = 1_000_000
+#: Pieces encoded at once: the tokenizer's results are large.
+ENCODE = 2048
 
 _held: dict = {}
 
@@ -56,7 +57,7 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.starts, self.lengths, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+        self.keys, self.starts, self.lengths, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, self.kind)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place among the known keys, whether it is known) of each key."""
@@ -73,13 +74,14 @@ class Pieces:
                 self.clear()
                 at, known = self.find(keys)
             new = np.flatnonzero(~known)
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(text_of(new), add_special_tokens=False)]
+            texts = text_of(new)
+            encoded = [np.array(e.ids, self.kind) for s in range(0, len(texts), ENCODE) for e in self.tokenizer.encode_batch_fast(texts[s : s + ENCODE], add_special_tokens=False)]
             lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
             starts = len(self.pool) + np.cumsum(lengths) - lengths
-            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(encoded), self.kind, int(lengths.sum()))])
+            self.pool = np.concatenate([self.pool, *encoded])
             self.keys, self.starts, self.lengths = np.insert(self.keys, at[new], keys[new]), np.insert(self.starts, at[new], starts), np.insert(self.lengths, at[new], lengths)
             at, _ = self.find(keys)
-        return self.starts[at], self.lengths[at]
+        return self.starts[at].astype(np.int64), self.lengths[at].astype(np.int64)
 
 
 def pieces_of(path: str) -> Pieces:
@@ -204,7 +206,7 @@ def _write(folder: str, path: str, length: int, end: int):
             if not b.num_rows:
                 continue
             shard = shard or Shard(name, id_type(path), length)
-            for i, j, data, offsets in K.chunks(b.column("text"), 16 * K.CHUNK_BYTES):
+            for i, j, data, offsets in K.chunks(b.column("text"), 4 * K.CHUNK_BYTES):
                 ids, rows = encode(data, offsets, path, end)
                 shard.add(ids, rows, b.column("doc_id").slice(i, j - i))
         if shard:

@@ -179,7 +179,7 @@ ORACLE_SQL = r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents
 ), win AS (
-  SELECT doc_id, p, hash(array_to_string(ws[p:p + 49], ' ')) AS h1, md5(array_to_string(ws[p:p + 49], ' ')) AS h2
+  SELECT doc_id, p, md5(array_to_string(ws[p:p + 49], ' ')) AS h2
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM w)
 ), least AS (SELECT h2, min(doc_id) AS lo FROM win GROUP BY h2),
 hit AS (SELECT doc_id, p FROM win JOIN least USING (h2) WHERE lo < doc_id),

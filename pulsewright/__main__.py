@@ -41,7 +41,8 @@ def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = session()
     raw_params = config.load(a.config)
-    own = raw_params.get("metropt", raw_params)
+    section = lambda key: next((v for v in raw_params.values() if isinstance(v, dict) and key in v), raw_params)
+    own = section("train_split")
     params = config.Params.from_dict(own) if "train_split" in own else None
     entries = config.load(a.failures) if a.failures else []
     failures = config.failures(entries["failures"] if isinstance(entries, dict) else entries)
@@ -67,14 +68,14 @@ def main(argv: list[str] | None = None) -> None:
         S.write_report(report, at("report"))
         report.show(truncate=False)
     elif a.command == "vibration":
-        ims = raw_params.get("ims", {})
-        g = ims.get("bearing_geometry")
-        freqs = V.defect_frequencies(ims["shaft_speed_rpm"] / 60, g["n_rollers"], g["pitch_diameter_in"], g["roller_diameter_in"], g["contact_angle_deg"]) if g else ims["fault_frequencies_hz"]
+        rig = section("shaft_speed_rpm")
+        g = rig.get("bearing_geometry")
+        freqs = V.defect_frequencies(rig["shaft_speed_rpm"] / 60, g["n_rollers"], g["pitch_diameter_in"], g["roller_diameter_in"], g["contact_angle_deg"]) if g else rig["fault_frequencies_hz"]
         for t in a.test:
             rows = snapshots.with_bearing(snapshots.load(spark, at(f"test{t}"), a.limit), t)
-            V.SpectralFeatures(ims.get("sampling_frequency_hz", 20480), freqs).add(rows).drop("samples").write.mode("overwrite").parquet(at(f"vibration/test={t}"))
+            V.SpectralFeatures(rig.get("sampling_frequency_hz", 20480), freqs).add(rows).drop("samples").write.mode("overwrite").parquet(at(f"vibration/test={t}"))
     elif a.command == "health":
-        h = raw_params.get("ims", {}).get("health", {})
+        h = section("health").get("health", {})
         cols = h.get("hi_features", ["rms", "kurtosis", "env_bpfo", "env_bpfi", "env_bsf"])
         rows = S.read_built(spark, at("vibration"), "vibration")
         bt = V.bearing_max(rows, list(dict.fromkeys([*cols, "rms", "kurtosis", *[f"env_{f}" for f in V.FAULTS]])))

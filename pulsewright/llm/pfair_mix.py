@@ -7,12 +7,13 @@ deadline). Taking, in each slot, the released block with the earliest deadline
 meets all deadlines, as the weights add up to one. So at every time each source
 is less than one block away from its share.
 
-Weights are rounded to whole slots of a period; after a period every source is
-exactly at its share and the schedule repeats. So one period is scheduled on
-the driver (a table of bounded size), and a block's slot follows from its number
-by arithmetic. When a source has no more blocks its share goes to the others in
-proportion and a new phase begins; so every document is used once and none is
-dropped.
+Weights are exact fractions of the numbers as they are written, whatever their
+number: nothing is rounded. Where they repeat exactly within PERIOD slots, one
+period is scheduled on the driver and a block's slot follows from its number by
+arithmetic; otherwise each block has a row of the schedule (the driver holds some
+30 bytes for each of a phase and hands the rows on in files). When a source has no more blocks
+its share goes to the others in proportion and a new phase begins; so every
+document is used once and none is dropped. Sources of weight zero come last.
 
 Ranks within a source come from counts per hash bucket, so that a source of any
 size is numbered by many tasks. A null source is a source of its own. Rows that
@@ -22,15 +23,27 @@ repeat are rows like others.
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import batched, islice
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulsewright.cluster import BROADCAST_ROWS
+from pulsewright.cluster import BROADCAST_ROWS, new_path
 
 BLOCK = 32
+#: Slots of a repeated period at most.
 PERIOD = 1000
+#: Rows of a schedule that the driver turns into a file at once.
+ROWS_AT_ONCE = 50_000
+#: A deadline that is never met before the end.
+FOREVER = 1 << 60
 #: Without target weights a source weighs its number of documents to this power.
 FLATTEN = 0.7
 BUCKET_ROWS = 20_000
@@ -38,65 +51,112 @@ LEAST_BUCKETS = 256
 NO_SOURCE = "\u0000none"
 
 
-def whole_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of each source in a period: at least one each, largest remainders, `period` (or one a source) in all."""
-    total = sum(weights.values())
-    period = max(period, len(weights))
-    spare = period - len(weights)
-    exact = {s: spare * w / total for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    left = period - sum(out.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[:left]:
-        out[s] += 1
-    return out
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the weights as they are written (0.3 is three tenths)."""
+    exact = {s: Fraction(repr(float(w))) for s, w in weights.items()}
+    if any(w < 0 for w in exact.values()):
+        raise ValueError("weights must not be negative")
+    unit = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * unit) for s, w in exact.items()}
+
+
+def _turns(order: list[str], weights: dict[str, int], total: int) -> Iterator[tuple[str, int, int, int]]:
+    """(source, number of its block, release, deadline) of slot after slot, without end; `order` is by falling weight."""
+    waiting: list[tuple] = []  # by release
+    ready: list[tuple] = []  # by deadline
+    begun = t = 0
+    while True:
+        while waiting and waiting[0][0] <= t:
+            release, at, j, deadline = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, at, j, release))
+        # first blocks are all released at once, and their deadlines rise as weights fall
+        first = (-(-total // weights[order[begun]]), begun, 0, 0) if begun < len(order) else None
+        if first and not (ready and ready[0] < first):
+            begun += 1
+        else:
+            first = heapq.heappop(ready)
+        deadline, at, j, release = first
+        w = weights[order[at]]
+        yield order[at], j, release, deadline
+        heapq.heappush(waiting, ((j + 1) * total // w, at, j + 1, -(-(j + 2) * total // w)))
+        t += 1
+
+
+def _by_weight(weights: dict[str, int]) -> list[str]:
+    return sorted(weights, key=lambda s: (-weights[s], s))
 
 
 def one_period(slots: dict[str, int]) -> list[tuple[str, int, int, int]]:
     """(source, number of its block in the period, release, deadline) of each slot of a period."""
     period = sum(slots.values())
-    waiting = []  # by release
-    for s, a in slots.items():
-        for j in range(1, a + 1):
-            w = Fraction(a, period)
-            waiting.append((int((j - 1) / w), -(-j * period // a), s, j - 1))
-    heapq.heapify(waiting)
-    ready, out = [], []
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            release, deadline, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline, s, j, release))
-        deadline, s, j, release = heapq.heappop(ready)
-        out.append((s, j, release, deadline))
-    return out
+    return list(islice(_turns(_by_weight(slots), slots, period), period))
+
 
+def schedule(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> Iterator[tuple]:
+    """Rows (phase, source, first block, end block, slots a period, number in the period, period, first slot, slot in the period, release, deadline).
 
-def schedule(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[tuple]:
-    """Rows (phase, source, first block, end block, slots a period, number in the period, period, first slot, slot in the period, release, deadline)."""
-    left = {s: n for s, n in blocks.items() if n > 0}
+    A phase repeats if its weights are exactly whole slots of at most `period`; otherwise it is its own only period.
+    """
+    whole = whole_weights({s: weights[s] for s, n in blocks.items() if n > 0})
+    left = {s: blocks[s] for s in whole}
     given = dict.fromkeys(left, 0)
-    at, phase, rows = 0, 0, []
-    while left:
-        slots = whole_weights({s: weights[s] for s in left}, period)
-        table = one_period(slots)
-        length = len(table)
-        place = {(s, j): t for t, (s, j, _, _) in enumerate(table)}
-        ends = min((n - 1) // slots[s] * length + place[s, (n - 1) % slots[s]] + 1 for s, n in left.items())
-        used = {s: ends // length * slots[s] for s in left}
-        for s, *_ in table[: ends % length]:
-            used[s] += 1
-        rows += [(phase, s, given[s], given[s] + used[s], slots[s], j, length, at, t, release, deadline) for t, (s, j, release, deadline) in enumerate(table) if used[s] > j]
-        for s, n in used.items():
-            given[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n > 0}
-        at += ends
-        phase += 1
-    return rows
+    at = phase = 0
+    for shares in ({s: w for s, w in whole.items() if w > 0}, {s: 1 for s, w in whole.items() if w == 0}):
+        order, total = _by_weight(shares), sum(shares.values())
+        while order:
+            common = math.gcd(*(shares[s] for s in order)) if len(order) <= period else 1
+            if total // common <= period:
+                slots = {s: shares[s] // common for s in order}
+                table = one_period(slots)
+                length = len(table)
+                place = {(s, j): t for t, (s, j, _, _) in enumerate(table)}
+                ends = min((left[s] - 1) // n * length + place[s, (left[s] - 1) % n] + 1 for s, n in slots.items())
+                used = {s: ends // length * n for s, n in slots.items()}
+                for s, *_ in table[: ends % length]:
+                    used[s] += 1
+                for t, (s, j, release, deadline) in enumerate(table):
+                    if used[s] > j:
+                        yield phase, s, given[s], given[s] + used[s], slots[s], j, length, at, t, release, deadline
+            else:
+                used = {}
+                columns = [array("q") for _ in range(4)]
+                names = {s: i for i, s in enumerate(order)}
+                for s, j, release, deadline in _turns(order, shares, total):
+                    for column, v in zip(columns, (names[s], j, release, min(deadline, FOREVER)), strict=True):
+                        column.append(v)
+                    used[s] = j + 1
+                    if used[s] == left[s]:
+                        break
+                ends = len(columns[0])
+                for t, (i, j, release, deadline) in enumerate(zip(*columns, strict=True)):
+                    s = order[i]
+                    yield phase, s, given[s], given[s] + used[s], used[s], j, ends, at, t, release, deadline
+            for s, n in used.items():
+                given[s] += n
+                left[s] -= n
+            for s in [s for s in used if not left[s]]:
+                order.remove(s)
+                total -= shares[s]
+            at += ends
+            phase += 1
 
 
 _TABLE = "phase int, _src string, first long, until long, share long, number long, period long, slot0 long, at long, release0 long, deadline0 long"
 
 
+def _stored(spark: SparkSession, rows: Iterator[tuple]) -> tuple[DataFrame, int]:
+    """The rows of a schedule as a table in the shared folder, and their number; the driver holds some of them at a time."""
+    path, names, n = new_path(spark, "schedule"), [c.split()[0] for c in _TABLE.split(", ")], 0
+    kinds = [pa.int32(), pa.string(), *[pa.int64()] * (len(names) - 2)]
+    fs, folder = pafs.FileSystem.from_uri(path)
+    fs.create_dir(folder)
+    for k, part in enumerate(batched(rows, ROWS_AT_ONCE)):
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*part, strict=True), kinds, strict=True)]
+        pq.write_table(pa.table(columns, names=names), f"{folder}/part-{k:05d}.parquet", filesystem=fs)
+        n += len(part)
+    return spark.read.schema(_TABLE).parquet(path), n
+
+
 def place(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
     """`docs` (doc_id, source, ...) with phase, block, place (in the block), slot, release and deadline.
 
@@ -117,15 +177,12 @@ def place(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
 
     blocks = {s: -(-n // block) for s, n in sizes.items()}
     named = {NO_SOURCE if s is None else s: w for s, w in (weights or {}).items()}
-    rows = schedule(blocks, {s: named.get(s, n**FLATTEN) for s, n in sizes.items()}, period)
-    table = spark.createDataFrame(rows, _TABLE)
-    if len(rows) <= BROADCAST_ROWS:
-        table = F.broadcast(table)
-    phases = spark.createDataFrame(sorted({(r[1], r[0], r[2], r[3], r[4]) for r in rows}), "_src string, phase int, first long, until long, share long").groupBy("_src").agg(F.array_sort(F.collect_list(F.struct("first", "until", "phase", "share"))).alias("_phases"))
+    table, n_rows = _stored(spark, schedule(blocks, {s: named.get(s, n**FLATTEN) for s, n in sizes.items()}, period))
+    phases = table.select("_src", "phase", "first", "until", "share").distinct().groupBy("_src").agg(F.array_sort(F.collect_list(F.struct("first", "until", "phase", "share"))).alias("_phases"))
     in_phase = F.element_at(F.filter("_phases", lambda p: (F.col("block") >= p["first"]) & (F.col("block") < p["until"])), 1)
-    ranked = ranked.join(F.broadcast(phases) if len(rows) <= BROADCAST_ROWS else phases, "_src").withColumn("_p", in_phase)
+    ranked = ranked.join(F.broadcast(phases) if n_rows <= BROADCAST_ROWS else phases, "_src").withColumn("_p", in_phase)
     ranked = ranked.withColumns({"phase": F.col("_p.phase"), "number": (F.col("block") - F.col("_p.first")) % F.col("_p.share")}).drop("_phases", "_p")
-    out = ranked.join(table, ["_src", "phase", "number"])
+    out = ranked.join(F.broadcast(table) if n_rows <= BROADCAST_ROWS else table, ["_src", "phase", "number"])
     turn = F.floor((F.col("block") - F.col("first")) / F.col("share")) * F.col("period") + F.col("slot0")
     out = out.withColumns({"slot": turn + F.col("at"), "release": turn + F.col("release0"), "deadline": turn + F.col("deadline0")})
     return out.select(*docs.columns, "phase", "block", "place", "slot", "release", "deadline")

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -134,6 +135,32 @@ def test_pfair_schedule_is_whole():
     assert sorted(slot for x in seen.values() for _, slot in x) == list(range(43))
 
 
+def test_pfair_keeps_the_weights_asked_for_with_many_sources():
+    for n in (20, 200, 1500):
+        blocks = {"hot": 1000, **{f"s{i:04d}": 1000 for i in range(n)}}
+        weights = {s: 0.5 if s == "hot" else 0.5 / n for s in blocks}
+        exact = {s: Fraction(repr(w)) for s, w in weights.items()}
+        total = sum(exact.values())
+        slots = defaultdict(list)
+        for phase, s, first, until, share, number, period, slot0, at, *_ in pfair_mix.schedule(blocks, weights):
+            if phase:
+                break
+            slots[s] += [(b - first) // share * period + slot0 + at for b in range(first + number, until, share)]
+        length = sum(map(len, slots.values()))
+        assert length >= 1998
+        for s, times in slots.items():
+            share = exact[s] / total
+            for j, t in enumerate(sorted(times)):
+                assert abs(j - share * t) < 1 and abs(j + 1 - share * (t + 1)) < 1
+            assert abs(len(times) - share * length) < 1
+
+
+def test_pfair_sources_without_weight_come_last():
+    rows = list(pfair_mix.schedule({"a": 5, "b": 3, "c": 2}, {"a": 0.7, "b": 0.0, "c": 0.1**9}))
+    assert {r[1] for r in rows if r[7] + r[8] < 7} == {"a", "c"}
+    assert [(r[2], r[3], r[7]) for r in rows if r[1] == "b"] == [(0, 3, 7)]
+
+
 def test_mix_keeps_every_row(docs, empty):
     out = pfair_mix.digest(docs, {"hot": 0.6, "b": 0.3, None: 0.1})
     assert out.count() == docs.count()

@@ -8,11 +8,15 @@ import json
 from pulsewright import config
 from pulsewright.operators import telemetry as T
 from pulsewright.operators import vibration as V
+from pulsewright.operators.detectors import ControlLimits
 from pulsewright.plans import compressor
 from pulsewright.session import session
 from pulsewright.sources import registry, snapshots
 from pulsewright.sources import telemetry as S
 
+#: Detectors that score a minute by itself.
+STREAMED = ("isolation_forest", "control_limits")
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="pulsewright")
@@ -32,8 +36,9 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--limit", type=int)
     sub.add_parser("health")
     r = sub.add_parser("replay")
-    for x in ("--start", "--end", "--model", "--out"):
+    for x in ("--start", "--end", "--out"):
         r.add_argument(x)
+    r.add_argument("--model", choices=STREAMED, help="all of them by default")
     return p
 
 
@@ -83,14 +88,23 @@ def main(argv: list[str] | None = None) -> None:
         hi = V.health_indicator(V.cross_log_ratio(bt, z), cols, baseline_hours=h.get("baseline_hours", 24), skip_hours=h.get("skip_hours", 1), smoothing=h.get("smoothing_snapshots", 12), z_only=z)
         hi.write.mode("overwrite").parquet(at("health"))
     elif a.command == "replay":
-        from pulsewright.streaming.processor import Scorer, score_stream
+        from pulsewright.streaming.processor import Scorer, flush_stream, score_stream
 
-        models = {k: d for k, d in registry.load(spark, at("models"), [a.model] if a.model else None).items() if hasattr(d, "limits")}
-        scorer = Scorer({k: {f: tuple(x) for f, x in d.limits.items()} for k, d in models.items()}, {k: d.threshold for k, d in models.items()}, params.smoothing, params.persistence)
+        saved = S.read_json(spark, at("models/thresholds.json"))
+        models = registry.load(spark, at("models"), [a.model] if a.model else [k for k in STREAMED if k in saved])
+        limits = {k: {f: tuple(x) for f, x in d.limits.items()} for k, d in models.items() if isinstance(d, ControlLimits)}
+        mu_sd = S.read_json(spark, at("baseline.json"))
+        baseline = {z: (x, mu_sd[f"mu_{x}"], mu_sd[f"sd_{x}"]) for x, z in T.drift_targets(T.COMPRESSOR)}
+        scorer = Scorer(limits, {k: d.threshold for k, d in models.items()}, params.smoothing, params.persistence, baseline=baseline, models={k: d for k, d in models.items() if k not in limits})
         clean = spark.readStream.schema(S.read_clean(spark, at("clean")).schema).option("maxFilesPerTrigger", 1).parquet(at("clean"))
         rows = S.as_rows(S.replay_slice(clean, a.start, a.end))
-        q = score_stream(rows, T.COMPRESSOR, scorer).writeStream.format("json").option("path", a.out or at("replay")).option("checkpointLocation", at("replay_checkpoint")).trigger(availableNow=True).start()
+        # a folder a batch, so that a batch that runs again replaces its own; what the end leaves open is replaced by a run that goes on
+        write = lambda df, batch: df.write.mode("overwrite").json(f"{a.out or at('replay')}/batch={batch}")
+        q = score_stream(rows, T.COMPRESSOR, scorer).writeStream.foreachBatch(write).option("checkpointLocation", at("replay_checkpoint")).trigger(availableNow=True).start()
         q.awaitTermination()
+        last = spark.read.format("state-metadata").load(at("replay_checkpoint")).selectExpr("max(maxBatchId) AS last").first().last
+        if last is not None:
+            write(flush_stream(spark, at("replay_checkpoint"), T.COMPRESSOR, scorer), last + 1)
         print(json.dumps({"status": q.lastProgress and q.lastProgress.get("numInputRows")}))
 
 

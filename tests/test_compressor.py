@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from pulsewright.config import Params
@@ -44,3 +46,23 @@ def test_command_line(spark, tmp_path):
     main([*base, "replay", "--model", "control_limits"])
     assert spark.read.option("header", True).csv(str(tmp_path / "report")).count() == 2
     assert spark.read.json(str(tmp_path / "replay")).count() > 1400
+
+
+def test_replay_emits_every_minute_with_the_batch_scores_of_each_detector(spark, tmp_path):
+    from pulsewright.__main__ import main
+
+    telemetry(hours=14, frozen=None, gap=None, leak_from=12).to_csv(tmp_path / "raw.csv", index=False)
+    (tmp_path / "p.json").write_text(json.dumps({"train_split": {"start": "2020-03-01 00:00:00", "end": "2020-03-01 10:00:00"}, "alert_logic": {"smoothing_window_minutes": 5, "persistence_minutes": 5}}))
+    base = ["--config", str(tmp_path / "p.json"), "--data", str(tmp_path)]
+    main([*base, "features"])
+    main([*base, "models", "--train", "--no-lstm"])
+    main([*base, "replay"])
+    want = spark.read.parquet(str(tmp_path / "scores")).toPandas().set_index("t").sort_index()
+    drift = spark.read.parquet(str(tmp_path / "features")).toPandas().set_index("t").sort_index()
+    got = pd.DataFrame([json.loads(r.record) for r in spark.read.json(str(tmp_path / "replay")).collect()]).set_index("t").sort_index()
+    assert got.index.tolist() == want.index.tolist()  # the last minute too
+    for name in ("control_limits", "isolation_forest"):
+        np.testing.assert_allclose(got[f"score_{name}"], want[f"score_{name}"], rtol=1e-6, atol=1e-3)
+        assert {f"smoothed_{name}", f"flag_{name}"} <= set(got.columns)
+    for z in ("duty_cycle_drift_z", "oil_temp_drift_z"):
+        np.testing.assert_allclose(got[z].astype(float), drift[z].astype(float), rtol=1e-6, atol=1e-6)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pulsewright.cluster import ship
 from pulsewright.operators.alerts import smooth
 
-#: Rows of the healthy slice that NumPy detectors train on at most, chosen by a hash of the row.
+#: Rows of the healthy slice that trees and networks are grown on at most, chosen by a hash of the row's key.
+#: Medians, moments and thresholds are always those of all rows.
 MAX_TRAIN_ROWS = 200_000
 
 
@@ -68,13 +69,23 @@ class ControlLimits:
         return json.dumps({"kind": "control_limits", **asdict(self)})
 
 
-def training_frame(healthy: DataFrame, features: Sequence[str]) -> pd.DataFrame:
-    """The healthy slice's features on the driver, at most MAX_TRAIN_ROWS rows by a hash threshold."""
+def training_frame(healthy: DataFrame, features: Sequence[str], keys: Sequence[str] = ("asset", "t")) -> pd.DataFrame:
+    """The healthy slice's features on the driver, at most some MAX_TRAIN_ROWS rows by a hash threshold of the key."""
     n = healthy.count()
-    rows = healthy.select(*[F.col(f).cast("double").alias(f) for f in features])
+    rows = healthy
     if n > MAX_TRAIN_ROWS:
-        rows = rows.filter(F.pmod(F.xxhash64(*features), F.lit(1 << 20)) < int((1 << 20) * MAX_TRAIN_ROWS / n))
-    return rows.toPandas().sort_values(list(features)).reset_index(drop=True)
+        rows = rows.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 20)) < int((1 << 20) * MAX_TRAIN_ROWS / n))
+    return rows.select(*[F.col(f).cast("double").alias(f) for f in features]).toPandas().sort_values(list(features)).reset_index(drop=True)
+
+
+def moments(healthy: DataFrame, features: Sequence[str]) -> tuple[list[float], list[float], list[float]]:
+    """Medians, and means and deviations once they stand for nulls, over all rows; 0 for no median, 1 for a vanishing deviation."""
+    rows = healthy.select(*[F.col(f).cast("double").alias(f) for f in features])
+    row = rows.agg(*[F.median(f).alias(f"m_{f}") for f in features]).first()
+    fill = [row[f"m_{f}"] if row[f"m_{f}"] is not None else 0.0 for f in features]
+    filled = rows.fillna(dict(zip(features, fill, strict=True)))
+    row = filled.agg(*[F.avg(f).alias(f"a_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
+    return fill, [row[f"a_{f}"] or 0.0 for f in features], [row[f"s_{f}"] or 1.0 for f in features]
 
 
 def _c(n: float) -> float:
@@ -89,14 +100,14 @@ class IsolationForest:
     """Trees of random splits on medians-imputed, standardised features; the score is 2**(-mean depth / c), less 0.5.
 
     Ranks anomalies as such forests do; not bit-equal to any other one's random
-    numbers. Trees are arrays and score whole batches at once.
+    numbers. Trees are arrays and score whole batches at once. Each tree sees the
+    share max_samples of the training rows.
     """
 
     features: Sequence[str]
     contamination: float = 0.01
     n_trees: int = 200
     max_samples: float = 0.8
-    sample_cap: int = 256
     seed: int = 42
     threshold: float = 0.0
     fill: list[float] = field(default_factory=list)
@@ -105,21 +116,20 @@ class IsolationForest:
     trees: list[dict] = field(default_factory=list)
     sample: int = 0
 
-    def fit(self, healthy: DataFrame) -> IsolationForest:
-        return self.fit_frame(training_frame(healthy, self.features))
+    def fit(self, healthy: DataFrame, keys: Sequence[str] = ("asset", "t")) -> IsolationForest:
+        self.fill, self.mean, self.scale = moments(healthy, self.features)
+        self.grow(training_frame(healthy, self.features, keys))
+        scored = self.score(healthy, "_score").agg(F.percentile("_score", F.lit(1 - self.contamination)).alias("q")).first()
+        self.threshold = float("nan") if scored.q is None else float(scored.q)
+        return self
 
-    def fit_frame(self, pdf: pd.DataFrame) -> IsolationForest:
-        self.fill = pdf[list(self.features)].median().fillna(0.0).tolist()
-        x = pdf[list(self.features)].fillna(dict(zip(self.features, self.fill, strict=True))).to_numpy(float)
-        self.mean = x.mean(0).tolist()
-        self.scale = np.where(x.std(0) > 0, x.std(0), 1.0).tolist()
-        z = (x - self.mean) / self.scale
+    def grow(self, pdf: pd.DataFrame) -> None:
+        x = pdf[list(self.features)].to_numpy(float)
+        z = (np.where(np.isnan(x), self.fill, x) - self.mean) / self.scale
         rng = np.random.default_rng(self.seed)
-        self.sample = max(1, min(int(len(z) * self.max_samples), self.sample_cap))
+        self.sample = max(1, int(len(z) * self.max_samples))
         depth = int(np.ceil(np.log2(max(2, self.sample))))
         self.trees = [self._grow(z[rng.choice(len(z), self.sample, replace=False)], depth, rng) for _ in range(self.n_trees)]
-        self.threshold = float(np.quantile(self.score_array(x), 1 - self.contamination))
-        return self
 
     @staticmethod
     def _grow(z: np.ndarray, depth: int, rng: np.random.Generator) -> dict:
@@ -139,7 +149,8 @@ class IsolationForest:
             return at
 
         node(z, 0)
-        return {k: np.array(v) for k, v in tree.items()}
+        kinds = {"f": np.int16, "v": float, "l": np.int32, "r": np.int32, "d": float}
+        return {k: np.array(v, kinds[k]) for k, v in tree.items()}
 
     def score_array(self, x: np.ndarray) -> np.ndarray:
         x = np.where(np.isnan(x), self.fill, x)

@@ -12,11 +12,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsewright.cluster import ship
-from pulsewright.operators.detectors import MAX_TRAIN_ROWS
+from pulsewright.operators.detectors import MAX_TRAIN_ROWS, moments
 from pulsewright.operators.windows import ordered, sequences
 
 
@@ -155,27 +155,28 @@ class LstmAutoencoder:
         return (np.where(np.isnan(x), self.fill, x) - self.mean) / self.scale
 
     def fit(self, healthy: DataFrame, keys: Sequence[str] = ("asset",), t: str = "t") -> LstmAutoencoder:
-        """Train on the gap-free windows of the healthy slice: at most MAX_TRAIN_ROWS / seq_len of them, chosen by a hash."""
+        """Train on the gap-free windows of the healthy slice: at most MAX_TRAIN_ROWS / seq_len of them, chosen by a hash; the threshold is of all."""
         rows = healthy.select(*keys, t, *[F.col(f).cast("double").alias(f) for f in self.features])
-        agg = [F.median(f).alias(f"m_{f}") for f in self.features]
-        fill = rows.agg(*agg).first()
-        self.fill = [fill[f"m_{f}"] if fill[f"m_{f}"] is not None else 0.0 for f in self.features]
+        self.fill, self.mean, self.scale = moments(rows, self.features)
         filled = rows.fillna(dict(zip(self.features, self.fill, strict=True)))
-        stat = filled.agg(*[F.avg(f).alias(f"a_{f}") for f in self.features], *[F.stddev_pop(f).alias(f"s_{f}") for f in self.features]).first()
-        self.mean = [stat[f"a_{f}"] or 0.0 for f in self.features]
-        self.scale = [stat[f"s_{f}"] or 1.0 for f in self.features]
         seq = sequences(filled, list(keys), t, list(self.features), self.seq_len).filter("contiguous")
         most = MAX_TRAIN_ROWS // self.seq_len
         n = seq.count()
+        own = seq
         if n > most:
-            seq = seq.filter(F.pmod(F.xxhash64(*keys, t), F.lit(1 << 20)) < int((1 << 20) * most / n))
-        sample = seq.orderBy(*keys, t).select("sequence").collect()
+            own = seq.filter(F.pmod(F.xxhash64(*keys, t), F.lit(1 << 20)) < int((1 << 20) * most / n))
+        sample = own.orderBy(*keys, t).select("sequence").collect()
         x = np.array([[[r[f] for f in self.features] for r in row["sequence"]] for row in sample], float).reshape(-1, self.seq_len, len(self.features))
-        return self.fit_arrays(self.scaled(x))
+        self.fit_arrays(self.scaled(x))
+        if n > most:
+            windows = F.transform("sequence", lambda r: F.struct(*[r[f].alias(f) for f in self.features]))
+            self.threshold = float(seq.select(self._errors_of(seq.sparkSession)(windows).alias("e")).agg(F.percentile("e", F.lit(1 - self.contamination))).first()[0])
+        return self
 
-    def score(self, df: DataFrame, name: str = "score", keys: Sequence[str] = ("asset",), t: str = "t") -> DataFrame:
-        ship(df.sparkSession)
-        shared = df.sparkSession.sparkContext.broadcast(self)
+    def _errors_of(self, spark: SparkSession):
+        """A function of windows of rows: the error of each full one."""
+        ship(spark)
+        shared = spark.sparkContext.broadcast(self)
         n = self.seq_len
 
         @F.pandas_udf("double")
@@ -188,6 +189,11 @@ class LstmAutoencoder:
                 out[full] = model.errors(model.scaled(x))
             return pd.Series(out)
 
+        return run
+
+    def score(self, df: DataFrame, name: str = "score", keys: Sequence[str] = ("asset",), t: str = "t") -> DataFrame:
+        n = self.seq_len
+        run = self._errors_of(df.sparkSession)
         w = ordered(list(keys), [t])
         frame = w.rowsBetween(-(n - 1), 0)
         out = df.withColumn("_seq", F.collect_list(F.struct(*[F.col(f).cast("double").alias(f) for f in self.features])).over(frame))

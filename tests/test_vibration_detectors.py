@@ -120,6 +120,34 @@ def test_isolation_forest_ranks(spark, healthy, tmp_path):
     assert {k: tuple(v) for k, v in loaded.items()} == cl.limits
 
 
+def test_forest_takes_the_share_asked_for_and_statistics_of_all_rows(spark, monkeypatch):
+    n = 2000
+    pdf = pd.DataFrame({"asset": 0, "t": np.arange(n), "a": np.where(np.arange(n) % 3 == 0, 0.0, np.random.default_rng(1).normal(3, 2, n)), "b": 1.0})
+    pdf.loc[7, "a"] = None
+    df = spark.createDataFrame(pdf)
+    m = D.IsolationForest(["a", "b"], n_trees=20).fit(df)
+    assert m.sample == 1600
+    monkeypatch.setattr(D, "MAX_TRAIN_ROWS", 500)
+    kept = D.training_frame(df, ["a", "b"])
+    assert 350 < len(kept) < 650 and 0.2 < (kept.a == 0).mean() < 0.47  # equal rows are neither all kept nor all dropped
+    few = D.IsolationForest(["a", "b"], n_trees=20).fit(df)
+    assert few.sample == int(0.8 * len(kept)) and few.scale[1] == 1.0
+    filled = pdf.a.fillna(pdf.a.median())
+    np.testing.assert_allclose([few.fill[0], few.mean[0], few.scale[0]], [pdf.a.median(), filled.mean(), filled.std(ddof=0)])
+    assert abs(few.threshold - np.quantile(few.score(df).toPandas().score, 0.99)) < 1e-12
+
+
+def test_lstm_threshold_is_of_all_windows(spark, monkeypatch):
+    from pulsewright.operators import lstm
+
+    monkeypatch.setattr(lstm, "MAX_TRAIN_ROWS", 200)
+    df = spark.createDataFrame([(0, i, float(np.sin(i / 3)) + (i == 350) * 4) for i in range(400)], "asset int, t long, a double")
+    m = LstmAutoencoder(["a"], seq_len=5, hidden=3, latent=2, epochs=1).fit(df)
+    x = m.scaled(df.orderBy("t").toPandas().a.to_numpy().reshape(-1, 1))
+    errors = m.errors(np.stack([x[i : i + 5] for i in range(396)]))
+    assert abs(m.threshold - np.quantile(errors, 1 - m.contamination)) < 1e-9
+
+
 def test_thresholds_are_exact_quantiles(spark, healthy):
     q = D.calibrate(healthy.withColumn("s", F.col("b")), ["asset"], "t", "s", 1, 0.995).first().threshold
     assert abs(q - np.quantile(healthy.toPandas().b, 0.995)) < 1e-9

@@ -291,9 +291,18 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that are their group's first, one of each doc_id among them; rows without words or doc_id all stay."""
-    verdict = digest(docs)
-    gone = verdict.filter("not kept").select(F.col("doc_id").alias("doc_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    verdict = materialise(digest(docs), "near-verdict")
+    gone = verdict.filter("not kept").select("doc_id").distinct()
+    kept = verdict.filter("kept and doc_id is not null and n_shingles > 0")
+    again = materialise(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id").join(gone, "doc_id", "left_anti"), "near-again")
+    rows_of = lambda ids, how: docs.join(ids.toDF("_id"), docs["doc_id"].cast("long") == F.col("_id"), how)
+    if again.isEmpty():
+        return rows_of(gone, "left_anti")
+    # only the rows of ids that occur again are shuffled
+    worded = F.coalesce("text", F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]")
+    first = Window.partitionBy("doc_id", worded).orderBy(F.xxhash64("text"), "text")
+    one = rows_of(again, "left_semi").withColumn("_r", F.row_number().over(first)).filter((F.col("_r") == 1) | ~worded).drop("_r")
+    return rows_of(gone.union(again), "left_anti").unionByName(one)
 
 
 ORACLE_SQL = r"""

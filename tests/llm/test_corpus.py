@@ -282,6 +282,14 @@ def check_near_duplicates(docs):
     assert {r.doc_id for r in out.collect()} == {x[0] for x in want if x[3]}
 
 
+def test_near_duplicates_leave_one_row_of_an_id(spark):
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, a), (1, a), (2, a), (3, b), (4, b), (4, b), (5, c), (None, c), (None, c), (6, None), (6, " \n"), (7, "\t"), (8, "one"), (8, "one")]
+    out = setsketch_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert collected(out, "doc_id", "text") == sorted([(1, a), (3, b), (5, c), (None, c), (None, c), (6, None), (6, " \n"), (7, "\t"), (8, "one")], key=repr)
+
+
 def test_near_duplicates(docs, empty):
     check_near_duplicates(docs)
     assert setsketch_dedup.digest(empty).count() == 0

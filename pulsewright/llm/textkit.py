@@ -49,7 +49,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the whole word."""
     x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
+    x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
@@ -68,6 +68,17 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start] + (end - start).astype(np.uint64))
 
 
+def rolling_hash(prefix: np.ndarray, k: int) -> np.ndarray:
+    """span_hash of every k consecutive values, by first value; empty if there are fewer."""
+    n = len(prefix) - k
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    x = prefix[k:] - prefix[:n]
+    x *= powers(len(prefix))[1][:n]
+    x += np.uint64(k)
+    return mix(x)
+
+
 def rows_as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and its n + 1 offsets into them; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -131,11 +142,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of k consecutive words, by first word; empty if there are fewer. Rows are not kept apart."""
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return span_hash(prefix_hash(words), at, at + k)
+    return rolling_hash(prefix_hash(words), k)
 
 
 def whole_grams(row_of: np.ndarray, k: int) -> np.ndarray:
@@ -147,19 +154,33 @@ def row_of_words(word_at: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(word_at) - 1), np.diff(word_at))
 
 
+#: Bits of a hash that give way to a place when minima are sought.
+_PLACE_BITS = 24
+
+
 def window_min(h: np.ndarray, w: int) -> np.ndarray:
-    """Position of the last minimum in each window of w values: one for each of the len(h) - w + 1 windows."""
+    """Position of the last minimum (of the upper bits of h) in each window of w values: one for each of the len(h) - w + 1 windows.
+
+    The place stands in the lower bits, the later the less, so one minimum finds
+    value and place; long inputs are taken in overlapping parts.
+    """
     n = len(h) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    best, at, size = h, np.arange(len(h)), 1
-    while size < w:  # doubling: a window of up to 2 * size is the better of two that overlap
-        step = min(size, w - size)
-        a, b = best[: len(best) - step], best[step:]
-        right = b <= a
-        best, at = np.where(right, b, a), np.where(right, at[step:], at[: len(at) - step])
-        size += step
-    return at
+    mask = np.uint64((1 << _PLACE_BITS) - 1)
+    part = (1 << _PLACE_BITS) - w
+    out = np.empty(n, np.int64)
+    for s in range(0, n, part):
+        own = h[s : min(s + part, n) + w - 1]
+        best = own | mask
+        best -= np.arange(len(own), dtype=np.uint64)
+        size = 1
+        while size < w:  # doubling: a window of up to 2 * size is the better of two that overlap
+            step = min(size, w - size)
+            best = np.minimum(best[:-step], best[step:])
+            size += step
+        out[s : s + len(best)] = (mask - (best & mask)).astype(np.int64) + s
+    return out
 
 
 def winnow(h: np.ndarray, word_at: np.ndarray, k: int, w: int) -> np.ndarray:

@@ -37,7 +37,7 @@ from pulsewright.cluster import discard, materialise, only_rows_of
 from pulsewright.llm import textkit as K
 
 #: Different pieces of a group at most; larger groups are split by longer prefixes.
-MOST = 500
+MOST = 128
 #: Bytes of contexts that are named at once, unless one group has more.
 TOGETHER = 1 << 18
 _NAME_BITS = 21

@@ -1,28 +1,20 @@
-"""Exact substring dedup over bytes with a sampled cover of the suffixes.
-
-A byte goes if it lies in a string of `span` bytes that also starts anywhere
-else. Whether two suffixes agree in their first `span` bytes is what a suffix
-array tells of neighbours. A difference cover makes such an array cheap to
-compare: it samples suffixes so that any two suffixes have sampled ones at one
-common shift. Here the cover is chosen by content, not by residue: of each
-window of `span` bytes the place of the least hash of `gram` bytes is
-sampled (the last, if several), so equal windows have their sample at
-the same shift, and only one suffix in about 70 is sampled, not two in three.
-
-1. *Name the samples.* The sampled prefixes of `gram` bytes are named and
-   counted; a sample whose name occurs once ends here, with all its windows.
-2. *Names of names.* All windows of one sample form a segment, which is
-   named as a whole. Equal segments settle all their windows at once.
-3. *Merge the rest.* Windows of a segment that stands alone under a shared
-   name are compared one by one, each with the windows of one representative of
-   every different segment of that name.
-4. *Equal prefixes.* Windows with equal names are repeats; each document's
-   covered bytes are removed in one pass.
+"""Exact substring dedup over bytes: a cover of the suffixes, names of triples, equal prefixes of neighbours.
+
+Whether two suffixes agree in their first `span` bytes is what a suffix array
+tells of neighbours. The steps are those of the difference-cover algorithm:
+sample suffixes so that any two have samples at a common shift, name strings by
+sorted triples of names, and compare what is left with its neighbours. The
+cover is chosen by content, not by residue (see `repeats`): equal windows of
+`span` bytes have their sample at the same shift, and one suffix in about 70 is
+sampled, not two in three. So the suffixes between samples need no array of their
+own: those whose sample stands nowhere else are settled, and the others are sorted
+and named in groups.
 
 Copies of whole texts are settled first by a hash of the text: all their bytes
-go. Names are 64-bit hashes, those of windows and texts 128-bit. All tables are keyed
-by content, so rows that repeat, share an id or have none need no special case.
-A null text is empty. Matches never cross texts.
+go. Keys of texts are of 128 bits. All tables are keyed by content, so rows that
+repeat, share an id or have none need no special case. A null text is empty, an
+empty table gives an empty result, ties cannot matter, and matches never cross
+texts. A text of any length is cut up by its samples.
 """
 
 from __future__ import annotations
@@ -35,106 +27,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsewright.cluster import discard, materialise, only_rows_of, ship
+from pulsewright.cluster import materialise, only_rows_of, ship
+from pulsewright.llm import repeats as R
 from pulsewright.llm import textkit as K
 from pulsewright.llm.rows import pack, unpack
 
 SPAN = 200
 GRAM = 64
-_SECOND = K.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def _segments(data: np.ndarray, offsets: np.ndarray, span: int, gram: int):
-    """(row, first window, last window, name of the sample, name of the segment) of each sample of all rows, and the bytes' prefix hash."""
-    prefix = K.prefix_hash(K.BYTE_VALUE[data])
-    n = len(data) - span + 1
-    if n <= 0:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none.view(np.uint64), none.view(np.uint64), prefix
-    at = np.arange(len(data) - gram + 1)
-    grams = K.span_hash(prefix, at, at + gram)
-    picked = K.window_min(grams, span - gram + 1)
-    row = np.searchsorted(offsets, np.arange(n), "right") - 1
-    inside = np.arange(n) + span <= offsets[row + 1]
-    new = np.ones(n, bool)
-    new[1:] = (picked[1:] != picked[:-1]) | ~inside[:-1] | (row[1:] != row[:-1])
-    first = np.flatnonzero(new & inside)
-    stop = np.flatnonzero(np.append(new[1:] | ~inside[1:], True) & inside)
-    names = grams[picked[first]]
-    segments = K.mix(K.span_hash(prefix, first, stop + span) + (picked[first] - first).astype(np.uint64))
-    return row[first], first, stop, names, segments, prefix
-
-
-def _sample(span: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, data, offsets in K.chunks(b.column("text")):
-                row, _, _, names, segments, _ = _segments(data, offsets, span, gram)
-                key = np.stack([row.astype(np.uint64), names, segments], 1)
-                key, count = np.unique(key, axis=0, return_counts=True)
-                of = b.column("k1").slice(i, j - i).take(pa.array(key[:, 0].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([of, *(pa.array(np.ascontiguousarray(key[:, c]).view(np.int64)) for c in (1, 2)), pa.array(count.astype(np.int32))], ["k1", "name", "segment", "n"])
-
-    return run
-
 
-def _lists(b: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
-    values = b.column(column)
-    cut = values.offsets.to_numpy()
-    return values.flatten().to_numpy(zero_copy_only=False).view(np.uint64), cut - cut[0]
-
-
-def _windows(span: int, gram: int):
-    """Names of the windows of the segments listed in `part`, with how often they occur in the text."""
 
+def _cut(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            part, cut = _lists(b, "part")
-            for i, j, data, offsets in K.chunks(b.column("text")):
-                row, first, stop, _, segments, prefix = _segments(data, offsets, span, gram)
-                second = K.prefix_hash(_SECOND[data])
-                for r in range(j - i):
-                    own = np.flatnonzero(row == r) if j - i > 1 else np.arange(len(row))
-                    own = own[np.isin(segments[own], part[cut[i + r] : cut[i + r + 1]])]
-                    if not len(own):
-                        continue
-                    n = stop[own] - first[own] + 1
-                    at = np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    p1, p2 = (K.span_hash(x, at, at + span) for x in (prefix, second))
-                    u, where, count = np.unique(p1, return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([b.column("k1").take(pa.array(np.full(len(u), i + r))), pa.array(u.view(np.int64)), pa.array(p2[where].view(np.int64)), pa.array(count.astype(np.int32))], ["k1", "p1", "p2", "n"])
-
-    return run
-
-
-def _cut(span: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            (whole, whole_cut), (single, single_cut) = _lists(b, "whole"), _lists(b, "single")
+            raw, at = K.rows_as_bytes(b.column("text"))
             removed, spans, kept, shas = [], [], [], []
-            for i, j, data, offsets in K.chunks(b.column("text")):
-                row, first, stop, _, segments, prefix = _segments(data, offsets, span, gram)
-                for r in range(j - i):
-                    lo, hi = int(offsets[r]), int(offsets[r + 1])
-                    own = np.flatnonzero(row == r) if j - i > 1 else np.arange(len(row))
-                    hit = np.isin(segments[own], whole[whole_cut[i + r] : whole_cut[i + r + 1]])
-                    depth = np.zeros(hi - lo + 1, np.int64)
-                    np.add.at(depth, first[own[hit]] - lo, 1)
-                    np.add.at(depth, stop[own[hit]] + span - lo, -1)
-                    few = single[single_cut[i + r] : single_cut[i + r + 1]]
-                    if len(few):
-                        rest = own[~hit]
-                        n = stop[rest] - first[rest] + 1
-                        at = np.repeat(first[rest] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                        at = at[np.isin(K.span_hash(prefix, at, at + span), few)]
-                        np.add.at(depth, at - lo, 1)
-                        np.add.at(depth, at + span - lo, -1)
-                    gone = np.cumsum(depth[:-1]) > 0
-                    text = data[lo:hi][~gone].tobytes()
-                    removed.append(int(gone.sum()))
-                    spans.append(int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum()))
-                    kept.append(text.decode("utf-8", "replace"))
-                    shas.append(hashlib.sha256(text).hexdigest())
+            for r, gone in enumerate(R.covered(b.column("runs"), span, np.diff(at))):
+                text = raw[at[r] : at[r + 1]][~gone].tobytes()
+                removed.append(int(gone.sum()))
+                spans.append(int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum()))
+                kept.append(text.decode("utf-8", "replace"))
+                shas.append(hashlib.sha256(text).hexdigest())
+            K.tidy()
             yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string()), pa.array(shas, pa.string())], ["k1", "k2", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     return run
@@ -146,47 +59,26 @@ def keyed(docs: DataFrame) -> DataFrame:
     return t.withColumns({"k1": F.xxhash64("_t"), "k2": F.xxhash64(F.lit(1), "_t")})
 
 
-def _named_windows(texts: DataFrame, part: DataFrame, span: int, gram: int) -> DataFrame:
-    rows = only_rows_of(texts, part, ["k1"]).dropDuplicates(["k1"]).join(part, "k1")
-    return rows.select("k1", "text", "part").mapInArrow(_windows(span, gram), "k1 long, p1 long, p2 long, n int")
-
-
-def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, most: int = R.MOST) -> tuple[DataFrame, DataFrame]:
     """(copies, cut): keys of texts that occur in several rows, and k1, k2, n_removed, n_spans, kept, kept_sha256 of other texts that lose bytes."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     rows = keyed(docs.select("doc_id", "text")).filter(F.octet_length("_t") >= span)
     copies = materialise(rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_rows"), F.min("doc_id").alias("least")).filter("n_rows > 1"), "cover-copies")
     extra = materialise(rows.select("doc_id", "k1", "k2").join(copies, ["k1", "k2"]).filter("not doc_id <=> least").select("doc_id", "k1", "k2").distinct(), "cover-extra")
     few = extra.count() <= 500_000
     drop = F.broadcast(extra) if few else extra
-    texts = rows.join(drop.toDF("_id", "_k1", "_k2"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left_anti").select("k1", "k2", F.col("_t").alias("text"))
-
-    samples = materialise(texts.select("k1", "text").mapInArrow(_sample(span, gram), "k1 long, name long, segment long, n int"), "cover-samples")
-    names = materialise(samples.groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1").select("name"), "cover-names")
-    shared = materialise(samples.join(names, "name"), "cover-shared")
-    discard(samples, names)
-    segments = materialise(shared.groupBy("name", "segment").agg(F.sum("n").alias("n"), F.min("k1").alias("k1")), "cover-segments")
-    whole = shared.join(segments.filter("n > 1").select("name", "segment"), ["name", "segment"]).groupBy("k1").agg(F.collect_set("segment").alias("whole"))
-    alone = segments.filter("n = 1").select("name").distinct()
-    part = materialise(segments.join(alone, "name").groupBy("k1").agg(F.collect_set("segment").alias("part"), F.collect_set(F.when(F.col("n") == 1, F.col("segment"))).alias("own")), "cover-part")
-
-    # the windows are named twice rather than kept: first of all these segments, then of those that stand alone
-    every = _named_windows(texts, part.select("k1", "part"), span, gram)
-    nodes = materialise(every.groupBy("p1", "p2").agg(F.sum("n").alias("n")).filter("n > 1").select("p1", "p2"), "cover-nodes")
-    own = _named_windows(texts, part.filter("size(own) > 0").select("k1", F.col("own").alias("part")), span, gram).select("k1", "p1", "p2")
-    single = own.join(nodes, ["p1", "p2"]).groupBy("k1").agg(F.collect_set("p1").alias("single"))
-    none = F.expr("cast(array() as array<long>)")
-    hits = materialise(whole.join(single, "k1", "full_outer").select("k1", F.coalesce("whole", none).alias("whole"), F.coalesce("single", none).alias("single")), "cover-hits")
-    discard(shared, segments, part, nodes)
-
-    cut = only_rows_of(texts, hits, ["k1"]).dropDuplicates(["k1", "k2"]).join(hits, "k1").select("k1", "k2", "text", "whole", "single").mapInArrow(_cut(span, gram), "k1 long, k2 long, n_removed long, n_spans long, kept string, kept_sha256 string")
+    texts = rows.join(drop.toDF("_id", "_k1", "_k2"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left_anti").select(F.col("k1").alias("a"), F.col("k2").alias("b"), F.col("_t").alias("text"))
+
+    found = materialise(texts.mapInArrow(R.find_pieces(R.of_bytes, span, gram), R.PIECE), "cover-pieces")
+    runs = R.repeated_windows(found, texts, R.of_bytes, span, gram, most=most).toDF("k1", "k2", "runs")
+    texts = texts.toDF("k1", "k2", "text")
+    cut = only_rows_of(texts, runs, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).join(runs, ["k1", "k2"]).mapInArrow(_cut(span), "k1 long, k2 long, n_removed long, n_spans long, kept string, kept_sha256 string")
     return copies, cut.join(copies.select("k1", "k2"), ["k1", "k2"], "left_anti")
 
 
-def digest(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def digest(docs: DataFrame, span: int = SPAN, most: int = R.MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of `docs`."""
-    copies, cut = repeats(docs, span)
+    copies, cut = repeats(docs, span, most=most)
     rows = keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "k1", "k2", F.octet_length("_t").cast("long").alias("n_bytes"), F.sha2(F.col("_t").cast("binary"), 256).alias("sha"))
     info = cut.select("k1", "k2", "n_removed", "n_spans", "kept_sha256", F.lit(False).alias("all")).unionByName(
         copies.select("k1", "k2", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit(True).alias("all"))

@@ -225,7 +225,7 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
 
-def test_substring_bytes(docs, empty):
+def check_substring_bytes(docs, most):
     rows = source(docs)
     seen = Counter()
     for _, t in rows:
@@ -240,12 +240,59 @@ def test_substring_bytes(docs, empty):
                 gone[p : p + 200] = True
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         want.append((i, len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    assert collected(suffix_cover_dedup.digest(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
+    assert collected(suffix_cover_dedup.digest(docs, most=most), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
+
+
+def check_substring_words(docs, most):
+    rows = source(docs)
+    split = lambda t: [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+    least: dict = {}
+    for i, t in rows:
+        w = split(t)
+        for p in range(len(w) - 49):
+            k = tuple(w[p : p + 50])
+            if i is not None:
+                least[k] = min(i, least.get(k, i))
+    want = []
+    for i, t in rows:
+        w = split(t)
+        gone = np.zeros(len(w), bool)
+        for p in range(len(w) - 49):
+            if i is not None and least[tuple(w[p : p + 50])] < i:
+                gone[p : p + 50] = True
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        want.append((i, len(w), int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest()))
+    assert collected(substring_trees.digest(docs, most=most), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("most", [2, 500])
+def test_substring_bytes(docs, empty, most):
+    check_substring_bytes(docs, most)
     out = suffix_cover_dedup.dedup_bytes(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
     assert suffix_cover_dedup.digest(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [2, 500])
+def test_substring_words(docs, empty, most):
+    check_substring_words(docs, most)
+    out = substring_trees.dedup_substrings(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert substring_trees.digest(empty).count() == 0
+
+
+def test_hot_passages_are_found(spark):
+    """One line in every document, before and behind different words, and a periodic text: groups that must be split."""
+    rng = random.Random(5)
+    line = prose(rng, 90)
+    texts = [prose(rng, rng.randint(0, 50)) + " " + line[rng.choice([0, 0, 40]) :] + " " + prose(rng, rng.randint(0, 50)) for _ in range(60)]
+    texts += ["ab " * 150, "xyz " * 90 + "ab " * 100, line[:300], line[5:210], line + line]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for most in (4,):
+        check_substring_bytes(df, most)
+        check_substring_words(df, most)
+
+
 def test_quality_rules(docs, empty):
     for r in quality_rules.digest(docs).collect():
         t = next(t for i, t in source(docs) if i == r.doc_id)
@@ -399,31 +446,6 @@ def test_label_model_learns_who_is_right():
     assert weak_quality.label_model({}) == {}
 
 
-def test_substring_words(docs, empty):
-    rows = source(docs)
-    split = lambda t: [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
-    least: dict = {}
-    for i, t in rows:
-        w = split(t)
-        for p in range(len(w) - 49):
-            k = tuple(w[p : p + 50])
-            if i is not None:
-                least[k] = min(i, least.get(k, i))
-    want = []
-    for i, t in rows:
-        w = split(t)
-        gone = np.zeros(len(w), bool)
-        for p in range(len(w) - 49):
-            if i is not None and least[tuple(w[p : p + 50])] < i:
-                gone[p : p + 50] = True
-        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
-        want.append((i, len(w), int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest()))
-    assert collected(substring_trees.digest(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
-    out = substring_trees.dedup_substrings(docs)
-    assert out.columns == docs.columns and out.count() == docs.count()
-    assert substring_trees.digest(empty).count() == 0
-
-
 def test_training_is_deterministic():
     texts = [b"abc def", b"xyz uvw", b"abc abc", b"xyz xyz"] * 5
     y = np.eye(2)[[0, 1, 0, 1] * 5]

@@ -4,18 +4,21 @@ A word suffix matters only as far as its first `window` words: the subtree
 below that depth is never needed, and two suffixes meet in a node of that depth
 or more exactly if those words are equal.  So each suffix tree is cut there.
 
-1. *Prefix filter.* Of each document's suffixes, the anchors (winnowed
-   `gram`-word prefixes) are counted over the corpus. Each window holds at
-   least one, chosen by its own words alone, so a window whose anchor does not
-   occur in two documents is a leaf and never leaves its document.
-2. *Groups.* The suffixes that remain are split by their prefix of full depth.
-   The split is a hash partitioning: a group is what one task holds, and Spark
-   sorts and spills it. A prefix that is too frequent for one task is one
-   single deep node, so it is aggregated before the shuffle, never gathered.
-3. *Deep nodes.* A node of depth `window` with leaves in several documents is a
-   maximal repeat; its least document keeps the words, all others lose them.
+1. *Prefixes.* Suffixes are grouped by the prefix that begins at their sample, the
+   winnowed `gram`-word run that each window chooses by its own words alone.
+   Prefixes that occur in one document only are leaves and never leave it.
+2. *Groups.* Prefixes of groups that are too large for a task's memory grow, word by
+   word on the side where all of the group's suffixes go on, until every group is
+   small enough; a window that is too frequent by itself is one single deep node,
+   counted before any shuffle (see `repeats`).
+3. *Trees.* A task builds the tree of its group level by level, from sorted names of
+   1, 3, 9, 27 and `window` words. The internal nodes of full depth with leaves in
+   several documents are the maximal repeats; the least document keeps the words, all
+   others lose them.
 
 Copies of whole documents are settled by a hash of all words before step 1.
+Nulls are empty texts, an empty table gives an empty result, and rows that repeat
+an id are settled each by its own text. Words are told by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,95 +31,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsewright.cluster import discard, materialise, only_rows_of, ship
+from pulsewright.cluster import materialise, only_rows_of, ship
+from pulsewright.llm import repeats as R
 from pulsewright.llm import textkit as K
 
 WINDOW = 50
 GRAM = 20
 _SECOND = np.uint64(0x9E3779B97F4A7C15)
 
-SKETCH = "doc_id long, rid long, n_words long, s1 long, s2 long, all_sha256 string, anchors array<long>"
-
-
-def _words(data: np.ndarray, offsets: np.ndarray):
-    starts, ends, at = K.word_spans(data, offsets, K.NON_SPACE)
-    return starts, ends, at, K.word_hashes(data, starts, ends)
+_PIECE = pa.struct([("node", pa.int64()), ("segment", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
+SKETCH = "doc_id long, rid long, n_words long, s1 long, s2 long, all_sha256 string, pieces array<struct<node:long,segment:long,at:int,n:int,s:int,e:int>>"
 
 
 def _sketch(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offsets in K.chunks(b.column("text")):
-                _, _, at, h = _words(data, offsets)
-                h2 = K.mix(h ^ _SECOND)
-                s1, s2 = (K.span_hash(K.prefix_hash(x), at[:-1], at[1:]) for x in (h, h2))
-                grams = K.gram_hashes(h, gram)
-                picked = K.winnow(grams, at, gram, window - gram + 1)
-                row = K.row_of_words(at)[picked]
-                n = np.diff(at)
-                long_enough = n[row] >= window
-                key = np.unique(np.stack([row[long_enough].astype(np.uint64), grams[picked[long_enough]]], 1), axis=0)
-                cut = np.searchsorted(key[:, 0], np.arange(j - i + 1))
+                x = R.of_words(data, offsets)
+                s1, s2 = (K.span_hash(K.prefix_hash(v), x.cut[:-1], x.cut[1:]) for v in (x.values, K.mix(x.values ^ _SECOND)))
+                row, first, n, node, segment = R.pieces(x, window, gram)
+                cut = pa.array(np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32))
+                places = (first - x.cut[row], n, x.begin(first) - offsets[row], x.end(first + n - 1 + window) - offsets[row])
+                values = pa.StructArray.from_arrays([*(pa.array(v.view(np.int64)) for v in (node, segment)), *(pa.array(v.astype(np.int32)) for v in places)], fields=list(_PIECE))
                 shas = [hashlib.sha256(b" ".join(data[s:e].tobytes().split())).hexdigest() for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id").slice(i, j - i), b.column("rid").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(shas),
-                        pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(np.ascontiguousarray(key[:, 1]).view(np.int64))),
-                    ],
-                    ["doc_id", "rid", "n_words", "s1", "s2", "all_sha256", "anchors"],
+                    [b.column("doc_id").slice(i, j - i), b.column("rid").slice(i, j - i), pa.array(np.diff(x.cut).astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(shas), pa.ListArray.from_arrays(cut, values)],
+                    ["doc_id", "rid", "n_words", "s1", "s2", "all_sha256", "pieces"],
                 )
 
     return run
 
 
-def _candidates(h: np.ndarray, at: np.ndarray, r: int, alive: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """First words, in row r, of windows whose own anchor is alive (equal windows have equal anchors)."""
-    own = h[at[r] : at[r + 1]]
-    if len(own) < window:
-        return np.zeros(0, np.int64)
-    grams = K.gram_hashes(own, gram)
-    return np.flatnonzero(np.isin(grams, alive)[K.window_min(grams, window - gram + 1)])
-
-
-def _suffixes(window: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            alive, cut = b.column("alive").flatten().to_numpy(zero_copy_only=False).view(np.uint64), b.column("alive").offsets.to_numpy()
-            cut = cut - cut[0]
-            for i, j, data, offsets in K.chunks(b.column("text")):
-                _, _, at, h = _words(data, offsets)
-                full, second = K.gram_hashes(h, window), K.gram_hashes(K.mix(h ^ _SECOND), window)
-                keys, docs = [], []
-                for r in range(j - i):
-                    p = _candidates(h, at, r, alive[cut[i + r] : cut[i + r + 1]], window, gram) + at[r]
-                    _, first = np.unique(full[p], return_index=True)
-                    keys.append(p[first])
-                    docs.append(np.full(len(first), i + r))
-                p, d = np.concatenate(keys), pa.array(np.concatenate(docs))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(d), b.column("rid").take(d), pa.array(full[p].view(np.int64)), pa.array(second[p].view(np.int64))], ["doc_id", "rid", "p1", "p2"])
-
-    return run
-
-
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone, cut = b.column("gone").flatten().to_numpy(zero_copy_only=False).view(np.uint64), b.column("gone").offsets.to_numpy()
-            cut = cut - cut[0]
             removed, texts, shas = [], [], []
             for i, j, data, offsets in K.chunks(b.column("text")):
-                starts, ends, at, h = _words(data, offsets)
-                for r in range(j - i):
-                    own = h[at[r] : at[r + 1]]
-                    hit = np.flatnonzero(np.isin(K.gram_hashes(own, window), gone[cut[i + r] : cut[i + r + 1]]))
-                    depth = np.zeros(len(own) + 1, np.int64)
-                    np.add.at(depth, hit, 1)
-                    np.add.at(depth, hit + window, -1)
-                    keep = np.flatnonzero(np.cumsum(depth[:-1]) == 0) + at[r]
-                    raw = data.tobytes() if j - i == 1 else data[offsets[r] : offsets[r + 1]].tobytes()
-                    base = offsets[r]
-                    text = b" ".join(raw[s - base : e - base] for s, e in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True))
-                    removed.append(len(own) - len(keep))
+                x = R.of_words(data, offsets)
+                for r, gone in enumerate(R.covered(b.column("runs").slice(i, j - i), window, np.diff(x.cut))):
+                    keep = np.flatnonzero(~gone) + x.cut[r]
+                    raw, base = data[offsets[r] : offsets[r + 1]].tobytes(), offsets[r]
+                    text = b" ".join(raw[s - base : e - base] for s, e in zip(x.starts[keep].tolist(), x.ends[keep].tolist(), strict=True))
+                    removed.append(int(gone.sum()))
                     texts.append(text.decode())
                     shas.append(hashlib.sha256(text).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), pa.array(removed, pa.int64()), pa.array(texts, pa.string()), pa.array(shas, pa.string())], ["doc_id", "rid", "n_removed", "kept_text", "kept_sha256"])
@@ -124,33 +80,27 @@ def _cut(window: int):
     return run
 
 
-def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = R.MOST) -> tuple[DataFrame, DataFrame]:
     """(sketch, cut): a row per document with n_words and all_sha256, and a row per document that loses words.
 
     `cut` has doc_id, rid, n_removed, kept_text (kept words joined by a space)
     and kept_sha256. Keys are doc_id and rid, a hash of the row's id and text,
     so rows that repeat an id are settled each by its own text.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     on = ["doc_id", "rid"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     sketch = materialise(rows.mapInArrow(_sketch(window, gram), SKETCH), "trees-sketch")
     known = sketch.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
 
-    first = known.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    first = materialise(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("s1", "s2", "least"), "trees-first")
     copies = materialise(known.select(*on, "s1", "s2", "n_words").join(first, ["s1", "s2"]).filter("doc_id > least").select(*on, "n_words").distinct(), "trees-copies")
+    few = copies.count() <= 500_000
+    gone = F.broadcast(copies.select(*on)) if few else copies.select(*on)
 
-    anchors = known.join(copies.select(*on), on, "left_anti").select(*on, F.explode("anchors").alias("anchor"))
-    shared = materialise(anchors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("anchor"), "trees-shared")
-    alive = materialise(anchors.join(shared, "anchor").groupBy(*on).agg(F.collect_set("anchor").alias("alive")), "trees-alive")
-
-    suffixes = materialise(only_rows_of(rows, alive, on).join(alive, on).select(*on, "text", "alive").mapInArrow(_suffixes(window, gram), "doc_id long, rid long, p1 long, p2 long"), "trees-suffixes")
-    nodes = materialise(suffixes.groupBy("p1", "p2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("p1", "p2", "least"), "trees-nodes")
-    gone = materialise(suffixes.join(nodes, ["p1", "p2"]).filter("doc_id > least").groupBy(*on).agg(F.collect_set("p1").alias("gone")), "trees-gone")
-    discard(suffixes, nodes, shared, alive)
-
-    cut = only_rows_of(rows, gone, on).join(gone, on).select(*on, "text", "gone").mapInArrow(_cut(window), "doc_id long, rid long, n_removed long, kept_text string, kept_sha256 string").dropDuplicates(on)
+    found = materialise(known.join(gone, on, "left_anti").select(F.col("doc_id").alias("a"), F.col("rid").alias("b"), F.explode("pieces").alias("p")).select("a", "b", "p.*"), "trees-pieces")
+    runs = R.repeated_windows(found, rows.select(F.col("doc_id").alias("a"), F.col("rid").alias("b"), "text"), R.of_words, window, gram, first_stays=True, most=most).toDF(*on, "runs")
+    cut = only_rows_of(rows, runs, on).join(runs, on).select(*on, "text", "runs").mapInArrow(_cut(window), "doc_id long, rid long, n_removed long, kept_text string, kept_sha256 string").dropDuplicates(on)
     nothing = hashlib.sha256(b"").hexdigest()
     whole = copies.select(*on, F.col("n_words").alias("n_removed"), F.lit("").alias("kept_text"), F.lit(nothing).alias("kept_sha256"))
     return sketch, cut.unionByName(whole)
@@ -168,9 +118,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     return joined.select(*[F.coalesce(F.col("c.kept_text"), F.col("d.text")).alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
 
 
-def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def digest(docs: DataFrame, window: int = WINDOW, most: int = R.MOST) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of `docs`."""
-    sketch, cut = removals(docs, window)
+    sketch, cut = removals(docs, window, most=most)
     out = sketch.select("doc_id", "rid", "n_words", "all_sha256").join(cut.select("doc_id", "rid", "n_removed", "kept_sha256"), ["doc_id", "rid"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "all_sha256").alias("kept_sha256"))
 

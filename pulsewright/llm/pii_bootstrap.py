@@ -6,25 +6,31 @@ their kind's test (parts up to 255, Luhn, number of digits) are dropped.
 Quantifiers are possessive wherever what follows cannot match what they took,
 which changes no match but keeps the matcher iterative on very long runs.
 
-*Bootstrap.* Tokens with a digit or an @ are instances; the two words before
-one, lower-cased, are its pattern. Instances that overlap a base match are the
-seeds, with score 1. The bipartite graph of patterns and distinct instances is
-scored in rounds: a pattern's confidence is the share of its instances'
-scores, if it has support enough; an instance's score is the chance that one
-of its patterns is right. Instances that reach `CONFIDENCE` without being
-seeds are new identifiers, found wherever such a pattern stands before them,
-reported as kind `found`.
-
-Nulls: a null text is empty. Rows that repeat an id are settled each by its own
-text. Patterns and instances are hashed and aggregated before each shuffle.
+*Bootstrap.* Instances are the base matches, and the runs of letters, digits and
+a few marks that hold a digit or an @ and touch no base match. The seeds, with score
+1, are the base matches and runs that look like keys (`KEY`). What stands around an
+instance makes its patterns: the word before with the marks between (`token = "`) and
+the character behind, if there are such marks; and the two words before. The
+bipartite graph of patterns and distinct instances is scored in rounds: a pattern's
+confidence is the mean score of its instances, if their scores add up to `SUPPORT`; an
+instance's score is the chance that one of its trusted patterns is right. So what one
+round finds supports patterns in the next. Runs that reach `CONFIDENCE` and stand in a
+trusted pattern are reported as kind `found`: keys among them, so a key-like run
+in no such context is left alone.
+
+Texts of any length: matches become rows, and their places are running sums, so work is
+linear in them. Nulls: a null text is empty; an empty table gives an empty result. Rows
+that repeat an id are settled each by its own text, and ties of patterns cannot
+matter. Other columns are not read. Patterns and instances are hashed and aggregated
+before each shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsewright.cluster import discard, materialise
+from pulsewright.cluster import BROADCAST_ROWS, discard, materialise
 
 # The base patterns, in the order in which kinds are listed.
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -32,16 +38,23 @@ IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-#: A cheap test that every text with a match passes.
-HINT = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
+#: Runs with a digit or an @, from where no such run goes on before.
+RUN = r"(?<![A-Za-z0-9_.%+/@-])[A-Za-z_.%+/-]*+[0-9@][A-Za-z0-9_.%+/@-]*+"
+#: A cheap test that every text with a match passes.
+HINT = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]", "run": "[0-9@]"}
+#: Runs that look like keys: long, with letters and digits.
+KEY = r"^(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])(?:[0-9a-fA-F]{32,}|[A-Za-z0-9_+/-]{24,})$"
 
 ROUNDS = 3
-#: Distinct seeds that a pattern needs, and the confidence that patterns and instances need.
+#: Scores that the instances of a pattern must add up to, and the confidence that patterns and instances need.
 SUPPORT = 5
 CONFIDENCE = 0.9
+#: Characters before an instance that are looked at.
+CONTEXT = 48
+_WORD, _GAP = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]{1,6}"
 
-_SPACE = " \t\n\x0b\f\r"
+KINDS = [*PATTERNS, "run"]
 SPAN = "struct<s:int,e:int>"
 
 
@@ -65,72 +78,82 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def spans(text: Column, kind: str) -> Column:
-    """Array of (s, e) of a kind's matches that pass, in code points, e exclusive: the pieces between matches tell where they stand."""
-    rx = PATTERNS[kind]
+def matches(text: Column, kind: str) -> Column:
+    """Array of a kind's matches in order: kind's number, place in the order, characters between it and the one before, match, and what stands before and behind."""
+    rx = PATTERNS.get(kind, RUN)
     pieces, found = F.split(text, rx, -1), F.regexp_extract_all(text, F.lit(rx), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
+    zipped = F.arrays_zip(found.alias("m"), pieces.alias("p"), F.slice(pieces, F.lit(2), F.size(found)).alias("q"), F.concat(F.array(F.lit("")), found).alias("b"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["0"])
-        e = s + F.coalesce(F.length(x["1"]), F.lit(0))
-        ok = F.coalesce(F.when(x["1"].isNotNull(), valid(kind, x["1"])), F.lit(False))
-        out = F.when(ok, F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"))))).otherwise(acc["out"])
-        return F.struct(e.alias("at"), out.alias("out"))
+    def one(x: Column, i: Column) -> Column:
+        before = F.substring(F.concat(F.substring(x["b"], -CONTEXT, CONTEXT), x["p"]), -CONTEXT, CONTEXT)
+        return F.struct(F.lit(KINDS.index(kind)).alias("k"), i.alias("i"), F.length(x["p"]).alias("gap"), x["m"].alias("m"), before.alias("before"), F.substring(x["q"], 1, 1).alias("behind"))
 
-    folded = F.aggregate(F.arrays_zip(pieces.alias("0"), found.alias("1")), start, step)
-    return F.when(text.rlike(HINT[kind]), folded["out"]).otherwise(start["out"])
+    listed = F.transform(F.filter(zipped, lambda x: x["m"].isNotNull()), one)
+    return F.when(text.rlike(HINT[kind]), listed).otherwise(F.expr("cast(array() as array<struct<k:int,i:int,gap:int,m:string,before:string,behind:string>>)"))
 
 
-def _tokens(text: Column) -> Column:
-    """Array of (s, e, token, pattern) of the tokens with a digit or @; pattern: the two words before, lower-cased."""
-    kind = "struct<s:int,e:int,token:string,pattern:string>"
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("p1"), F.lit("").alias("p2"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
+def contexts(before: Column, behind: Column) -> Column:
+    """The patterns of an instance: the last word and the marks up to it, with the character behind; the last two words."""
+    left = F.regexp_replace(F.regexp_replace(F.lower(before), r"[0-9]", "0"), r"\s+", " ")
+    one, two = (F.regexp_extract(left, f"({rx})\\z", 1) for rx in (_WORD + _GAP, _WORD + _GAP + _WORD + _GAP))
+    marked = F.when(one.rlike(r"[^\p{L}\p{N}_\s]"), F.concat(one, F.lit("\n"), behind))
+    return F.filter(F.array(marked, F.when(two != "", two)), lambda x: x.isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        bare = F.ltrim(x, F.lit(_SPACE))
-        at = acc["at"] + F.length(x)
-        token = F.rtrim(bare, F.lit(".,;:!?"))
-        s = at - F.length(bare)
-        new = F.struct(s.alias("s"), (s + F.length(token)).alias("e"), token.alias("token"), F.concat_ws(" ", acc["p2"], acc["p1"]).alias("pattern"))
-        out = F.when(token.rlike("[0-9@]"), F.concat(acc["out"], F.array(new))).otherwise(acc["out"])
-        return F.struct(at.alias("at"), F.lower(token).alias("p1"), acc["p1"].alias("p2"), out.alias("out"))
 
-    folded = F.aggregate(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0)), start, step)
-    return F.when(text.rlike("[0-9@]"), folded["out"]).otherwise(start["out"])
+def _few(table: DataFrame) -> DataFrame:
+    """A materialised table, to be broadcast if it is counted to be small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def _score(edges: DataFrame, rounds: int, support: int, confidence: float) -> DataFrame:
-    """edges: pattern, instance, seed (boolean), distinct. Returns the pattern-instance pairs of instances that are found."""
-    scores = None
+def score(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """edges: pattern, instance, seed (boolean), distinct pairs. Returns (pattern, conf) that are trusted and (instance, score) that are reached by them."""
+    scores = good = None
     for _ in range(rounds):
-        if scores is None:
-            held = edges.withColumn("score", F.col("seed").cast("double"))
-        else:
-            held = edges.join(scores, "instance", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))).drop("trusted")
-        patterns = held.groupBy("pattern").agg((F.sum("score") / F.count(F.lit(1))).alias("conf"), F.sum(F.col("seed").cast("long")).alias("n_seeds"))
-        good = materialise(patterns.filter((F.col("n_seeds") >= support) & (F.col("conf") >= confidence)).select("pattern", "conf"), "pii-patterns")
-        scores = materialise(edges.join(good, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-9)))))).alias("score")), "pii-scores")
-    found = scores.filter(F.col("score") >= confidence).select("instance")
-    return edges.filter("not seed").join(found, "instance").join(good.select("pattern"), "pattern").select("pattern", "instance")
+        held = edges if scores is None else edges.join(_few(scores), "instance", "left")
+        own = F.lit(0.0) if scores is None else F.coalesce("score", F.lit(0.0))
+        held = held.select("pattern", F.when(F.col("seed"), 1.0).otherwise(own).alias("own"))
+        patterns = held.groupBy("pattern").agg(F.sum("own").alias("support"), F.avg("own").alias("conf")).filter((F.col("support") >= support) & (F.col("conf") >= confidence))
+        before, good = (good, scores), materialise(patterns.select("pattern", "conf"), "pii-patterns")
+        wrong = F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-9)))))
+        scores = materialise(edges.join(_few(good), "pattern").groupBy("instance").agg((1 - wrong).alias("score")), "pii-scores")
+        discard(*(t for t in before if t is not None))
+    return good, scores
 
 
 def annotate(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """doc_id, rid and, of every row, the base spans of each kind and the `found` ones as arrays of (s, e)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text")).withColumn("rid", F.xxhash64("doc_id", "_text"))
-    base = rows.withColumns({k: spans(F.col("_text"), k) for k in PATTERNS} | {"tokens": _tokens(F.col("_text"))}).drop("_text")
-    base = materialise(base, "pii-base")
-
-    token = base.filter("size(tokens) > 0").select("doc_id", "rid", F.array_distinct(F.concat(*PATTERNS)).alias("all"), F.explode("tokens").alias("t"))
-    seed = F.exists("all", lambda b: (b["s"] < F.col("t.e")) & (F.col("t.s") < b["e"]))
-    token = token.filter("t.pattern <> ' ' and t.token <> ''").select("doc_id", "rid", F.xxhash64("t.pattern").alias("pattern"), F.xxhash64("t.token").alias("instance"), "t.s", "t.e", seed.alias("seed"))
-    edges = materialise(token.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
-    new = materialise(_score(edges, rounds, support, confidence), "pii-found")
-    found = token.filter("not seed").join(new, ["pattern", "instance"]).groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("found"))
-    found = materialise(found, "pii-spans")
-    discard(edges, new)
-    out = base.drop("tokens").join(found.withColumnRenamed("doc_id", "_id"), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (base["rid"] == found["rid"]), "left").drop("_id").drop(found["rid"])
-    return out.withColumn("found", F.coalesce("found", F.expr(f"cast(array() as array<{SPAN}>)")))
+    """doc_id and, of every row, the spans of each base kind and the `found` ones as sorted arrays of (s, e)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text")).select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.concat(*(matches(F.col("_text"), k) for k in KINDS)).alias("all"))
+    base = materialise(rows, "pii-base")  # from here on uid is fixed
+
+    each = base.filter("size(all) > 0").select("uid", F.explode("all").alias("x")).select("uid", "x.*")
+    up_to = Window.partitionBy("uid", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("e", F.sum(F.col("gap") + F.length("m")).over(up_to).cast("int"))
+    each = each.withColumn("s", F.col("e") - F.length("m")).withColumn("m", F.when(F.col("k") == KINDS.index("run"), F.rtrim("m", F.lit(".,%+/-"))).otherwise(F.col("m")))
+    each = each.withColumn("e", F.col("s") + F.length("m"))
+    ok = F.lit(False)
+    for k, kind in enumerate(KINDS):
+        ok = F.when(F.col("k") == k, valid(kind, F.col("m"))).otherwise(ok)
+    each = each.filter(F.coalesce(ok, F.lit(False)) & (F.col("e") > F.col("s")))
+    # a run touches a base match if one that begins before it ends behind its start, or one that begins later does so before its end
+    is_base = F.col("k") < len(PATTERNS)
+    early, late = (Window.partitionBy("uid").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.col("s"), F.desc("s")))
+    each = each.withColumn("reach", F.max(F.when(is_base, F.col("e"))).over(early)).withColumn("next", F.min(F.when(is_base, F.col("s"))).over(late))
+    apart = F.coalesce(F.col("reach") <= F.col("s"), F.lit(True)) & F.coalesce(F.col("next") >= F.col("e"), F.lit(True))
+    each = each.filter(is_base | apart).select("uid", "k", "s", "e", F.xxhash64("m").alias("instance"), (is_base | F.col("m").rlike(KEY)).alias("seed"), F.transform(contexts(F.col("before"), F.col("behind")), lambda x: F.xxhash64(x)).alias("patterns"))
+    each = materialise(each, "pii-spans")
+
+    pairs = each.select("uid", "k", "s", "e", "instance", "seed", F.explode("patterns").alias("pattern"))
+    edges = materialise(pairs.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
+    good, scores = score(edges, rounds, support, confidence)
+    sure = materialise(scores.filter(F.col("score") >= confidence).select("instance"), "pii-sure")
+    found = pairs.filter(F.col("k") == KINDS.index("run")).join(_few(sure), "instance").join(_few(good.select("pattern")), "pattern").select("uid", "k", "s", "e").distinct()
+    spans = each.filter(is_base).select("uid", "k", "s", "e").unionByName(found)
+    by_row = materialise(spans.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("k", "s", "e"))).alias("spans")), "pii-rows")
+    discard(each, edges, good, scores, sure)
+    out = base.select("uid", "doc_id").join(by_row, "uid", "left")
+    of = lambda k: F.transform(F.filter(F.coalesce("spans", F.expr("cast(array() as array<struct<k:int,s:int,e:int>>)")), lambda x: x["k"] == k), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    return out.select("doc_id", *[of(k).alias(kind if kind in PATTERNS else "found") for k, kind in enumerate(KINDS)])
 
 
 def _listed(kinds: list[str]) -> Column:
@@ -142,6 +165,9 @@ def _listed(kinds: list[str]) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """doc_id, counts and spans of every row of `docs`; n_found counts what the bootstrap adds, n_spans all."""
     found = annotate(docs)
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS]
-    return found.select("doc_id", *counts, F.sha2(_listed([*PATTERNS]).cast("binary"), 256).alias("base_sha256"), _listed([*PATTERNS, "found"]).alias("spans"), F.size("found").cast("long").alias("n_found"))
+    every = [*PATTERNS, "found"]
+    total = sum((F.size(k) for k in every), F.lit(0)).cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2(_listed([*PATTERNS]).cast("binary"), 256).alias("base_sha256"), _listed(every).alias("spans"), F.size("found").cast("long").alias("n_found"), total)

@@ -408,13 +408,72 @@ def test_pii_base(docs, empty):
     assert pii_bootstrap.digest(empty).count() == 0
 
 
-def test_pii_bootstrap_finds_unseen_identifiers(spark):
-    rows = [(i, f"some words then my account is user{i}@mail.com and more") for i in range(60)]
-    rows += [(100, "other text but my account is xk-99871-b here"), (101, "a room 12 of the house"), (102, "the year 1999 was fine")]
-    got = {r.doc_id: r for r in pii_bootstrap.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    s = rows[60][1].index("xk-99871-b")
-    assert got[100].spans == f"found:{s}:{s + 10}"
-    assert got[101].spans == got[102].spans == ""
+def brute_pii(rows):
+    """{place in rows: spans found by the bootstrap}, from the definition."""
+    import regex
+
+    word, gap = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]{1,6}"
+    seen = []  # row, start, end, instance, seed, patterns, is a run
+    for r, (_, t) in enumerate(rows):
+        t = t or ""
+        base = base_spans(t)
+        taken = [x for v in base.values() for x in v]
+        for kind, rx in [*pii_bootstrap.PATTERNS.items(), ("run", pii_bootstrap.RUN)]:
+            last = 0
+            for m in regex.finditer(rx, t):
+                s, e = m.span()
+                prev, last = last, s
+                if kind == "run":
+                    e = s + len(m[0].rstrip(".,%+/-"))
+                    if e == s or any(a < e and s < b for a, b in taken):
+                        continue
+                elif (s, e) not in base[kind]:
+                    continue
+                left = re.sub(r"[ \t\n\x0b\f\r]+", " ", re.sub("[0-9]", "0", t[max(prev, s - 48) : s].lower()))
+                own = []
+                if (one := regex.search(f"{word}{gap}$", left)) and regex.search(r"[^\p{L}\p{N}_ ]", one[0]):
+                    own.append(("one", one[0], t[m.end() : m.end() + 1]))
+                if two := regex.search(word + gap + word + gap + "$", left):
+                    own.append(("two", two[0]))
+                seen.append((r, s, e, t[s:e], kind != "run" or bool(re.search(pii_bootstrap.KEY, t[s:e])), own, kind == "run"))
+    edges = defaultdict(set)
+    seeds = {}
+    for *_, what, seed, own, _ in seen:
+        seeds[what] = seeds.get(what, False) or seed
+        for x in own:
+            edges[x].add(what)
+    scores: dict = {}
+    for _ in range(pii_bootstrap.ROUNDS):
+        own = {x: [1.0 if seeds[w] else scores.get(w, 0.0) for w in ws] for x, ws in edges.items()}
+        good = {x: sum(v) / len(v) for x, v in own.items() if sum(v) >= pii_bootstrap.SUPPORT and sum(v) / len(v) >= pii_bootstrap.CONFIDENCE}
+        scores = {}
+        for x, conf in good.items():
+            for w in edges[x]:
+                scores[w] = 1 - (1 - scores.get(w, 0.0)) * max(1 - conf, 1e-9)
+    out = defaultdict(set)
+    for r, s, e, what, _, own, is_run in seen:
+        if is_run and scores.get(what, 0) >= pii_bootstrap.CONFIDENCE and any(x in good for x in own):
+            out[r].add((s, e))
+    return out
+
+
+def test_pii_bootstrap(spark, texts):
+    """Against the definition; generations: e-mail addresses teach `account is`, what follows it teaches `(ref`, and that finds more."""
+    rng = random.Random(11)
+    rows = [(i, f"some words then my account is user{i}@mail.com and more") for i in range(800)]
+    rows += [(1000 + i, f"other text but my account is xk-99{i:03d}-b here") for i in range(40)]
+    rows += [(2000 + i, f"{prose(rng, 5)} (ref: xk-99{i:03d}-b) {prose(rng, 5)}") for i in range(40)] + [(2100, "see (ref: new-77) and (ref: new-78)")]
+    rows += [(3000 + i, f'x token = "{hashlib.sha1(bytes([i])).hexdigest()}" y') for i in range(15)] + [(3020, 'a token = "s3cr3t" b'), (3021, f"free {hashlib.sha1(b'z').hexdigest()} key")]
+    rows += [(4000, "a room 12 of the house"), (4001, "the year 1999 was fine"), (4002, " ".join(map(str, range(20_000))))]
+    rows += [(5000 + k, t) for k, t in enumerate(texts)] + [(None, rows[0][1]), rows[803], (3000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = brute_pii(rows)
+    got = pii_bootstrap.digest(df.selectExpr("*", "1 as uid", "2 as found", "'x' as spans")).collect()
+    listed = sorted((r.doc_id or -1, tuple(re.findall(r"found:[0-9]+:[0-9]+", r.spans)), r.n_found) for r in got)
+    assert listed == sorted((i or -1, tuple(f"found:{s}:{e}" for s, e in sorted(want[k])), len(want[k])) for k, (i, _) in enumerate(rows))
+    found = {i: n for i, _, n in listed}
+    assert found[1000] == found[2004] == found[3001] == found[3020] == 1 and found[2100] == 2
+    assert not any(found[i] for i in (3021, 4000, 4001, 4002))
 
 
 def test_weak_quality(spark, empty):

@@ -11,16 +11,20 @@ Encoding: a byte-level tokenizer starts a new piece at every single space
 between two other characters (and at other places that surely are boundaries),
 so texts are cut there, each distinct piece is
 encoded once (and kept), and the ids are put together by gathering. The ids are
-those of whole texts.
+those of whole texts, added tokens that a text spells out included: each is a piece of
+its own, and what stands beside it begins or ends there.
 
 A task writes files under names of its own attempt and returns them; the shards
 of the tasks that succeeded make the manifest. So lost and repeated tasks leave
 stray files, never wrong ones. Null and empty texts are the end id alone; rows
-that repeat an id follow each other in the order of their texts.
+that repeat an id follow each other in the order of a hash of their texts; rows without
+an id come first. An empty table gives no shard and an empty result. Only doc_id and
+text are read, whatever other columns are called. A long text is one chunk of its own.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -52,7 +56,11 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("added tokens that depend on what stands beside them are not supported")
+        names = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, names))) if names else None
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.clear()
 
@@ -85,7 +93,7 @@ class Pieces:
 
 
 def pieces_of(path: str) -> Pieces:
-    """The tokenizer of a file and its pieces, once per Python worker; strings of special tokens in a text are ordinary text."""
+    """The tokenizer of a file and its pieces, once per Python worker."""
     if path not in _held:
         _held[path] = Pieces(path)
     return _held[path]
@@ -102,8 +110,18 @@ _MARK[48:58] = _MARK[65:91] = _MARK[97:123] = False
 _MARK[ord("'")] = False
 
 
+def with_added(data: np.ndarray, offsets: np.ndarray, added: re.Pattern | None) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets of rows and of the added tokens that stand in them, from and to; starts of the latter)."""
+    if added is None or not (found := [m.span() for m in added.finditer(data.tobytes())]):
+        return offsets, np.zeros(0, np.int64)
+    at = np.array(found, np.int64)
+    row = np.searchsorted(offsets, at[:, 0], "right") - 1
+    at = at[at[:, 1] <= offsets[row + 1]]  # not over a row's end
+    return np.union1d(offsets, at.reshape(-1)), at[:, 0]
+
+
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where pieces start, and the rows' offsets into them.
+    """Where pieces start, and the offsets of what `offsets` delimits into them.
 
     Pieces start with rows; at a single space or line feed between characters
     that are surely not white space, and behind such a line feed; and at an
@@ -138,7 +156,16 @@ def encode(data: np.ndarray, offsets: np.ndarray, path: str, end: int = END) ->
     held = pieces_of(path)
     if not len(data):
         return np.full(len(offsets) - 1, end, held.kind), np.arange(len(offsets))
-    starts, cut = piece_starts(data, offsets)
+    parts, added = with_added(data, offsets, held.added)
+    starts, cut = piece_starts(data, parts)
+    if len(added):  # an added token is one piece
+        first, after = np.searchsorted(starts, added), np.searchsorted(starts, parts[np.searchsorted(parts, added) + 1])
+        inside = np.zeros(len(starts) + 1, np.int64)
+        np.add.at(inside, first + 1, 1)
+        np.add.at(inside, after, -1)
+        starts = starts[np.cumsum(inside)[:-1] == 0]
+    if len(parts) != len(offsets):
+        cut = np.searchsorted(starts, offsets, "left")
     ends = np.append(starts[1:], len(data))
     h = K.span_hash(K.prefix_hash(K.BYTE_VALUE[data]), starts, ends)
     keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)

@@ -31,7 +31,7 @@ def awkward(rng: random.Random) -> list[str | None]:
     out: list[str | None] = [
         None, "", "   \n\t ", "one", "one two three four", "a b c d e", "A B C D E", base, base, base.upper(), " ".join(near), "\n".join(base.split(" ", 3)), "x " * 300, "worthless " * 120,
         passage + " " + prose(rng, 60), prose(rng, 40) + " " + passage, prose(rng, 55) + "  " + passage + "\n" + prose(rng, 50), "a" * 700, "é" * 400, "é" * 400 + "z", prose(rng, 4000), "line one here\nline one here\nother\n\nline one here",
-        "  odd　spaces\u0085here", "###***" * 40, "mail a.b@c.de and 1.2.3.4 or 1.2.3.400, +1 (555) 123-4567 4111 1111 1111 1111", "MAIL x@y.zz " * 30, "9" * 5000, "😀 emoji text 😀😀 with words",
+        "  odd　spaces\u0085here", "###***" * 40, "mail a.b@c.de and 1.2.3.4 or 1.2.3.400, +1 (555) 123-4567 4111 1111 1111 1111", "MAIL x@y.zz " * 30, "9" * 5000, "😀 emoji text 😀😀 with words", "start <|endoftext|>\n<|endoftext|><|endoftext|>  end <|endoftext|> x<|endoftext|",
     ]
     for k in range(12):
         out.append(" ".join(w if rng.random() > 0.03 * k else "m%d" % rng.randint(0, 999) for w in words))
@@ -69,7 +69,6 @@ def test_token_files(docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     got = {r.doc_id: r for r in token_files.digest(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), tokenizer_path()).collect()}
     start = 0
     for i, text in sorted({d for d in source(docs) if d[0] is not None}):
@@ -100,9 +99,8 @@ def test_pieces_encode_like_whole_texts():
     from pulsewright.llm import textkit as K
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     rng = random.Random(2)
-    parts = [" ", "  ", "\n", "\n\n", "\t", "a", "b", "é", "×", "…", " ", "　", "\u0085", "1", ".", "***", "'s", "'", "<|endoftext|>", "😀", "中", "x y", "À", "ñ "]
+    parts = [" ", "  ", "\n", "\n\n", "\t", "a", "b", "é", "×", "…", " ", "　", "\u0085", "1", ".", "***", "'s", "'", "<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "😀", "中", "x y", "À", "ñ "]
     rows = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     for i, j, data, offsets in K.chunks(pa.array(rows)):
         ids, cut = token_files.encode(data, offsets, tokenizer_path())

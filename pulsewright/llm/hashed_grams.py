@@ -75,7 +75,7 @@ class Model:
     table: np.ndarray  # buckets x classes, float32
     bias: np.ndarray
     scale: float = 1.0  # calibrates the logits
-    least: float = 0.0  # scores below it are rejected
+    least: np.ndarray | None = None  # evidence below it is rejected, by length class
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return means(data, offsets, self.table) + self.bias

@@ -1,15 +1,23 @@
 """Language identification: averaged hashed subword embeddings, a linear softmax, calibrated rejection.
 
 Learns from text and lang of the documents whose crc32(doc_id as text) mod 4 is
-not 2, at most `PER_LANGUAGE` of a language and only texts of up to
-`MAX_BYTES` bytes (a bound of what the driver holds; chosen by a hash of the
-id). A fifth of them are kept from training: they set the scale of the logits
-and the score below which a prediction is rejected. Predictions use the text
-alone, and all of it.
+not 2: at most `PER_LANGUAGE` of a language and `TOTAL` of all, chosen by a hash of
+the row, and of a text of over 16,000 characters four slices of 4,000 spread
+over it (`rows.sliced`). That bounds what the driver holds; no text is left out for its length. A fifth
+of the texts are kept from training and calibrate both outputs: the scale of the
+logits, so that the score is a probability; and rejection. Predictions use the
+text alone, and all of it.
+
+Rejection: a text's evidence is its best logit less the mean of all. Runs of bytes that
+training never saw carry none, so a text in another language has little, however sure
+the softmax is among the languages it knows. It depends on the length, so slices
+of the calibration texts of each length class tell below which evidence only a share of
+`REJECTED` of texts in known languages lie.
 
 A text that is null or has no letter is `und` with score 0 and rejected; so is
 every text if there is nothing to learn from. A null doc_id counts as not held
-out.
+out. Rows that repeat get the same prediction, ties go to the first label, an empty
+table gives an empty result, and further columns are carried, not read.
 """
 
 from __future__ import annotations
@@ -25,12 +33,15 @@ from pyspark.sql import types as T
 from pulsewright.cluster import ship
 from pulsewright.llm import hashed_grams as H
 from pulsewright.llm import textkit as K
-from pulsewright.llm.rows import pack, unpack
+from pulsewright.llm.rows import pack, sliced, unpack
 
 PER_LANGUAGE = 1500
-MAX_BYTES = 60_000
-#: Share of the calibration texts whose score is below the rejection threshold, and the most that threshold can be.
-REJECTED, MOST = 0.0005, 0.4
+TOTAL = 12_000
+#: Share of texts in known languages that may be rejected, at each length class (bytes from which it begins).
+REJECTED = 0.0005
+LENGTHS = (0, 64, 256, 1024, 4096)
+#: Slices of each calibration text in each length class.
+DRAWS = 6
 UNKNOWN = "und"
 
 _ASCII_LETTER = np.zeros(256, bool)
@@ -41,16 +52,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> H.Model | None:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL) -> H.Model | None:
     """Train on the labelled documents of `docs` that are not held out; None if there are none."""
-    usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= MAX_BYTES)).withColumn("_h", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30)))
+    usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    usable = usable.select("lang", F.col("text").alias("_text"), F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(1 << 40)).alias("_h"))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     if not counts:
         return None
+    each = max(20, min(per_language, total // len(counts)))
     wanted = F.lit(False)
     for lang, n in counts.items():
-        wanted = wanted | ((F.col("lang") == lang) & (F.col("_h") < int((1 << 30) * min(1.0, per_language / n))))
-    sample = sorted((r["_h"], r["text"].encode(), r["lang"]) for r in usable.filter(wanted).select("_h", "text", "lang").collect())
+        wanted = wanted | ((F.col("lang") == lang) & (F.col("_h") < int((1 << 40) * min(1.0, each / n))))
+    chosen = usable.filter(wanted).select("_h", sliced(F.col("_text")).alias("text"), "lang").dropDuplicates(["_h"])
+    sample = sorted((r["_h"], r["text"].encode(), r["lang"]) for r in chosen.collect())
     labels = sorted(counts)
     targets = np.eye(len(labels))[[labels.index(x[2]) for x in sample]]
     texts = [x[1] for x in sample]
@@ -61,28 +75,49 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> H.Model | None:
     if cal.any():
         own = [t for t, c in zip(texts, cal, strict=True) if c]
         H.calibrate(model, own, targets[cal], H.LETTERS)
-        scores = np.array([model.probabilities(H.LETTERS[np.frombuffer(t, np.uint8)], np.array([0, len(t)])).max() for t in own])
-        model.least = min(MOST, float(np.quantile(scores, REJECTED)))
+        model.least = least_evidence(model, own)
     return model
 
 
+def evidence(logits: np.ndarray) -> np.ndarray:
+    return logits.max(1) - logits.mean(1)
+
+
+def least_evidence(model: H.Model, texts: list[bytes]) -> np.ndarray:
+    """The evidence that a text of each length class needs, from slices of texts in known languages; never more than a shorter one's class allows a longer one."""
+    rng = np.random.default_rng(3)
+    out = []
+    for k, low in enumerate(LENGTHS):
+        size = max(low, 24)
+        slices = [H.LETTERS[np.frombuffer(t, np.uint8)][s : s + size] for t in texts if len(t) >= size for s in rng.integers(0, len(t) - size + 1, DRAWS)]
+        slices = [x for x in slices if (x != 0x20).mean() > 0.3]  # too few letters to tell a language by
+        if len(slices) < 100:
+            out.append(out[-1] if out else -np.inf)
+            continue
+        at = np.concatenate([[0], np.cumsum([len(x) for x in slices])])
+        out.append(float(np.quantile(evidence(model.logits(np.concatenate(slices), at)), REJECTED)))
+    return np.maximum.accumulate(out)
+
+
 def _predict(shared, take: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: H.Model | None = shared.value
         for b in batches:
-            lang, score = np.full(b.num_rows, UNKNOWN, object), np.zeros(b.num_rows)
+            lang, score, ok = np.full(b.num_rows, UNKNOWN, object), np.zeros(b.num_rows), np.ones(b.num_rows, bool)
             for i, j, data, offsets in K.chunks(b.column("text")):
                 letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])[offsets]
                 has = np.diff(letters) > 0
                 for r in np.flatnonzero(~has):
                     has[r] = any(c.isalpha() for c in data[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "replace"))
                 if model is not None and has.any():
-                    p = model.probabilities(H.LETTERS[data], offsets)
+                    z = model.logits(H.LETTERS[data], offsets)
+                    p = H.softmax(z * model.scale)
                     best = p.argmax(1)
+                    if model.least is not None:
+                        ok[i:j] = evidence(z) >= model.least[np.searchsorted(LENGTHS, np.diff(offsets), "right") - 1]
                     lang[i:j][has] = np.array(model.labels, object)[best[has]]
                     score[i:j][has] = p.max(1)[has]
-            least = model.least if model is not None else 1.0
-            rejected = (lang == UNKNOWN) | (score < least)
+            rejected = (lang == UNKNOWN) | ~ok
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(take)), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*b.schema.names[:take], "lang_pred", "score", "rejected"])
 
     return run

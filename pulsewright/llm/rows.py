@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Slices of a long text that trains a model, and characters of each.
+SLICES, SLICE = 4, 4000
+
+
+def sliced(text: Column) -> Column:
+    """The text, or slices spread over it if it is long."""
+    n = F.length(text)
+    parts = [F.substring(text, (F.lit(k) * (n - SLICE) / (SLICES - 1)).cast("int") + 1, F.lit(SLICE)) for k in range(SLICES)]
+    return F.when(n <= SLICES * SLICE, text).otherwise(F.concat_ws(" ", *parts))
+
+
 def pack(docs: DataFrame) -> DataFrame:
     """text, and all other columns as one struct, so that no name clashes with what an operator adds."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]

@@ -9,9 +9,9 @@ each labeller, how it votes on good and on bad documents, and the share of good
 ones; each pattern then has a posterior.
 
 *Scorer.* A hashed linear model of byte runs learns the posteriors of at most
-`SAMPLE` documents of up to `MAX_BYTES` bytes (chosen by a hash of the id; a
-bound of what the driver holds), and scores the whole of every text. It
-generalises where the labellers are silent.
+`SAMPLE` texts (chosen by a hash of the text; of those of over 16,000 characters
+four slices of 4,000; a bound of what the driver holds), and scores the whole of every
+text. It generalises where the labellers are silent.
 
 Null and empty texts have score 0 and are not kept. Rows that repeat are scored
 each by itself; ids, sources and further columns are never inputs. An empty
@@ -32,10 +32,9 @@ from pulsewright.cluster import discard, materialise, ship
 from pulsewright.llm import hashed_grams as H
 from pulsewright.llm import quality_rules
 from pulsewright.llm import textkit as K
-from pulsewright.llm.rows import pack, unpack
+from pulsewright.llm.rows import pack, sliced, unpack
 
 SAMPLE = 3000
-MAX_BYTES = 60_000
 THRESHOLD = 0.5
 
 #: Name, a measure in SQL, and where it votes bad and good: (value, bad if above, good if below), or with the signs turned.
@@ -96,40 +95,41 @@ def _score(shared):
     return run
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """rest (a struct of the columns of `docs` but text), text, rid, score and posterior of every row of `docs`."""
+def score(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rest, a struct of the columns of `docs` but text, text, rid and score of every row of `docs`; posterior by rid)."""
     spark = docs.sparkSession
     ship(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = pack(docs).withColumn("rid", F.xxhash64(text))
-    voted = materialise(votes(docs.select(F.col("doc_id"), "text").withColumn("rid", F.xxhash64(text))).select("doc_id", "rid", "pattern", F.octet_length("text").alias("n_bytes")), "weak-votes")
+    voted = materialise(votes(docs.select("text").withColumn("rid", F.xxhash64(text))).select("rid", "pattern"), "weak-votes")
     posteriors = label_model({r["pattern"]: r["n"] for r in voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()})  # at most 3**6 + 1 rows
     table = F.broadcast(spark.createDataFrame([(k, v) for k, v in posteriors.items()] or [(-2, 0.0)], "pattern int, posterior double"))
     known = voted.join(table, "pattern", "left").withColumn("posterior", F.coalesce("posterior", F.lit(0.0)))
 
-    usable = known.filter(f"pattern >= 0 and n_bytes <= {MAX_BYTES}").withColumn("good", F.col("posterior") >= 0.5).withColumn("h", F.pmod(F.xxhash64("rid"), F.lit(1 << 30)))
+    usable = known.filter("pattern >= 0").withColumn("good", F.col("posterior") >= 0.5).withColumn("h", F.pmod(F.xxhash64("rid"), F.lit(1 << 30)))
     sizes = {r["good"]: r["n"] for r in usable.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
     pick = F.lit(False)
     for good, n in sizes.items():
         pick = pick | ((F.col("good") == good) & (F.col("h") < int((1 << 30) * min(1.0, SAMPLE / 2 / n))))
     chosen = materialise(usable.filter(pick).groupBy("rid").agg(F.first("posterior").alias("posterior")), "weak-sample")
-    sample = sorted((r["rid"], (r["text"] or "").encode(), r["posterior"]) for r in rows.select("rid", "text").join(F.broadcast(chosen), "rid").dropDuplicates(["rid"]).collect())
+    sample = sorted((r["rid"], (r["text"] or "").encode(), r["posterior"]) for r in rows.select("rid", sliced(F.col("text")).alias("text")).join(F.broadcast(chosen), "rid").dropDuplicates(["rid"]).collect())
     model = None
     if sample:
         p = np.array([x[2] for x in sample])
         model = H.train([x[1] for x in sample], np.stack([1 - p, p], 1), H.SHAPES, ["bad", "good"])
     scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), T.StructType([*rows.schema, T.StructField("score", T.DoubleType())]))
     by_text = materialise(known.groupBy("rid").agg(F.max("posterior").alias("posterior")), "weak-posteriors")
-    discard(chosen)
-    return scored.join(by_text, "rid")
+    discard(chosen, voted)
+    return scored, by_text
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, score, posterior (of the labellers) and kept of every row of `docs`."""
-    out = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return out.select(F.col("rest.doc_id").alias("doc_id"), "score", "posterior", (F.col("score") >= THRESHOLD).alias("kept"))
+    scored, by_text = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    out = scored.select(F.col("rest.doc_id").alias("doc_id"), "rid", "score").join(by_text, "rid")
+    return out.select("doc_id", "score", "posterior", (F.col("score") >= THRESHOLD).alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that score `THRESHOLD` or more; columns as they were."""
-    return unpack(score(docs).filter(F.col("score") >= THRESHOLD), docs.columns)
+    return unpack(score(docs)[0].filter(F.col("score") >= THRESHOLD), docs.columns)

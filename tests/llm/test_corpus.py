@@ -223,6 +223,18 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
 
+def test_language_id_rejects_what_it_never_saw(spark):
+    rng = random.Random(8)
+    vocab = {"aa": ["the", "house", "with", "thing", "other"], "bb": ["être", "maison", "où", "ça", "fait"], "cc": ["straße", "über", "haus", "nicht", "und"], "zz": ["mwanzo", "kupika", "jambo", "njia", "ukweli"]}
+    rows = [(i, " ".join(rng.choice(vocab[k]) for _ in range(rng.randint(40, 200))), k if k in ("aa", "bb") else None) for i in range(800) for k in [sorted(vocab)[i % 4]] if k != "cc"]
+    rows += [(2000 + i, " ".join(rng.choice(vocab["cc"]) for _ in range(4000)), "cc") for i in range(120)]  # a language of long texts only
+    got = {r.doc_id: r for r in language_id.digest(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    strange = [got[i].rejected for i, _, k in rows if k is None]
+    known = [got[i].rejected for i, _, k in rows if k]
+    assert np.mean(strange) > 0.95 and np.mean(known) < 0.01
+    assert {got[i].lang_pred for i, _, k in rows if k == "cc"} == {"cc"}
+
+
 def check_substring_bytes(docs, most):
     rows = source(docs)
     seen = Counter()
@@ -486,6 +498,9 @@ def test_weak_quality(spark, empty):
     assert sum(kept[i] for i, _ in good) >= 0.97 * len(good) and sum(kept[i] for i, _ in bad) <= 0.05 * len(bad)
     assert not kept[5000] and not kept[5001]
     assert weak_quality.digest(empty).count() == 0
+    out = weak_quality.keep_good(df.selectExpr("*", "1 as rid", "2 as score", "3 as pattern"))
+    assert out.columns == ["doc_id", "text", "rid", "score", "pattern"]
+    assert collected(out, "doc_id") == sorted(((r.doc_id,) for r in got if r.kept), key=repr)
 
 
 def test_label_model_learns_who_is_right():

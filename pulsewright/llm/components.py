@@ -1,8 +1,10 @@
 """Connected components of an edge table: alternating large-star and small-star steps on whole tables.
 
-Each step groups edges by one end with a map-side minimum, so a hub with very
-many edges is never gathered in one task, and every step is written to the
-shared folder, which cuts the lineage.
+Each step takes minima by one end, combined before the shuffle and written to the
+shared folder, and then joins edges with them. Both sides of that join are plain
+tables, so a hub with very many edges is a skewed key that Spark splits over tasks;
+nothing is gathered by key. Every step is written, which cuts the lineage. Null ends,
+loops and repeated edges are ignored.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "star-least")
     tied = both.join(least, "a")
     if large:
         out = tied.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.filter("a > b").distinct()
+    out = materialise(out.filter("a > b").distinct(), "star")
+    discard(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,8 +42,9 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == before:
             break
         before = seen
-        small = materialise(_star(_star(now, True), False), "star")
-        discard(now)
+        large = _star(now, True)
+        small = _star(large, False)
+        discard(now, large)
         now = small
     out = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return out.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -22,8 +22,16 @@ the others get their shingles' frequencies; the `HUBS` members of a bucket whose
 shingles are most frequent stand nearest to what the others are copies of, and
 are the hubs of the second round. Pairs that are still in different components
 are found by an exact prefix filter: in the order from the rarest shingle on, a
-linked pair shares one early in both. So no link between different components
-is lost, and none within a component is needed.
+linked pair shares one early in both. All pairs that pass it are verified on full sets,
+without an estimate before. So among documents that share a band no link between
+different components is lost, and none within a component is needed.
+
+Hubs with very many members are joined as skewed keys of plain tables, which Spark
+splits, and verified in parts of `HUB_MEMBERS`.
+
+Rows without an id or without words are linked with nothing; rows that share an id are
+one vertex with all their texts; repeated rows are one class; an empty table gives an
+empty result; other columns are not read. A long text is one set like any other.
 """
 
 from __future__ import annotations
@@ -35,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsewright.cluster import discard, materialise, only_rows_of, ship
+from pulsewright.cluster import BROADCAST_ROWS, discard, materialise, only_rows_of, ship
 from pulsewright.llm import textkit as K
 from pulsewright.llm.components import components
 
@@ -45,7 +53,7 @@ ROWS, BANDS = 4, 40
 REGISTERS = ROWS * BANDS
 #: Base and rate of the registers: 2**16 of them cover all set sizes up to 1e18 and more.
 SKETCH_BASE, SKETCH_RATE = 1.001, 20.0
-#: Proposals whose estimate is below this go unverified; at 160 registers it is over 5 standard errors below 0.75.
+#: Proposals of hubs whose estimate is below this go unverified there (they stay open for the exact filter); at 160 registers it is over 5 standard errors below 0.75.
 LEAST_ESTIMATE = 0.55
 #: Hubs of a bucket in the second round.
 HUBS = 3
@@ -162,35 +170,51 @@ def _set_of(text: bytes) -> np.ndarray:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (b, salt, a, text) sorted by b, salt, a: the hub's own row, without a, comes first."""
-    held, hub = None, np.zeros(0, np.uint64)
+    """Rows (b, salt, a, text) sorted by b, salt, a: the hub's own rows, without a, come first."""
+    held, hubs = None, []
     for batch in batches:
         out: list[tuple[int, int]] = []
         texts = batch.column("text").cast(pa.binary())
         for i, (b, salt, a) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("b", "salt", "a")), strict=True)):
             own = _set_of(texts[i].as_py())
             if a is None:
-                held, hub = (b, salt), own
-            elif held == (b, salt):
+                hubs = [*hubs, own] if held == (b, salt) else [own]
+                held = (b, salt)
+                continue
+            for hub in hubs if held == (b, salt) else []:
                 both = len(np.intersect1d(own, hub, assume_unique=True))
                 if 100 * both >= PERCENT * (len(own) + len(hub) - both) > 0:
                     out.append((a, b))
+                    break
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
 
-def _linked(proposals: DataFrame, sketch: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
-    """The verified ones of the proposed pairs (a: member, b: hub): a table."""
-    of = sketch.select("doc_id", "registers", "n_shingles").dropDuplicates(["doc_id"])
-    pairs = proposals.join(of.toDF("a", "ra", "na"), "a").join(of.toDF("b", "rb", "nb"), "b")
-    likely = materialise(pairs.mapInArrow(_likely, "a long, b long"), f"{tag}-likely")
+def _few(table: DataFrame) -> DataFrame:
+    """A materialised table, to be broadcast if it is counted to be small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _linked(proposals: DataFrame, sketch: DataFrame, texts: DataFrame, tag: str, gate: bool = True) -> DataFrame:
+    """The verified ones of the proposed pairs (a: member, b: hub): a table. sketch and texts: tables by doc_id.
+
+    Where an id stands for several texts, each of the one is held against each of the
+    other, and one link suffices.
+    """
+    old = []
+    if gate:
+        of = sketch.select("doc_id", "registers", "n_shingles")
+        pairs = proposals.join(of.toDF("a", "ra", "na"), "a").join(of.toDF("b", "rb", "nb"), "b")
+        proposals = pairs.mapInArrow(_likely, "a long, b long").distinct()
+    likely = materialise(proposals, f"{tag}-likely")
     nodes = materialise(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), f"{tag}-nodes")
-    need = only_rows_of(texts, nodes, ["doc_id"]).dropDuplicates(["doc_id"])
-    hubs = likely.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select("b", F.expr(f"cast(ceil(n / {HUB_MEMBERS}.0) as long)").alias("salts"))
-    members = likely.join(hubs, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), "a").join(need.toDF("a", "text"), "a").select("b", "salt", "a", "text")
+    need = materialise(only_rows_of(texts, nodes, ["doc_id"]).distinct(), f"{tag}-texts")
+    hubs = materialise(likely.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select("b", F.expr(f"cast(ceil(n / {HUB_MEMBERS}.0) as long)").alias("salts")), f"{tag}-hubs")
+    salted = materialise(likely.join(_few(hubs), "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), "a"), f"{tag}-salted")
+    members = salted.join(need.toDF("a", "text"), "a").select("b", "salt", "a", "text")
     heads = hubs.join(need.toDF("b", "text"), "b").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "text")
     rows = heads.unionByName(members).repartition("b", "salt").sortWithinPartitions("b", "salt", "a")
-    out = materialise(rows.mapInArrow(_verify, "a long, b long"), f"{tag}-links")
-    discard(likely, nodes)
+    out = materialise(rows.mapInArrow(_verify, "a long, b long").distinct(), f"{tag}-links")
+    discard(likely, nodes, need, hubs, salted)
     return out
 
 
@@ -199,16 +223,17 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, data, offsets in K.chunks(b.column("text")):
             x, cut = shingle_sets(data, offsets)
             parts = [np.unique(x[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
-            doc = b.column("doc_id").slice(i, j - i).take(pa.array(np.repeat(np.arange(j - i), [len(p) for p in parts])))
-            yield pa.RecordBatch.from_arrays([doc, pa.array(np.concatenate(parts).view(np.int64))], ["doc_id", "shingle"])
+            own = pa.array(np.repeat(np.arange(j - i), [len(p) for p in parts]))
+            keys = [b.column(c).slice(i, j - i).take(own) for c in ("doc_id", "rid")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.concatenate(parts).view(np.int64))], ["doc_id", "rid", "shingle"])
 
 
-def _ranked_shingles(nodes: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, shingle, freq, n, pos) of the documents of `nodes`: in how many of them a shingle stands, the set's size, and the shingle's place from the rarest on."""
-    # a document that stands for several sets is taken with each
-    shingles = materialise(only_rows_of(texts, nodes, ["doc_id"]).dropDuplicates(["doc_id", "text"]).mapInArrow(_shingles, "doc_id long, shingle long").distinct(), "near-shingles")
+def _ranked_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, rid, shingle, freq, n, pos) of each text of the documents of `nodes`: in how many of them a shingle stands, the set's size, and the shingle's place from the rarest on."""
+    rows = only_rows_of(texts, nodes, ["doc_id"]).withColumn("rid", F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", "rid"])
+    shingles = materialise(rows.select("doc_id", "rid", "text").mapInArrow(_shingles, "doc_id long, rid long, shingle long"), "near-shingles")
     freq = materialise(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("freq")), "near-freq")
-    w = Window.partitionBy("doc_id")
+    w = Window.partitionBy("doc_id", "rid")
     out = shingles.join(freq, "shingle").withColumns({"n": F.count(F.lit(1)).over(w), "pos": F.row_number().over(w.orderBy("freq", "shingle")) - 1})
     out = materialise(out, "near-ranked")
     discard(shingles, freq)
@@ -223,20 +248,23 @@ def _prefix_pairs(ranked: DataFrame, comp: DataFrame) -> DataFrame:
     where each of them has that many left. Rows that no size in their shingle's
     group allows go first, then groups of one component.
     """
-    rows = ranked.filter("4 * (n - pos) >= 3 * n").join(comp.toDF("doc_id", "c"), "doc_id", "left").select("shingle", "doc_id", F.coalesce("c", "doc_id").alias("c"), F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"))
-    sizes = rows.groupBy("shingle").agg(F.min("n").alias("least_n"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("shingle", "least_n")
+    own = ["doc_id", "rid"]
+    rows = ranked.filter("4 * (n - pos) >= 3 * n").join(comp.toDF("doc_id", "c"), "doc_id", "left").select("shingle", *own, F.coalesce("c", "doc_id").alias("c"), F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"))
+    sizes = materialise(rows.groupBy("shingle").agg(F.min("n").alias("least_n"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("shingle", "least_n"), "near-sizes")
     rows = materialise(rows.join(sizes, "shingle").filter("7 * (n - pos) >= 3 * (n + least_n)").drop("least_n"), "near-prefix")
-    mixed = rows.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("shingle")
+    mixed = materialise(rows.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("shingle"), "near-mixed")
     left = materialise(rows.join(mixed, "shingle"), "near-prefix")
-    right = left.toDF("shingle", "doc_id_2", "c_2", "n_2", "pos_2")
-    fits = "(n > n_2 or n = n_2 and doc_id > doc_id_2) and c <> c_2 and 4 * n_2 >= 3 * n and 7 * (n - pos) >= 3 * (n + n_2) and 7 * (n_2 - pos_2) >= 3 * (n + n_2)"
+    discard(sizes, rows, mixed)
+    right = left.toDF("shingle", "doc_id_2", "rid_2", "c_2", "n_2", "pos_2")
+    fits = "(n > n_2 or n = n_2 and rid > rid_2) and c <> c_2 and 4 * n_2 >= 3 * n and 7 * (n - pos) >= 3 * (n + n_2) and 7 * (n_2 - pos_2) >= 3 * (n + n_2)"
     return left.join(right, "shingle").filter(fits).select(F.col("doc_id").alias("a"), F.col("doc_id_2").alias("b")).distinct()
 
 
 def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
     """The rows of `members` (bucket, doc_id, ...) in buckets that lie in several components, with c, the component."""
     known = members.join(comp.toDF("doc_id", "c"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-    mixed = known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
+    known = materialise(known, "near-known")
+    mixed = materialise(known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket"), "near-mixed")
     return known.join(mixed, "bucket")
 
 
@@ -265,14 +293,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rest = shared.join(hubs, "bucket").filter("doc_id > hub").select("bucket", "doc_id")
     rest = materialise(_mixed(rest, comp), "near-open")
     nodes = materialise(rest.select("doc_id").distinct(), "near-rest")
-    ranked = _ranked_shingles(nodes, reps, texts)
+    ranked = _ranked_shingles(nodes, texts)
     weight = ranked.groupBy("doc_id").agg(F.avg("freq").alias("weight"))
     nearest = Window.partitionBy("bucket").orderBy(F.desc("weight"), "doc_id")
     heads = rest.join(weight, "doc_id").withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") <= HUBS).select("bucket", F.col("doc_id").alias("hub"), F.col("c").alias("hub_c"))
     proposed = rest.join(materialise(heads, "near-heads"), "bucket").filter("c <> hub_c").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     links.append(_linked(proposed, reps, texts, "near-1"))
     comp = materialise(components(links[0].unionByName(links[1])), "near-components")
-    links.append(_linked(_prefix_pairs(ranked, comp), reps, texts, "near-2"))
+    links.append(_linked(_prefix_pairs(ranked, comp), reps, texts, "near-2", gate=False))
     comp = materialise(components(links[0].unionByName(links[1]).unionByName(links[2])), "near-components")
     discard(hubs, shared, rest, nodes, ranked, reps, *links)
     return sketch, known_members, comp

@@ -352,6 +352,20 @@ def test_near_duplicates(docs, empty):
     assert setsketch_dedup.digest(empty).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    """All links of an id count, whichever of its texts they come from."""
+    rng = random.Random(14)
+    rows, links = [], {}
+    for k in range(40):
+        a, b = (prose(rng, 80).split() for _ in range(2))
+        c, d = [*a[:40], "c", *a[41:]], [*b[:40], "d", *b[41:]]
+        base = 10 * k
+        rows += [(base, " ".join(a)), (base, " ".join(b)), (base + 1, " ".join(c)), (base + 2, " ".join(d)), (base + 3, prose(rng, 80))]
+        links |= {base: base, base + 1: base, base + 2: base, base + 3: base + 3}
+    got = setsketch_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r.component_id == links[r.doc_id] for r in got)
+
+
 def test_hubs_that_fail_do_not_lose_links(spark):
     """Copies of one base that are far from the least of them, and from each other, but near the base."""
     rng = random.Random(3)

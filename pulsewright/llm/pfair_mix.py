@@ -16,8 +16,11 @@ its share goes to the others in proportion and a new phase begins; so every
 document is used once and none is dropped. Sources of weight zero come last.
 
 Ranks within a source come from counts per hash bucket, so that a source of any
-size is numbered by many tasks. A null source is a source of its own. Rows that
-repeat are rows like others.
+size is numbered by many tasks; within a bucket the order is by doc_id and, for ties and
+rows without an id, by a hash of id and text, so a repeated task gives the same. A null
+source is a source of its own, rows that repeat are rows like others, an empty table gives
+an empty result. Columns of `docs` that are called like the new ones give way to them in
+`place`; `mix` keeps all. Texts are not looked at, but for that hash.
 """
 
 from __future__ import annotations
@@ -157,23 +160,23 @@ def _stored(spark: SparkSession, rows: Iterator[tuple]) -> tuple[DataFrame, int]
     return spark.read.schema(_TABLE).parquet(path), n
 
 
-def place(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """`docs` (doc_id, source, ...) with phase, block, place (in the block), slot, release and deadline.
+NEW = ("phase", "block", "place", "slot", "release", "deadline")
 
-    weights: target weight by source; sources that are not named share what their
-    number of documents gives them. The order is by slot, then place.
-    """
-    spark = docs.sparkSession
-    keyed = docs.withColumn("_src", F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)))
+
+def _placed(rows: DataFrame, weights: dict[str, float] | None, block: int, period: int) -> DataFrame:
+    """rows: row (a struct with doc_id, source and maybe text). Returns row and the columns NEW."""
+    spark = rows.sparkSession
+    tie = F.xxhash64(*[F.col(f"row.`{c}`") for c in ("doc_id", "text") if c in rows.schema["row"].dataType.names])
+    keyed = rows.select("row", F.coalesce(F.col("row.source").cast("string"), F.lit(NO_SOURCE)).alias("_src"), tie.alias("_tie"))
     sizes = {r["_src"]: r["n"] for r in keyed.groupBy("_src").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a source
     n_buckets = max(LEAST_BUCKETS, sum(sizes.values()) // BUCKET_ROWS)
-    keyed = keyed.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)))
+    keyed = keyed.withColumn("_bucket", F.pmod("_tie", F.lit(n_buckets)))
     counts = keyed.groupBy("_src", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_src", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("_src", "_bucket").orderBy("doc_id")) - 1).join(counts, ["_src", "_bucket"])
+    ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("_src", "_bucket").orderBy("row.doc_id", "_tie")) - 1).join(counts, ["_src", "_bucket"])
     rank = F.col("_before") + F.col("_r")
-    ranked = ranked.withColumns({"block": F.floor(rank / block), "place": rank % block}).drop("_bucket", "_r", "_before")
+    ranked = ranked.select("row", "_src", F.floor(rank / block).alias("block"), (rank % block).alias("place"))
 
     blocks = {s: -(-n // block) for s, n in sizes.items()}
     named = {NO_SOURCE if s is None else s: w for s, w in (weights or {}).items()}
@@ -185,7 +188,16 @@ def place(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
     out = ranked.join(F.broadcast(table) if n_rows <= BROADCAST_ROWS else table, ["_src", "phase", "number"])
     turn = F.floor((F.col("block") - F.col("first")) / F.col("share")) * F.col("period") + F.col("slot0")
     out = out.withColumns({"slot": turn + F.col("at"), "release": turn + F.col("release0"), "deadline": turn + F.col("deadline0")})
-    return out.select(*docs.columns, "phase", "block", "place", "slot", "release", "deadline")
+    return out.select("row", *NEW)
+
+
+def place(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    """`docs` (doc_id, source, ...) with phase, block, place (in the block), slot, release and deadline.
+
+    weights: target weight by source; sources that are not named share what their
+    number of documents gives them. The order is by slot, then place.
+    """
+    return _placed(docs.select(F.struct(*docs.columns).alias("row")), weights, block, period).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in NEW], *NEW)
 
 
 def digest(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -195,5 +207,5 @@ def digest(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFram
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The rows of `docs`, sorted over the partitions into the mixed order; columns as they were."""
-    mixed = place(docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.struct(*docs.columns).alias("row")), weights)
+    mixed = _placed(docs.select(F.struct(*docs.columns).alias("row")), weights, BLOCK, PERIOD)
     return mixed.select("row", "slot", "place").repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")

@@ -169,6 +169,46 @@ def test_mix_keeps_every_row(docs, empty):
     assert pfair_mix.mix(empty).count() == pfair_mix.digest(empty).count() == 0
 
 
+def test_pfair_places_against_the_definition(spark):
+    """Slot, release and deadline of every document, for weights that no short period repeats."""
+    rng = random.Random(21)
+    names = ["a"] * 900 + ["b"] * 500 + ["c"] * 300 + ["tiny"] * 40 + [None] * 60
+    rng.shuffle(names)
+    weights = {"a": 1 / 3, "b": 1 / 3, "c": 0.3, "tiny": 1e-6, None: 0.03}
+    rows = [(None if i % 50 == 0 else i // 2, s, f"t{i}") for i, s in enumerate(names)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 as slot", "2 as first", "3 as period", "4 as share", "5 as number", "6 as until")
+    out = pfair_mix.place(df, weights, block=4)
+    assert [c for c in out.columns if c not in pfair_mix.NEW] == [c for c in df.columns if c != "slot"]
+    got = out.collect()
+    assert sorted(r.text for r in got) == sorted(t for *_, t in rows)
+    blocks = defaultdict(list)
+    for r in got:
+        blocks[r.source, r.block].append(r)
+    sizes = Counter(names)
+    assert {k: sorted(r.place for r in v) for k, v in blocks.items()} == {(s, b): list(range(min(4, n - 4 * b))) for s, n in sizes.items() for b in range(-(-n // 4))}
+    head = {k: v[0] for k, v in blocks.items()}
+    assert all(len({(r.slot, r.release, r.deadline, r.phase) for r in v}) == 1 for v in blocks.values())
+    assert sorted(r.slot for r in head.values()) == list(range(len(head)))
+    exact = {s: Fraction(repr(w)) for s, w in weights.items()}
+    left = {s: -(-n // 4) for s, n in sizes.items()}
+    slot0 = phase = 0
+    while any(left.values()):
+        own = {k: r for k, r in head.items() if r.phase == phase}
+        total = sum(exact[s] for s in left if left[s])
+        first = {s: -(-sizes[s] // 4) - left[s] for s in left}
+        for (s, b), r in own.items():
+            j, w = b - first[s], exact[s] / total
+            assert r.release - slot0 == int(j / w) and r.deadline - slot0 == -(-(j + 1) // w) and r.release <= r.slot < r.deadline
+        for t in range(len(own)):
+            given = Counter(s for (s, _), r in own.items() if r.slot - slot0 <= t)
+            assert all(abs(given[s] - exact[s] / total * (t + 1)) < 1 for s in left if left[s])
+        for s, _ in own:
+            left[s] -= 1
+        slot0, phase = slot0 + len(own), phase + 1
+    again = {r.text: (r.slot, r.place) for r in pfair_mix.place(df.repartition(7), weights, block=4).collect()}
+    assert again == {r.text: (r.slot, r.place) for r in got}
+
+
 def test_decontamination(spark, docs, empty, texts):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     items = [(10, " ".join(texts[7].split()[20:45])), (9, "one two three four"), (11, "EMOJI text"), (8, None), (7, "..."), (None, texts[7]), (6, prose(random.Random(99), 30)), (5, " ".join(texts[7].split()[22:40])), (5, "b c")]

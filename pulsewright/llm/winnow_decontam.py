@@ -10,20 +10,26 @@ window and confirmed word by word. Windows of short items are looked up whole.
 
 The windows of the benchmark are the stated query set: they are taken in blocks
 of at most `BLOCK` windows, each block is sent to all tasks, and the documents
-pass through block after block without a shuffle. So nothing that is sent grows
-with the corpus, and a block's size is bounded whatever the benchmark's.
+pass it without a shuffle. So nothing that is sent grows with the corpus, and a
+block's size is bounded whatever the benchmark's. With several blocks, each has a pass
+of its own over the texts, which keeps the hits by a 128-bit hash of the text, and is
+let go before the next one; the hits are joined back at the end.
 
 Nulls: a null text has no words; a null item_id or an item without words is
 ignored; a null doc_id is an ordinary row. Rows that repeat stay as they are.
-An empty benchmark leaves all documents clean.
+An empty benchmark leaves all documents clean, an empty table gives an empty result.
+Long texts pass as a chunk of their own. `mark` replaces columns of `docs` that are
+called like its own; `decontaminate` keeps all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,10 +157,29 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
     items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
     table = materialise(items.mapInArrow(_item_windows(window, gram), "m int, whole long, print long, item_id long, words binary").groupBy("m", "whole", "print", "words").agg(F.collect_set("item_id").alias("items")), "winnow-windows")
     n_blocks = max(1, -(-table.count() // block))
-    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<int>"), "items": F.array().cast("array<long>")})
-    for k in range(n_blocks):
-        rows = [(r["m"], r["whole"], r["print"], r["items"], r["words"]) for r in table.filter(F.expr(f"pmod(whole, {n_blocks}) = {k}")).collect()]
-        out = out.mapInArrow(_mark(spark.sparkContext.broadcast(Block(rows, window)), gram), out.schema)
+
+    def marked(rows: DataFrame, windows: list[tuple]) -> tuple[DataFrame, Broadcast]:
+        shared = spark.sparkContext.broadcast(Block(windows, window))
+        new = rows.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<int>"), "items": F.array().cast("array<long>")})
+        return new.mapInArrow(_mark(shared, gram), new.schema), shared
+
+    def windows(k: int) -> list[tuple]:
+        return [(r["m"], r["whole"], r["print"], r["items"], r["words"]) for r in table.filter(F.expr(f"pmod(whole, {n_blocks}) = {k}")).collect()]
+
+    if n_blocks == 1:
+        out, _ = marked(docs, windows(0))
+    else:
+        text = F.coalesce(F.col("text"), F.lit(""))
+        keys = {"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), text)}
+        found = []
+        for k in range(n_blocks):
+            rows, shared = marked(docs.select(*[v.alias(c) for c, v in keys.items()], "text"), windows(k))
+            found.append(materialise(rows.filter("size(hits) > 0").select(*keys, "hits", "items").dropDuplicates([*keys]), "winnow-hits"))
+            shared.destroy()
+        every = reduce(DataFrame.unionByName, found).groupBy(*keys).agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(f"_{c}") for c in ("hits", "items")])
+        rows, _ = marked(docs, [])
+        out = rows.withColumns(keys).join(materialise(every, "winnow-hits"), [*keys], "left").withColumns({c: F.coalesce(f"_{c}", c) for c in ("hits", "items")}).drop(*keys, "_hits", "_items")
+        discard(*found)
     discard(table)
     return out
 

@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pathlib import Path
 
 from pulsewright.functions.exprs import DEFAULT_SHIFTS, Shift
-from pulsewright.operators.economics import CostModel
+from pulsewright.operators.economics import AMOUNTS, cost_set
 
 
 def load(path: str | Path) -> dict:
@@ -60,5 +60,8 @@ def failures(entries: list[dict], bucket_s: int = 60) -> list[tuple]:
     return [(e["id"], bucket_of(e["start"], bucket_s), bucket_of(e["end"], bucket_s), bucket_of(e.get("maintenance"), bucket_s)) for e in entries]
 
 
-def costs(path: str | Path) -> CostModel:
-    return CostModel.from_dict(load(path))
+def costs(path: str | Path) -> dict[str, float]:
+    """The cost set of a file; amounts stand at its top or in its sections."""
+    found = load(path)
+    tables = [found, *(v for v in found.values() if isinstance(v, dict))]
+    return cost_set({k: float(t[k]) for t in tables for k in AMOUNTS if k in t})

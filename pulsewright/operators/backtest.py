@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsewright.operators.economics import scenario_value
+from pulsewright.operators.economics import total_value, warning_value
 from pulsewright.operators.windows import islands, persists_time
 
 DAYS_PER_MONTH = 30.4375
@@ -78,7 +78,7 @@ def sweep(smoothed: DataFrame, thresholds: DataFrame, windows: DataFrame, scenar
     span = smoothed.agg((F.greatest((F.max(t) - eval_start) * unit_hours / 24 / DAYS_PER_MONTH, F.lit(1e-9))).alias("months"))
     valued = detail.withColumn("lead", F.when(F.col("flagged_early"), F.col("lead_time_hours"))).crossJoin(F.broadcast(scenarios))
     out = valued.groupBy(*by, "scenario", "inspection").agg(
-        F.sum(F.col("flagged_early").cast("long")).alias("flagged_early"), F.sum(F.col("detected").cast("long")).alias("detected"), F.median("lead").alias("median_lead_h"), F.sum(scenario_value("lead")).alias("value")
+        F.sum(F.col("flagged_early").cast("long")).alias("flagged_early"), F.sum(F.col("detected").cast("long")).alias("detected"), F.median("lead").alias("median_lead_h"), F.sum(warning_value("lead")).alias("value")
     )
     out = out.join(n_false, by, "left").join(F.broadcast(span)).withColumn("false_alerts", F.coalesce("false_alerts", F.lit(0)))
     return out.select(
@@ -87,12 +87,12 @@ def sweep(smoothed: DataFrame, thresholds: DataFrame, windows: DataFrame, scenar
     )
 
 
-def results_row(name: str, detail: DataFrame, n_false: DataFrame, months: float, cost) -> DataFrame:
+def results_row(name: str, detail: DataFrame, n_false: DataFrame, months: float, costs: dict[str, float]) -> DataFrame:
     """One report row: early and detected of all, median lead, false alerts and a month, net value."""
     lead = F.when(F.col("flagged_early"), F.col("lead_time_hours"))
     total = n_false.agg(F.count(F.lit(1)).alias("false_alerts"))
-    row = detail.agg(F.sum(F.col("flagged_early").cast("long")).alias("e"), F.sum(F.col("detected").cast("long")).alias("d"), F.count(F.lit(1)).alias("n"), F.median(lead).alias("m"), F.sum(cost.value_of_warning(lead)).alias("v")).join(F.broadcast(total))
+    row = detail.agg(F.sum(F.col("flagged_early").cast("long")).alias("e"), F.sum(F.col("detected").cast("long")).alias("d"), F.count(F.lit(1)).alias("n"), F.median(lead).alias("m"), total_value(lead, costs).alias("v")).join(F.broadcast(total))
     return row.select(
         F.lit(name).alias("model"), F.concat_ws(" / ", F.col("e").cast("string"), F.col("n").cast("string")).alias("flagged_early"), F.concat_ws(" / ", F.col("d").cast("string"), F.col("n").cast("string")).alias("detected_by_end"),
-        F.round("m", 1).alias("median_lead_h"), "false_alerts", F.round(F.col("false_alerts") / months, 2).alias("false_alerts_per_month"), F.round(F.col("v") - F.col("false_alerts") * cost.false_inspection).alias("net_value_usd"),
+        F.round("m", 1).alias("median_lead_h"), "false_alerts", F.round(F.col("false_alerts") / months, 2).alias("false_alerts_per_month"), F.round(F.col("v") - F.col("false_alerts") * costs["inspection"]).alias("net_value_usd"),
     )

@@ -12,7 +12,7 @@ from pulsewright.config import Params
 from pulsewright.operators import alerts, backtest
 from pulsewright.operators import telemetry as T
 from pulsewright.operators.detectors import ControlLimits, IsolationForest, calibrate
-from pulsewright.operators.economics import CostModel
+from pulsewright.operators.economics import cost_set
 from pulsewright.operators.lstm import LstmAutoencoder
 from pulsewright.schema import require
 from pulsewright.sources.telemetry import as_rows
@@ -64,10 +64,10 @@ class Backtest:
     report: DataFrame
 
 
-def run_backtest(scores: DataFrame, name: str, threshold: float, failures: Sequence[tuple], params: Params, costs: CostModel | None = None) -> Backtest:
+def run_backtest(scores: DataFrame, name: str, threshold: float, failures: Sequence[tuple], params: Params, costs: dict[str, float] | None = None) -> Backtest:
     """Alerts of one score column at one threshold against the failures, from the end of training on."""
     spark = scores.sparkSession
-    costs = costs or CostModel()
+    costs = costs or cost_set()
     rows, ev = alerts.generate(scores, KEYS, "t", f"score_{name}", threshold, params.smoothing, params.persistence)
     ev = ev.filter(F.col("end") >= params.train[1])
     windows = backtest.failure_windows(spark, failures, params.anticipation, params.grace)

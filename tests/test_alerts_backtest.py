@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulsewright.functions.exprs import array_median, clip, first_argmax, register, safe_ratio, shift_label
 from pulsewright.operators import alerts, audit, backtest
 from pulsewright.operators import windows as W
-from pulsewright.operators.economics import CostModel, scenarios
+from pulsewright.operators.economics import break_even, cost_set, net_value, scenarios, warning_value
 
 
 def series(spark, values, times=None, name="x"):
@@ -61,12 +61,12 @@ def test_smoothing_is_trailing_and_skips_nulls(spark):
 
 
 def test_values_of_warnings(spark):
-    c = CostModel()
+    c = cost_set()
     df = spark.createDataFrame([(None,), (0.0,), (10.0,), (60.0,), (float("inf"),), (float("nan"),)], "lead double")
-    assert [r[0] for r in df.select(c.value_of_warning("lead")).collect()] == [0, 0, 16000, 21000, 0, 0]
-    net = spark.createDataFrame([(60.0,), (10.0,), (None,)], "lead double").agg(c.net_value("lead", F.lit(4)), c.break_even("lead")).first()
+    assert [r[0] for r in df.select(warning_value("lead", c)).collect()] == [0, 0, 16000, 21000, 0, 0]
+    net = spark.createDataFrame([(60.0,), (10.0,), (None,)], "lead double").agg(net_value("lead", F.lit(4), c), break_even("lead", c)).first()
     assert net[0] == 35000 and net[1] == 74
-    assert spark.createDataFrame([(60.0,)], "lead double").agg(c.break_even("lead")).first()[0] == 42
+    assert spark.createDataFrame([(60.0,)], "lead double").agg(break_even("lead", c)).first()[0] == 42
     assert {r.scenario: r.needed for r in scenarios(spark).collect()} == {"24h": 36, "48h": 60, "168h": 180, "336h": 348}
     register(spark)
     assert spark.sql("select value_of_warning(10, 60, 21000, 16000), shift_label(23), shift_label(6)").first()[:] == (16000.0, "Shift 3 (22-06)", "Shift 1 (06-14)")
@@ -85,8 +85,8 @@ def test_backtest_lead_grace_and_false_alerts(spark):
     false = backtest.false_alerts(ev, w)
     assert [r.start for r in false.collect()] == [hours(24)]
     lead = F.when(F.col("flagged_early"), F.col("lead_time_hours"))
-    assert backtest.failure_details(ev, w).agg(CostModel().net_value(lead, F.lit(false.count()))).first()[0] == 15500
-    row = backtest.results_row("m", backtest.failure_details(ev, w), false, 2.0, CostModel()).first()
+    assert backtest.failure_details(ev, w).agg(net_value(lead, F.lit(false.count()), cost_set())).first()[0] == 15500
+    row = backtest.results_row("m", backtest.failure_details(ev, w), false, 2.0, cost_set()).first()
     assert (row.flagged_early, row.detected_by_end, row.median_lead_h, row.false_alerts, row.false_alerts_per_month, row.net_value_usd) == ("1 / 1", "1 / 1", 24.0, 1, 0.5, 15500)
 
 

@@ -1,4 +1,11 @@
-"""Entry points for spark-submit: features, models, backtest, vibration, health, replay."""
+"""Entry points for spark-submit: features, models, backtest, vibration, health, replay.
+
+The configuration has the sections `telemetry` (train_split, train_exclude, shifts,
+alert_logic, backtest), `rig` (shaft_speed_rpm, sampling_frequency_hz and
+bearing_geometry or fault_frequencies_hz) and `health` (hi_features, baseline_hours,
+skip_hours, smoothing_snapshots, limit, persistence, max_lead_hours, and known, a list of
+test, bearing and failure). A file without a section of that name is that section.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +16,7 @@ from pulsewright import config
 from pulsewright.operators import telemetry as T
 from pulsewright.operators import vibration as V
 from pulsewright.operators.detectors import ControlLimits
-from pulsewright.plans import compressor
+from pulsewright.plans import compressor, health
 from pulsewright.session import session
 from pulsewright.sources import registry, snapshots
 from pulsewright.sources import telemetry as S
@@ -46,8 +53,8 @@ def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = session()
     raw_params = config.load(a.config)
-    section = lambda key: next((v for v in raw_params.values() if isinstance(v, dict) and key in v), raw_params)
-    own = section("train_split")
+    section = lambda name: raw_params.get(name, raw_params)
+    own = section("telemetry")
     params = config.Params.from_dict(own) if "train_split" in own else None
     entries = config.load(a.failures) if a.failures else []
     failures = config.failures(entries["failures"] if isinstance(entries, dict) else entries)
@@ -60,7 +67,10 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "models":
         feats = S.read_built(spark, at("features"), "features")
         if a.train:
-            registry.save(spark, compressor.train(feats, params, not a.no_lstm), at("models"))
+            models = compressor.train(feats, params, not a.no_lstm)
+            registry.save(spark, models, at("models"))
+            for name, d in models.items():
+                S.log_run(spark, at("runs"), name, {"train": params.train, "exclude": params.exclude, "features": list(d.features)}, {"threshold": d.threshold})
         compressor.score(feats, registry.load(spark, at("models"))).write.mode("overwrite").parquet(at("scores"))
     elif a.command == "backtest":
         scores = S.read_built(spark, at("scores"), "models")
@@ -73,20 +83,22 @@ def main(argv: list[str] | None = None) -> None:
         S.write_report(report, at("report"))
         report.show(truncate=False)
     elif a.command == "vibration":
-        rig = section("shaft_speed_rpm")
+        rig = section("rig")
         g = rig.get("bearing_geometry")
         freqs = V.defect_frequencies(rig["shaft_speed_rpm"] / 60, g["n_rollers"], g["pitch_diameter_in"], g["roller_diameter_in"], g["contact_angle_deg"]) if g else rig["fault_frequencies_hz"]
         for t in a.test:
             rows = snapshots.with_bearing(snapshots.load(spark, at(f"test{t}"), a.limit), t)
             V.SpectralFeatures(rig.get("sampling_frequency_hz", 20480), freqs).add(rows).drop("samples").write.mode("overwrite").parquet(at(f"vibration/test={t}"))
     elif a.command == "health":
-        h = section("health").get("health", {})
+        h = section("health")
         cols = h.get("hi_features", ["rms", "kurtosis", "env_bpfo", "env_bpfi", "env_bsf"])
         rows = S.read_built(spark, at("vibration"), "vibration")
         bt = V.bearing_max(rows, list(dict.fromkeys([*cols, "rms", "kurtosis", *[f"env_{f}" for f in V.FAULTS]])))
         z = list(dict.fromkeys([*cols, *[f"env_{f}" for f in V.FAULTS]]))
         hi = V.health_indicator(V.cross_log_ratio(bt, z), cols, baseline_hours=h.get("baseline_hours", 24), skip_hours=h.get("skip_hours", 1), smoothing=h.get("smoothing_snapshots", 12), z_only=z)
         hi.write.mode("overwrite").parquet(at("health"))
+        for name, report in health.reports(spark.read.parquet(at("health")), h).items():
+            S.write_report(report, at(f"report_{name}"))
     elif a.command == "replay":
         from pulsewright.streaming.processor import Scorer, flush_stream, score_stream
 

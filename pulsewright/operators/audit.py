@@ -53,25 +53,17 @@ def resample_mean(df: DataFrame, keys: Sequence[str], t: str, cols: Sequence[str
     return densify(binned, keys, "bin")
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """rank_<c>: rank with ties averaged."""
-    out = df
-    for c in cols:
-        w = Window.partitionBy(*keys).orderBy(c)
-        same = Window.partitionBy(*keys, c)
-        out = out.withColumn(f"rank_{c}", F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2.0)
-    return out
-
-
 def spearman(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Rank correlation of every pair of columns per key, over rows complete in both."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    out = None
-    for a, b in pairs:
-        rows = average_ranks(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), keys, [a, b])
-        one = rows.groupBy(*keys).agg(F.corr(f"rank_{a}", f"rank_{b}").alias("rho")).withColumns({"a": F.lit(a), "b": F.lit(b)})
-        out = one if out is None else out.unionByName(one)
-    return out
+    ranked, rows = df, []
+    for k, (a, b) in enumerate(pairs):  # one scan: rows that lack a value are a partition of their own
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        for c in (a, b):
+            rank = F.rank().over(Window.partitionBy(*keys, both).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, both, c)) - 1) / 2.0
+            ranked = ranked.withColumn(f"_{k}_{c}", F.when(both, rank))
+        rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(f"_{k}_{a}", f"_{k}_{b}").alias("rho")))
+    return ranked.groupBy(*keys).agg(F.array(*rows).alias("_r")).select(*keys, F.inline("_r"))
 
 
 def group_means(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -160,15 +161,13 @@ def cross_log_ratio(bt: DataFrame, cols: Sequence[str], by: Sequence[str] = ("te
 def health_indicator(bt: DataFrame, features: Sequence[str], level: str = "rms", baseline_hours: float = 24.0, skip_hours: float = 1.0, smoothing: int = 12, z_only: Sequence[str] = (), keys: Sequence[str] = ("test", "bearing"), prefix: str = "lr_") -> DataFrame:
     """z_<c> against each bearing's own healthy window, hi_raw (largest positive z), hi_driver, hi (trailing median) and rms_ratio."""
     cols = list(dict.fromkeys([*features, *z_only]))
-    w = Window.partitionBy(*keys)
     base = (F.col("hours") >= skip_hours) & (F.col("hours") <= skip_hours + baseline_hours)
-    new = {}
-    for c in cols:
-        x = F.when(base, F.col(f"{prefix}{c}"))
-        sd = F.stddev_samp(x).over(w)
-        new[f"z_{c}"] = (F.col(f"{prefix}{c}") - F.avg(x).over(w)) / F.when(sd > 1e-9, sd).otherwise(1.0)
-    new["_own"] = F.col(level) / array_median(F.collect_list(F.when(base, F.col(level))).over(w))
-    out = bt.withColumns(new)
+    stats = [x for c in cols for x in (F.avg(f"{prefix}{c}").alias(f"_mu_{c}"), F.stddev_samp(f"{prefix}{c}").alias(f"_sd_{c}"))]
+    # one row a bearing, so it is small beside the snapshots
+    own = bt.filter(base).groupBy(*keys).agg(*stats, F.median(level).alias("_level"))
+    out = bt.join(F.broadcast(own), list(keys), "left")
+    z = {f"z_{c}": (F.col(f"{prefix}{c}") - F.col(f"_mu_{c}")) / F.when(F.col(f"_sd_{c}") > 1e-9, F.col(f"_sd_{c}")).otherwise(1.0) for c in cols}
+    out = out.withColumns(z | {"_own": F.col(level) / F.col("_level")}).select(*bt.columns, *z, "_own")
     z = [clip(f"z_{c}", 0.0) for c in features]
     out = out.withColumns({"hi_raw": F.greatest(*z) if len(z) > 1 else z[0], "hi_driver": first_argmax(list(features), z)})
     frame = trailing_rows(keys, ["hours"], smoothing)
@@ -186,15 +185,16 @@ def alarm_episodes(hi: DataFrame, k: str | Column | float, persistence: str | Co
     return rows.filter(F.col("_a") & (F.col("_rn") == need)).drop("_a", "_island", "_rn")
 
 
-def onset_summary(hi: DataFrame, k, persistence, known: DataFrame, envelope: Mapping[str, str], max_lead: float | None = 168.0, keys: Sequence[str] = ("test", "bearing")) -> DataFrame:
-    """One row per bearing: life, alarms, onset, lead, false alarms before the lead window, diagnosis.
+def onset_summary(hi: DataFrame, k, persistence, known: DataFrame, envelope: Mapping[str, str], max_lead: float | None = 168.0, keys: Sequence[str] = ("test", "bearing"), by: Sequence[str] = ()) -> DataFrame:
+    """One row per bearing (and grid point, if hi has one row for each in the columns `by`): life, alarms, onset, lead, false alarms before the lead window, diagnosis.
 
     known: keys and known_failure of the bearings that failed (a small
     configuration table). envelope: column of a fault's z, and the fault.
     """
+    own, keys = list(keys), [*by, *keys]
     life = hi.groupBy(*keys).agg(F.max("hours").alias("life_hours"))
     eps = alarm_episodes(hi, k, persistence, keys).groupBy(*keys).agg(F.array_sort(F.collect_list("hours")).alias("alarm_hours"))
-    out = life.join(eps, list(keys), "left").join(F.broadcast(known), list(keys), "left")
+    out = life.join(eps, list(keys), "left").join(F.broadcast(known), own, "left")
     out = out.withColumn("alarm_hours", F.coalesce("alarm_hours", F.expr("cast(array() as array<double>)")))
     limited = F.col("known_failure").isNotNull() & F.lit(max_lead is not None)
     late = lambda e: F.col("life_hours") - e <= (max_lead or 0.0)
@@ -273,3 +273,17 @@ def naive_life(summary: DataFrame, keys: Sequence[str] = ("test", "bearing"), fr
 def mean_spectrum(df: DataFrame, keys: Sequence[str], power: str) -> DataFrame:
     """Element-wise mean of spectra per key."""
     return df.select(*keys, F.posexplode(power).alias("pos", "p")).groupBy(*keys, "pos").agg(F.avg("p").alias("power"))
+
+
+def band_peak(spectrum: DataFrame, keys: Sequence[str], rate: float, n: int, low: float, high: float) -> DataFrame:
+    """The frequency in Hz and the power of the largest bin of each key's spectrum (pos, power) between low and high; the lowest of equals."""
+    hz = F.col("pos") * F.lit(rate / n)
+    best = F.max_by(F.struct(hz.alias("hz"), "power"), F.struct("power", (-F.col("pos")).alias("p")))
+    return spectrum.filter(hz.between(low, high)).groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.hz").alias("peak_hz"), F.col("b.power").alias("peak_power"))
+
+
+def likelier_rate(spectrum: DataFrame, keys: Sequence[str], n: int, rates: Sequence[float], expected: float, tolerance: float = 0.05) -> DataFrame:
+    """Which of several sampling rates puts the peak near an expected frequency closest to it: peak_hz under each rate, and the rate."""
+    near = [band_peak(spectrum, keys, r, n, expected * (1 - tolerance), expected * (1 + tolerance)).select(*keys, F.lit(float(r)).alias("rate"), "peak_hz") for r in rates]
+    every = reduce(DataFrame.unionByName, near)
+    return every.groupBy(*keys).agg(F.min_by(F.struct("rate", "peak_hz"), F.struct(F.abs(F.col("peak_hz") - expected).alias("d"), "rate")).alias("b")).select(*keys, "b.*")

@@ -220,7 +220,7 @@ def control_limit_scores(spark, d):
     cl = ControlLimits(_CL)
     limits = cl.limits_of(f.filter(T.training_slice("t", B.TRAIN[0], B.TRAIN[1], B.EXCLUDE)))
     z = cl.excursion(_CL, lambda x: F.col(f"mu_{x}"), lambda x: F.col(f"sd_{x}"))
-    return f.join(F.broadcast(limits)).select(big("asset"), big("t"), r6(z, "score"), (F.round(z, 6) > 3.0).alias("above"))
+    return f.join(F.broadcast(limits)).select(big("asset"), big("t"), r6(z, "score"), (r6(z, "score") > 3.0).alias("above"))
 
 
 @query
@@ -336,20 +336,20 @@ def _early():
 @query
 def net_value(spark, d):
     n = backtest.false_alerts(_events(spark, d).filter(F.col("end") >= B.TRAIN[1]), windows(spark)).agg(F.count(F.lit(1)).alias("n_false"))
-    c = economics.CostModel()
-    v = _leads(spark, d).agg(F.sum(c.value_of_warning(_early())).alias("v")).join(F.broadcast(n))
-    return v.select(big("n_false"), r6(F.col("v") - F.col("n_false") * c.false_inspection, "net_value"))
+    c = economics.cost_set()
+    v = _leads(spark, d).agg(economics.total_value(_early(), c).alias("v")).join(F.broadcast(n))
+    return v.select(big("n_false"), r6(F.col("v") - F.col("n_false") * c["inspection"], "net_value"))
 
 
 @query
 def break_even(spark, d):
-    return _leads(spark, d).agg(economics.CostModel().break_even(_early()).alias("b")).select(r6("b", "break_even_false_alerts"))
+    return _leads(spark, d).agg(economics.break_even(_early(), economics.cost_set()).alias("b")).select(r6("b", "break_even_false_alerts"))
 
 
 @query
 def parts_scenarios(spark, d):
     x = _leads(spark, d).withColumn("lead", _early()).crossJoin(F.broadcast(economics.scenarios(spark)))
-    return x.groupBy("scenario").agg(F.sum(economics.scenario_value("lead")).alias("v")).select("scenario", r6("v", "value"))
+    return x.groupBy("scenario").agg(F.sum(economics.warning_value("lead")).alias("v")).select("scenario", r6("v", "value"))
 
 
 _THRESHOLDS = (46.0, 48.0, 50.0, 52.0, 54.0)
@@ -495,10 +495,12 @@ def alarm_episodes(spark, d):
     return V.alarm_episodes(h, _K, _P).select(big("bearing"), r6("hours"))
 
 
-def _summary(spark, d, k=_K, p=_P):
+def _summary(spark, d, k=_K, p=_P, grid=None):
     known = spark.createDataFrame(B.KNOWN, "test int, bearing long, known_failure string")
     h = _health(spark, d).withColumn("hi", F.round("hi", 6)).withColumns({f"z_{c}": F.round(f"z_{c}", 6) for c in _HI})
-    return V.onset_summary(h, k, p, known, {"z_rms": "outer", "z_peak": "inner", "z_kurtosis": "roller"}, 60.0)
+    by = grid.columns if grid is not None else []
+    h = h.crossJoin(F.broadcast(grid)) if by else h
+    return V.onset_summary(h, k, p, known, {"z_rms": "outer", "z_peak": "inner", "z_kurtosis": "roller"}, 60.0, by=by)
 
 
 @query
@@ -555,16 +557,13 @@ def naive_rul(spark, d):
 
 @query
 def onset_economics(spark, d):
-    """Each limit of the onset rule priced: warnings by their lead, false alarms by inspections."""
-    c = economics.CostModel(parts_delivery_hours=12.0, scheduling_hours=4.0)
-    out = None
-    for k in (0.5, 1.0, 1.5):
-        s = _summary(spark, d, k, _P)
-        e = V.evaluate_onsets(s).select("false_alarms")
-        v = s.agg(F.sum(c.value_of_warning("hours_before_failure")).alias("v")).join(F.broadcast(e))
-        one = v.select(F.lit(k).alias("k"), big("false_alarms"), r6(F.col("v") - F.col("false_alarms") * c.false_inspection, "net_value"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Each limit of the onset rule priced, in one plan: warnings by their lead, false alarms by inspections."""
+    c = economics.cost_set(parts_delivery_hours=12.0, scheduling_hours=4.0)
+    grid = spark.createDataFrame([(0.5,), (1.0,), (1.5,)], "k double")
+    s = _summary(spark, d, "k", _P, grid)
+    e = V.evaluate_onsets(s, by=["k"]).select("k", "false_alarms")
+    v = s.groupBy("k").agg(economics.total_value("hours_before_failure", c).alias("v")).join(e, "k")
+    return v.select("k", big("false_alarms"), r6(F.col("v") - F.col("false_alarms") * c["inspection"], "net_value"))
 
 
 @query
@@ -577,11 +576,9 @@ def summary_report(spark, d):
 
 @query
 def kinematics(spark, d):
-    """Defect frequencies over a grid of shaft speeds, as SQL arithmetic."""
-    ratio = F.lit(0.331 / 2.815) * F.cos(F.radians(F.lit(15.17)))
-    g = spark.range(1, 6).select((F.col("id") * 500).alias("rpm"))
-    hz = F.col("rpm") / 60.0
-    return g.select(big("rpm"), r6(8.0 * hz * (1 - ratio), "bpfo"), r6(8.0 * hz * (1 + ratio), "bpfi"), r6(F.lit(0.5 * 2.815 / 0.331) * hz * (1 - ratio * ratio), "bsf"), r6(0.5 * hz * (1 - ratio), "ftf"))
+    """Defect frequencies over a grid of shaft speeds."""
+    g = spark.createDataFrame([(rpm, *(v for _, v in sorted(V.defect_frequencies(rpm / 60, 16, 2.815, 0.331, 15.17).items()))) for rpm in range(500, 3000, 500)], "rpm long, bpfi double, bpfo double, bsf double, ftf double")
+    return g.select("rpm", r6("bpfo"), r6("bpfi"), r6("bsf"), r6("ftf"))
 
 
 # --- not SQL: models, long transforms, streams --------------------------------------
@@ -610,7 +607,7 @@ def lstm_scores(spark, d):
 
 @query
 def stream_replay_features(spark, d):
-    """The streaming state machine over each asset's rows in memory order; equal to feature_table."""
+    """The stream's expressions over each asset's rows, with the last minute flushed; equal to feature_table."""
     import pandas as pd
     from pyspark.sql import types as ST
 
@@ -623,9 +620,8 @@ def stream_replay_features(spark, d):
     channels = B.CHANNELS
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["us", "tie"]).astype(object).to_dict("records")
-        out = [{"asset": int(key[0]), **r} for r in replay(rows, channels)]
-        return pd.DataFrame(out, columns=["asset", "t", *cols])
+        out = replay(pdf.sort_values(["us", "tie"], ignore_index=True), channels)
+        return out.assign(asset=int(key[0])).reindex(columns=["asset", "t", *cols])
 
     out = B.telemetry(spark, d).groupBy("asset").applyInPandas(one, schema)
     return out.select("asset", "t", *[r6(c) for c in cols])

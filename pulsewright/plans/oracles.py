@@ -200,7 +200,7 @@ ORACLES: dict[str, str] = {
     "failure_labels": f"""WITH {SC}, l AS (SELECT asset, {"CASE " + " ".join(f"WHEN t BETWEEN {f[1]} AND {f[2]} THEN '{f[0]}'" for f in reversed(B.FAILURES)) + " ELSE 'healthy' END"} AS failure_id FROM sc) SELECT asset, failure_id, failure_id <> 'healthy' AS is_failure, count(*) AS n FROM l GROUP BY 1, 2""",
     "training_slice": f"WITH {SC} SELECT asset, count(*) AS n, {r6('avg(score)', 'mean_score')} FROM sc WHERE {TRAIN} GROUP BY 1",
     "control_limit_scores": f"""WITH {FEATS}, b AS (SELECT {', '.join(f"avg({x}) AS mu{i}, CASE WHEN stddev_samp({x}) < 1e-6 THEN 1e-3 ELSE stddev_samp({x}) END AS sd{i}" for i, x in enumerate(('duty_cycle_w2', 'cur_mean_w2', 'tmp_std_w2')))} FROM feats WHERE {TRAIN}),
-      s AS (SELECT asset, t, round(greatest({', '.join(f"abs((coalesce({x}, mu{i}) - mu{i}) / sd{i})" for i, x in enumerate(('duty_cycle_w2', 'cur_mean_w2', 'tmp_std_w2')))}), 6) AS score FROM feats, b) SELECT *, score > 3 AS above FROM s""",
+      s AS (SELECT asset, t, round(1e-9 + greatest({', '.join(f"abs((coalesce({x}, mu{i}) - mu{i}) / sd{i})" for i, x in enumerate(('duty_cycle_w2', 'cur_mean_w2', 'tmp_std_w2')))}), 6) AS score FROM feats, b) SELECT *, score > 3 AS above FROM s""",
     "smoothed_median": f"WITH {SC}, sm AS ({smoothed()}) SELECT asset, t, smoothed_score FROM sm",
     "smoothed_mean": f"WITH {SC}, sm AS ({smoothed(fn='avg')}) SELECT asset, t, smoothed_score FROM sm",
     "rolling_median_rows": f"WITH {SC} SELECT asset, t, {r6('median(score) OVER (PARTITION BY asset ORDER BY t ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)', 'median_12')} FROM sc",

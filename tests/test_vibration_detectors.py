@@ -172,3 +172,30 @@ def test_lstm_learns_a_sine_and_its_gradients_are_right(spark):
     assert m.losses[-1] < 0.4 * m.losses[0]
     s = m.score(df.withColumn("a", F.when(F.col("t") == 200, 6.0).otherwise(F.col("a")))).toPandas().sort_values("t")
     assert s.score[205] > 5 * s.score[150] and s.score.notna().all()
+
+
+def test_peaks_in_a_band_and_the_sampling_rate(spark):
+    n, rate = 2048, 20480.0
+    power = np.zeros(n // 2)
+    power[24], power[100], power[101] = 5.0, 9.0, 9.0
+    df = spark.createDataFrame([(1, k, float(p)) for k, p in enumerate(power)], "bearing int, pos int, power double")
+    got = V.band_peak(df, ["bearing"], rate, n, 200, 400).first()
+    assert (got.peak_hz, got.peak_power) == (240.0, 5.0)
+    assert V.band_peak(df, ["bearing"], rate, n, 900, 1100).first().peak_hz == 1000.0
+    got = V.likelier_rate(df, ["bearing"], n, (20000.0, rate), 240.2).first()
+    assert (got.rate, got.peak_hz) == (rate, 240.0)
+
+
+def test_health_reports(spark):
+    from pulsewright.plans import health
+
+    rows = [(1, b, float(h), 30.0 + h if b == 2 and h > 60 else 0.5, float(np.exp(0.02 * h)) if b < 4 else 1.0, 9.0 if b == 2 else 1.0, 2.0) for b in range(1, 5) for h in range(100)]
+    hi = spark.createDataFrame(rows, "test int, bearing long, hours double, hi double, rms_ratio double, z_env_bpfo double, z_env_bpfi double")
+    known = [{"test": 1, "bearing": 2, "failure": "outer_race"}, {"test": 1, "bearing": 3, "failure": "roller"}]
+    out = health.reports(hi, {"known": known, "limit": 10.0, "persistence": 3})
+    onset = {r.bearing: r for r in out["onsets"].collect()}
+    assert onset[2].onset_hours == 63 and onset[2].diagnosed == "outer_race" and onset[2].diagnosis_correct and onset[2].alarm_hours == "63.0"
+    assert onset[3].onset_hours is None and onset[1].known_failure == "none"
+    e = out["evaluation"].first()
+    assert (e.detected, e.failed, e.median_lead_h, e.false_alarms) == (1, 2, 36.0, 0)
+    assert out["life"].filter("bearing = 2").count() == 3 and "naive_rul" in out["naive_life"].columns

@@ -35,7 +35,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset in local mode (tests)."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
@@ -43,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
         if jvm_dir.isDefined():
             found = jvm_dir.get()
         else:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="pulsewright-")
             sc.setCheckpointDir(found)
             found = sc._jsc.sc().getCheckpointDir().get()

@@ -76,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: None for the others: models, schedules and files are not SQL; they are tested against brute force.
 ORACLES: dict[str, str] = {
     "op3_winnow_decontam": winnow_decontam.ORACLE_SQL,
+    "op5_suffix_cover_dedup": suffix_cover_dedup.ORACLE_SQL,
     "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op7_setsketch_dedup": setsketch_dedup.ORACLE_SQL,
     "op10_substring_trees": substring_trees.ORACLE_SQL,

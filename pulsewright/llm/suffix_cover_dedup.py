@@ -95,3 +95,20 @@ def dedup_bytes(docs: DataFrame, span: int = SPAN) -> DataFrame:
     info = cut.select("k1", "k2", F.col("kept").alias("_new")).unionByName(copies.select("k1", "k2", F.lit("").alias("_new")))
     rows = keyed(pack(docs)).drop("_t").join(info, ["k1", "k2"], "left")
     return unpack(rows.withColumn("text", F.coalesce("_new", "text")), docs.columns)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT r, b, substr(h, 400 * b + 1, 798) AS x FROM (SELECT r, h, unnest(range(0, (len(h) // 2 + 199) // 200)) AS b FROM d)),
+w AS (SELECT r, 200 * b + q AS p, md5(substr(x, 2 * q - 1, 400)) AS k FROM (SELECT r, b, x, unnest(range(1, least(200, len(x) // 2 - 199) + 1)) AS q FROM part WHERE len(x) >= 400)),
+again AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT r, p, coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + 200, true) AS new FROM w SEMI JOIN again USING (k)),
+run AS (SELECT r, min(p) AS s, max(p) + 200 AS e FROM (SELECT r, p, sum(new::INT) OVER (PARTITION BY r ORDER BY p) AS i FROM hit) GROUP BY r, i),
+n AS (SELECT r, sum(e - s) AS n_removed, count(*) AS n_spans FROM run GROUP BY r),
+gap AS (
+  SELECT r, s AS place, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 1) AS a, s AS z FROM run
+  UNION ALL SELECT d.r, 1 + len(h), coalesce(last.e, 1), 1 + len(h) // 2 FROM d LEFT JOIN (SELECT r, max(e) AS e FROM run GROUP BY r) last USING (r)
+), kept AS (SELECT r, string_agg(substr(h, 2 * a - 1, 2 * (z - a)), '' ORDER BY place) AS x FROM gap JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(x)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN n USING (r)
+"""

@@ -55,3 +55,23 @@ def test_stages(spark, tmp_path):
         assert (tokens[i].start, tokens[i].n_tokens, tokens[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(order)
+
+
+def test_stages_of_an_empty_table_and_of_clashing_columns(spark, tmp_path):
+    extra = "row string, rest long, score double, slot int, hits string, n_words int, _t string, rid long"
+    names = [c.split()[0] for c in (COLUMNS + ", " + extra).split(", ")]
+    spark.createDataFrame([(1, "none of these words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice(["the", "house", "with", "thing"]) + str(rng.randint(0, 99)) for _ in range(60))
+    same = text()
+    rows = [(i, text(), "en", "s", 1, "r", 2, 0.5, 3, "h", 4, None, 5) for i in range(150)] + [(900, same, "en", None, 1, "r", 2, 0.5, 3, "h", 4, None, 5)] * 3 + [(901, same, None, "t", 1, "r", 2, 0.5, 3, "h", 4, None, 5), (None, same, "en", "s", *[None] * 9), (902, "", "en", "s", *[None] * 9)]
+    for some, want in ((rows, 152), ([], 0)):
+        docs = spark.createDataFrame(some, COLUMNS + ", " + extra)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name != "tokens":
+                assert out.columns == names, name
+            path = str(tmp_path / f"{len(some)}_{name}")
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+        assert docs.count() == want

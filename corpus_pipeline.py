@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next one's docs. All but the last return the
-columns of documents.
+columns of documents, with whatever further columns there are.
+
+Null, empty and letterless texts go in the first stage. Rows that repeat an id with the same
+text, and copies under other ids, leave one row in the second; rows without an id are no
+one's copies and stay. Ties go to the smallest id. An empty table gives an empty result.
 """
 
 from __future__ import annotations

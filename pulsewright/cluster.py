@@ -89,8 +89,13 @@ def only_rows_of(df: DataFrame, keys: DataFrame, on: list[str], bound: int = BRO
     return df.join(F.broadcast(keys) if small else keys, on, "left_semi")
 
 
+def sized(table: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """A materialised table of narrow rows, to be joined: broadcast if it is counted to have few rows, else left to a shuffle join."""
+    return F.broadcast(table) if table.count() <= bound else table
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["BROADCAST_ROWS", "delete", "discard", "materialise", "new_path", "only_rows_of", "shared_dir", "ship", "shuffle_partitions"]
+__all__ = ["BROADCAST_ROWS", "delete", "discard", "materialise", "new_path", "only_rows_of", "shared_dir", "ship", "shuffle_partitions", "sized"]

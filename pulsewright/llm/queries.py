@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsewright.llm import language_id, pfair_mix, pii_bootstrap, quality_rules, setsketch_dedup, substring_trees, suffix_cover_dedup, token_files, weak_quality, winnow_decontam
+from pulsewright.llm import divergence_audit, language_id, pfair_mix, pii_bootstrap, quality_rules, setsketch_dedup, substring_trees, suffix_cover_dedup, token_files, vector_codes, warc_salvage, weak_quality, winnow_decontam
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,18 @@ def op10_substring_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_trees.digest(_documents(spark, sf_dir))
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.digest(_documents(spark, sf_dir))
+
+
+def op12_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_salvage.digest(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_pfair_mix": op2_pfair_mix,
@@ -71,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_bootstrap": op8_pii_bootstrap,
     "op9_weak_quality": op9_weak_quality,
     "op10_substring_trees": op10_substring_trees,
+    "op11_divergence_audit": op11_divergence_audit,
+    "op12_warc_salvage": op12_warc_salvage,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: None for the others: models, schedules and files are not SQL; they are tested against brute force.
@@ -80,4 +95,7 @@ ORACLES: dict[str, str] = {
     "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op7_setsketch_dedup": setsketch_dedup.ORACLE_SQL,
     "op10_substring_trees": substring_trees.ORACLE_SQL,
+    "op11_divergence_audit": divergence_audit.ORACLE_SQL,
+    "op12_warc_salvage": warc_salvage.ORACLE_SQL,
+    "op13_vector_codes": vector_codes.ORACLE_SQL,
 }

@@ -43,7 +43,7 @@ UNIT = 10**9
 #: Counts (of a term in a source) of a block of terms; a task's memory is some 100 bytes for each.
 BLOCK = 500_000
 #: Counts that a task holds before it hands them on.
-HELD = 400_000
+HELD = 1_200_000
 
 TERM = np.zeros(256, bool)
 TERM[0x61:0x7B] = TERM[0x80:] = True  # after lower-casing
@@ -92,7 +92,7 @@ class Counts:
         self.n = 0
 
     def add(self, text: pa.Array, group_of: np.ndarray) -> None:
-        for i, j, data, offsets in K.chunks(text, 4 * K.CHUNK_BYTES):
+        for i, j, data, offsets in K.chunks(text, 16 * K.CHUNK_BYTES):
             low = K.LOWER[data]
             starts, ends, at = K.word_spans(low, offsets, TERM)
             if not len(starts):

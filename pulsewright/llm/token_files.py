@@ -120,10 +120,10 @@ def with_added(data: np.ndarray, offsets: np.ndarray, added: re.Pattern | None)
     return np.union1d(offsets, at.reshape(-1)), at[:, 0]
 
 
-def piece_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where pieces start, and the offsets of what `offsets` delimits into them.
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces start.
 
-    Pieces start with rows; at a single space or line feed between characters
+    Pieces start with what `offsets` delimits; at a single space or line feed between characters
     that are surely not white space, and behind such a line feed; and at an
     ASCII mark behind a Latin letter. A byte-level tokenizer has a boundary at each.
     """
@@ -146,9 +146,7 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     safe[last[(data[last] == 0x20) | (data[last] == 0x0A)]] = False
     safe[offsets[:-1]] = True
     safe[n] = False
-    starts = np.flatnonzero(safe)
-    cut = np.searchsorted(starts, offsets, "left")
-    return starts, cut
+    return np.flatnonzero(safe)
 
 
 def encode(data: np.ndarray, offsets: np.ndarray, path: str, end: int = END) -> tuple[np.ndarray, np.ndarray]:
@@ -157,15 +155,14 @@ def encode(data: np.ndarray, offsets: np.ndarray, path: str, end: int = END) ->
     if not len(data):
         return np.full(len(offsets) - 1, end, held.kind), np.arange(len(offsets))
     parts, added = with_added(data, offsets, held.added)
-    starts, cut = piece_starts(data, parts)
+    starts = piece_starts(data, parts)
     if len(added):  # an added token is one piece
         first, after = np.searchsorted(starts, added), np.searchsorted(starts, parts[np.searchsorted(parts, added) + 1])
         inside = np.zeros(len(starts) + 1, np.int64)
         np.add.at(inside, first + 1, 1)
         np.add.at(inside, after, -1)
         starts = starts[np.cumsum(inside)[:-1] == 0]
-    if len(parts) != len(offsets):
-        cut = np.searchsorted(starts, offsets, "left")
+    cut = np.searchsorted(starts, offsets, "left")
     ends = np.append(starts[1:], len(data))
     h = K.span_hash(K.prefix_hash(K.BYTE_VALUE[data]), starts, ends)
     keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)

@@ -108,6 +108,29 @@ def test_pieces_encode_like_whole_texts():
             assert ids[cut[r] : cut[r + 1]].tolist() == [*t.encode(rows[i + r], add_special_tokens=False).ids, 0]
 
 
+def test_empty_rows_beside_added_tokens_encode_like_whole_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from pulsewright.llm import textkit as K
+
+    t = Tokenizer.from_file(tokenizer_path())
+    rng = random.Random(12)
+    parts = ["<|endoftext|>", "<|endoftext|>", "a", "b c", " ", "\n"]
+    chunks = [["", "<|endoftext|>b"], ["", "a<|endoftext|>"], [None, "<|endoftext|>"], ["<|endoftext|>", ""], [None, ""]]
+    chunks += [[rng.choice([None, "", "".join(rng.choice(parts) for _ in range(rng.randint(0, 3)))]) for _ in range(rng.randint(1, 5))] for _ in range(2000)]
+    for rows in chunks:
+        for i, j, data, offsets in K.chunks(pa.array(rows, pa.string())):
+            ids, cut = token_files.encode(data, offsets, tokenizer_path())
+            for r in range(j - i):
+                assert ids[cut[r] : cut[r + 1]].tolist() == [*t.encode(rows[i + r] or "", add_special_tokens=False).ids, 0], rows
+
+
+def test_token_files_of_nulls_beside_added_tokens(spark):
+    rows = spark.createDataFrame([(1, None), (2, "<|endoftext|>b"), (3, "c d"), (4, "")], "doc_id long, text string").coalesce(1)
+    assert [(r.doc_id, r.n_tokens) for r in token_files.digest(rows, tokenizer_path()).orderBy("doc_id").collect()] == [(1, 1), (2, 3), (3, 3), (4, 1)]
+
+
 def test_pfair_deviation_is_below_one_block():
     for slots in ({"a": 500, "b": 300, "c": 199, "d": 1}, {"a": 7, "b": 5, "c": 3}, {"x": 1}):
         table = pfair_mix.one_period(slots)

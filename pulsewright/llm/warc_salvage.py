@@ -56,6 +56,7 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_NAME = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
 _START = re.compile(re.escape(MAGIC) + b"|" + VERSION)
 _BITS = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
 
@@ -199,7 +200,7 @@ def _fields(lines: bytes) -> dict[str, str]:
             out[last] += " " + line.decode("utf-8", "replace").strip()
             continue
         name, colon, value = line.partition(b":")
-        if not colon or not name.strip():
+        if not colon or not _NAME.fullmatch(name):
             raise Damaged("bad header line")
         last = name.decode("utf-8", "replace").strip().lower()
         out[last] = value.decode("utf-8", "replace").strip()
@@ -218,7 +219,7 @@ def parse(get: Get, p: int, size: int) -> tuple[Record, int]:
         head = get(p, step)
     fields = _fields(head[head.index(b"\r\n") + 2 : end])
     length = fields.get("content-length", "")
-    if not (fields.get("warc-type") and fields.get("warc-record-id") and length.isascii() and length.isdigit()):
+    if not (fields.get("warc-type") and fields.get("warc-record-id") and fields.get("warc-date") and length.isascii() and length.isdigit()):
         raise Damaged("a needed header field is missing")
     begin, n = p + end + 4, int(length)
     if begin + n + 4 > size:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsewright.operators.chunked import numbered
 from pulsewright.operators.windows import islands, ordered
 
 
@@ -26,9 +27,9 @@ def profile(df: DataFrame, signals: Sequence[str]) -> DataFrame:
     return out.select("signal", "missing_count", "missing_pct", "min", F.col("q")[0].alias("p01"), F.col("q")[1].alias("median"), "mean", F.col("q")[2].alias("p99"), "max", "std")
 
 
-def frozen_periods(bucketed: DataFrame, frozen, keys: Sequence[str], t: str = "t", least: int = 10) -> DataFrame:
-    """Runs of frozen buckets; an empty bucket ends a run."""
-    rows = islands(bucketed.withColumn("_f", frozen), "_f", t, keys, 1, "run")
+def frozen_periods(bucketed: DataFrame, frozen, keys: Sequence[str], t: str = "t", least: int = 10, chunk: int | None = None) -> DataFrame:
+    """Runs of frozen buckets; an empty bucket ends a run. chunk: units of time of one task of a long series."""
+    rows = islands(bucketed.withColumn("_f", frozen), "_f", t, keys, 1, "run", chunk)
     return rows.groupBy(*keys, "run").agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count(F.lit(1)).alias("buckets")).filter(F.col("buckets") >= least)
 
 
@@ -85,7 +86,10 @@ def best_row(df: DataFrame, keys: Sequence[str], by: str, *ties: str) -> DataFra
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def decimate(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: int) -> DataFrame:
+def decimate(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: int, chunk: Column | None = None) -> DataFrame:
+    """Every step-th row of each series, from its first. chunk: cuts a long series into tasks; it must rise with `order`."""
+    if chunk is not None:
+        return numbered(df, keys, order, chunk, "_r").filter(F.col("_r") % step == 0).drop("_r")
     return df.withColumn("_r", F.row_number().over(ordered(keys, order)) - 1).filter(F.col("_r") % step == 0).drop("_r")
 
 

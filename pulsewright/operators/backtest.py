@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsewright.operators.economics import total_value, warning_value
-from pulsewright.operators.windows import islands, persists_time
+from pulsewright.operators.alerts import events_of_runs
+from pulsewright.operators.windows import persists_time
 
 DAYS_PER_MONTH = 30.4375
 
@@ -56,7 +57,7 @@ def false_by_shift(scored: DataFrame, false_events: DataFrame, per_day: float =
     return exposure.join(count, "shift", "left").select("shift", F.coalesce("n", F.lit(0)).alias("false_alerts"), (F.coalesce("n", F.lit(0)) / F.greatest(F.col("days") / DAYS_PER_MONTH, F.lit(1e-9))).alias("per_month"))
 
 
-def events_by_threshold(smoothed: DataFrame, thresholds: DataFrame, keys: Sequence[str], t: str, persistence: int, max_gap: float) -> DataFrame:
+def events_by_threshold(smoothed: DataFrame, thresholds: DataFrame, keys: Sequence[str], t: str, persistence: int, max_gap: float, chunk: int | None = None) -> DataFrame:
     """Events at every threshold at once: scores are smoothed once and each row meets the small table of thresholds.
 
     thresholds: column threshold, and persistence if it varies.
@@ -64,15 +65,14 @@ def events_by_threshold(smoothed: DataFrame, thresholds: DataFrame, keys: Sequen
     rows = smoothed.crossJoin(F.broadcast(thresholds)).withColumn("_above", F.coalesce(F.col("smoothed_score") > F.col("threshold"), F.lit(False)))
     by = [*keys, *thresholds.columns]
     steps = F.col("persistence") if "persistence" in thresholds.columns else F.lit(persistence)
-    flagged = persists_time(rows, "_above", t, by, steps, max_gap)
-    found = islands(flagged, "alert_flag", t, by, max_gap)
-    return found.groupBy(*by, "event_id").agg(F.min(t).alias("start"), F.max(t).alias("end"), F.max("smoothed_score").alias("peak_score"))
+    flagged = persists_time(rows, "_above", t, by, steps, max_gap, chunk=chunk, start="_start")
+    return events_of_runs(flagged, by, t, "_start").drop("duration_hours", "shift")
 
 
-def sweep(smoothed: DataFrame, thresholds: DataFrame, windows: DataFrame, scenarios: DataFrame, keys: Sequence[str], t: str, persistence: int, max_gap: float, eval_start: int, unit_hours: float = 1 / 60) -> DataFrame:
+def sweep(smoothed: DataFrame, thresholds: DataFrame, windows: DataFrame, scenarios: DataFrame, keys: Sequence[str], t: str, persistence: int, max_gap: float, eval_start: int, unit_hours: float = 1 / 60, chunk: int | None = None) -> DataFrame:
     """Detections, leads, false alerts, net value and break-even of each threshold under each scenario."""
     by = thresholds.columns
-    ev = events_by_threshold(smoothed, thresholds, keys, t, persistence, max_gap).filter(F.col("end") >= eval_start)
+    ev = events_by_threshold(smoothed, thresholds, keys, t, persistence, max_gap, chunk).filter(F.col("end") >= eval_start)
     detail = failure_details(ev, windows, by, thresholds, unit_hours)
     n_false = false_alerts(ev, windows).groupBy(*by).agg(F.count(F.lit(1)).alias("false_alerts"))
     span = smoothed.agg((F.greatest((F.max(t) - eval_start) * unit_hours / 24 / DAYS_PER_MONTH, F.lit(1e-9))).alias("months"))

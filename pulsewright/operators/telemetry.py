@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsewright.functions.exprs import safe_ratio, shift_label
+from pulsewright.operators.chunked import with_runs
 from pulsewright.operators.windows import in_chunks, ordered, trailing
 
 MICROS = 1_000_000
@@ -47,39 +48,29 @@ COMPRESSOR = Channels(
 def row_signals(df: DataFrame, c: Channels) -> DataFrame:
     """Adds loaded, load_start, run_elapsed, idle_dp and idle_dt. One sort: all windows share their specification.
 
-    With c.chunk a series is cut into chunks of time, each a partition of its
-    own. What a chunk needs of all before it, the last row and the start of the
-    load run, comes from one row per chunk.
+    With c.chunk a series is cut into chunks of time, each a partition of its own; what a
+    chunk needs of all before it, the last row and the start of the load run, is its link.
     """
-    keys = ["asset", "_part"] if c.chunk else ["asset"]
-    w = ordered(keys, ["us", "tie"])
     out = df.withColumn("loaded", (1 - F.col("comp")).cast("int"))
-    before = {"us": F.lag("us").over(w), "loaded": F.lag("loaded").over(w), "res": F.lag(c.reservoir).over(w)}
+    gap = c.gap_s * MICROS
     if c.chunk:
-        out = out.withColumn("_part", F.floor(F.col("us") / (c.bucket_s * MICROS * c.chunk)))
-        last = F.max_by(F.struct("us", "loaded", F.col(c.reservoir).alias("res")), F.struct("us", "tie"))
-        ends = out.groupBy(*keys).agg(last.alias("_l")).withColumn("_l", F.lag("_l").over(ordered(["asset"], ["_part"])))
-        out = out.join(ends, keys)
-        first = F.row_number().over(w) == 1
-        before = {k: F.when(first, F.col(f"_l.{k}")).otherwise(v) for k, v in before.items()}
-    out = out.withColumns({"_dt": (F.col("us") - before["us"]) / F.lit(float(MICROS)), "_pl": before["loaded"], "_pr": before["res"]})
-    close = F.coalesce(F.col("_dt") <= c.gap_s, F.lit(False))
-    was = lambda v: F.coalesce(F.col("_pl") == v, F.lit(False))
-    idle = (F.col("loaded") == 0) & was(0) & close
+        part = F.floor(F.col("us") / (c.bucket_s * MICROS * c.chunk))
+        out = with_runs(out, ["asset"], ["us", "tie"], "us", F.col("loaded") == 1, gap, part, [c.reservoir])
+        out = out.withColumns({"_dt": (F.col("us") - F.col("_before.t")) / F.lit(float(MICROS)), "_on": F.col("_before.flag"), "_pr": F.col(f"_before.{c.reservoir}")})
+    else:
+        w = ordered(["asset"], ["us", "tie"])
+        out = out.withColumns({"_dt": (F.col("us") - F.lag("us").over(w)) / F.lit(float(MICROS)), "_on": F.lag("loaded").over(w) == 1, "_pr": F.lag(c.reservoir).over(w)})
+        begins = F.when((F.col("loaded") == 1) & ~F.coalesce(F.col("_on") & (F.col("_dt") <= c.gap_s), F.lit(False)), F.col("us"))
+        out = out.withColumn("_run", F.last(begins, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    near = F.coalesce((F.col("_dt") <= c.gap_s) & ~F.col("_on"), F.lit(False))  # and idle before
+    idle = (F.col("loaded") == 0) & near
     out = out.withColumns({
-        "load_start": ((F.col("loaded") == 1) & was(0) & close).cast("int"),
-        "_run": F.when((F.col("loaded") == 1) & ~(was(1) & close), F.col("us")),
+        "load_start": ((F.col("loaded") == 1) & near).cast("int"),
+        "run_elapsed": F.when(F.col("loaded") == 1, (F.col("us") - F.col("_run")) / F.lit(float(MICROS))).otherwise(0.0),
         "idle_dp": F.when(idle, F.col("_pr").cast("double") - F.col(c.reservoir).cast("double")).otherwise(0.0),
         "idle_dt": F.when(idle, F.col("_dt")).otherwise(0.0),
     })
-    start = F.last("_run", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    if c.chunk:
-        earlier = ordered(["asset"], ["_part"]).rowsBetween(Window.unboundedPreceding, -1)
-        runs = out.groupBy(*keys).agg(F.max("_run").alias("_r")).withColumn("_r", F.max("_r").over(earlier))
-        out = out.join(runs, keys)
-        start = F.coalesce(start, F.col("_r"))
-    out = out.withColumn("run_elapsed", F.when(F.col("loaded") == 1, (F.col("us") - start) / F.lit(float(MICROS))).otherwise(0.0))
-    return out.drop("_dt", "_pl", "_pr", "_run", "_part", "_l", "_r")
+    return out.drop("_dt", "_on", "_pr", "_run", "_runs", "_before")
 
 
 def buckets(signals: DataFrame, c: Channels) -> DataFrame:

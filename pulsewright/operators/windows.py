@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pulsewright.functions.exprs import array_median, col
+from pulsewright.operators.chunked import chunk_of, with_runs
 
 
 def ordered(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -62,23 +63,25 @@ def prefix_sum_window(df: DataFrame, keys: Sequence[str], t: str, x: str, w: int
     return out.withColumn(name, F.col("_p") - F.coalesce(F.last("_p", True).over(before), F.lit(0.0))).drop("_p")
 
 
-def run_start(flag: str | Column, t: str, keys: Sequence[str], order: Sequence[str], max_gap: float) -> Column:
-    """Start time of the run of true flags that a row ends; a gap over max_gap begins a new run. Null before the first."""
-    w = ordered(keys, order)
-    f = col(flag)
-    goes_on = F.coalesce(F.lag(f).over(w), F.lit(False)) & ((F.col(t) - F.lag(t).over(w)) <= max_gap)
-    begins = f & ~F.coalesce(goes_on, F.lit(False))
-    return F.last(F.when(begins, F.col(t)), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+def persists_time(df: DataFrame, above: str, t: str, keys: Sequence[str], steps: int | Column, max_gap: float, name: str = "alert_flag", chunk: int | None = None, start: str | None = None) -> DataFrame:
+    """True once `above` has held for `steps` units of time, the current one included, without a gap over max_gap.
+
+    chunk: units of time of one task of a long series. start: a name for the start of the row's run.
+    """
+    out = _runs(df, above, t, keys, max_gap, chunk)
+    out = out.withColumn(name, F.coalesce(F.col(above) & (F.col(t) - F.col("_run") + 1 >= steps), F.lit(False))).drop("_before", "_runs")
+    return out.withColumnRenamed("_run", start) if start else out.drop("_run")
 
 
-def persists_time(df: DataFrame, above: str, t: str, keys: Sequence[str], steps: int, max_gap: float, name: str = "alert_flag") -> DataFrame:
-    """True once `above` has held for `steps` units of time, the current one included, without a gap over max_gap."""
+def _runs(df: DataFrame, flag: str, t: str, keys: Sequence[str], max_gap: float, chunk: int | None) -> DataFrame:
+    """_run and _runs of with_runs, over chunks or in one window a series."""
+    if chunk:
+        return with_runs(df, keys, [t], t, flag, max_gap, chunk_of(t, chunk))
     w = ordered(keys, [t])
-    prev = F.coalesce(F.lag(above).over(w), F.lit(False))
-    goes_on = prev & F.coalesce((F.col(t) - F.lag(t).over(w)) <= max_gap, F.lit(False))
-    out = df.withColumn("_begins", F.when(F.col(above) & ~goes_on, F.col(t)))
-    out = out.withColumn("_start", F.last("_begins", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.withColumn(name, F.coalesce(F.col(above) & (F.col(t) - F.col("_start") + 1 >= steps), F.lit(False))).drop("_begins", "_start")
+    goes_on = F.coalesce(F.lag(flag).over(w) & (F.col(t) - F.lag(t).over(w) <= max_gap), F.lit(False))
+    out = df.withColumn("_begins", F.coalesce(F.col(flag) & ~goes_on, F.lit(False)))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumns({"_run": F.last(F.when(F.col("_begins"), F.col(t)), True).over(so_far), "_runs": F.sum(F.col("_begins").cast("long")).over(so_far)}).drop("_begins")
 
 
 def persists_count(df: DataFrame, above: str, keys: Sequence[str], order: Sequence[str], steps: int, name: str = "alert_flag") -> DataFrame:
@@ -89,12 +92,9 @@ def persists_count(df: DataFrame, above: str, keys: Sequence[str], order: Sequen
     return out.withColumn(name, F.col(above) & (n >= steps)).drop("_island")
 
 
-def islands(df: DataFrame, flag: str, t: str, keys: Sequence[str], max_gap: float, name: str = "event_id") -> DataFrame:
-    """The rows with a true flag, numbered by run within their keys; the gap is to the previous row of any flag."""
-    w = ordered(keys, [t])
-    goes_on = F.coalesce(F.lag(flag).over(w), F.lit(False)) & F.coalesce((F.col(t) - F.lag(t).over(w)) <= max_gap, F.lit(False))
-    out = df.withColumn("_new", (F.col(flag) & ~goes_on).cast("long"))
-    return out.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col(flag)).drop("_new")
+def islands(df: DataFrame, flag: str, t: str, keys: Sequence[str], max_gap: float, name: str = "event_id", chunk: int | None = None) -> DataFrame:
+    """The rows with a true flag, numbered by run within their keys; the gap is to the previous row of any flag. chunk as in persists_time."""
+    return _runs(df, flag, t, keys, max_gap, chunk).withColumnRenamed("_runs", name).filter(F.col(flag)).drop("_run", "_before")
 
 
 def sequences(df: DataFrame, keys: Sequence[str], t: str, cols: Sequence[str], n: int) -> DataFrame:

@@ -26,6 +26,10 @@ TRAIN = (T0, T0 + 239)
 EXCLUDE = ((T0 + 96, T0 + 110),)
 ANTICIPATION, GRACE = 72, 24
 MAX_GAP, SMOOTHING, PERSISTENCE = 24, 12, 4
+#: Steps of the coarse channels.
+COARSE_A1, COARSE_A2 = 150.0, 60.0
+#: Hours of one task of a series of minutes or scores.
+CHUNK = 120
 
 N_SAMPLES = 64
 #: Bearings that failed, and how.
@@ -52,6 +56,12 @@ def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.buckets(signals(spark, sf_dir), CHANNELS)
 
 
+def coarse_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours of the same telemetry with channels in steps so coarse that they often stand still."""
+    t = telemetry(spark, sf_dir).withColumns({"a1": F.floor(F.col("a1") / COARSE_A1).cast("double"), "a2": F.floor(F.col("a2") / COARSE_A2).cast("double")})
+    return T.buckets(T.row_signals(t, CHANNELS), CHANNELS)
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.features(hours(spark, sf_dir).filter(~T.is_frozen(CHANNELS)), CHANNELS)
 

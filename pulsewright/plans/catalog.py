@@ -12,6 +12,7 @@ from pulsewright.operators import alerts, audit, backtest, economics
 from pulsewright.operators import telemetry as T
 from pulsewright.operators import vibration as V
 from pulsewright.operators import windows as W
+from pulsewright.operators.chunked import chunk_of, with_run_lookback
 from pulsewright.operators.detectors import ControlLimits, IsolationForest
 from pulsewright.operators.lstm import LstmAutoencoder
 from pulsewright.plans import bindings as B
@@ -106,8 +107,23 @@ def hour_buckets(spark, d):
 
 @query
 def frozen_periods(spark, d):
-    """Runs of at least two hours in which every hour has fewer than three rows: the islands of the frozen rule on a condition that occurs here."""
-    return audit.frozen_periods(B.hours(spark, d), F.col("n") < 3, ["asset"], least=2).select(big("asset"), big("start"), big("end"), big("buckets"))
+    """Runs of at least two hours with three rows and more whose coarse channels stand still."""
+    return audit.frozen_periods(B.coarse_hours(spark, d), T.is_frozen(B.CHANNELS), ["asset"], least=2, chunk=B.CHUNK).select(big("asset"), big("start"), big("end"), big("buckets"))
+
+
+@query
+def sparse_periods(spark, d):
+    """Runs of at least two hours in which every hour has fewer than three rows."""
+    return audit.frozen_periods(B.hours(spark, d), F.col("n") < 3, ["asset"], least=2, chunk=B.CHUNK).select(big("asset"), big("start"), big("end"), big("buckets"))
+
+
+@query
+def run_lookback(spark, d):
+    """Load runs of two days, read with as much before them as their runs reach back."""
+    raw = B.telemetry(spark, d).withColumn("loaded", (1 - F.col("comp")).cast("int"))
+    lo, hi = (B.T0 + 400) * B.HOUR * T.MICROS, (B.T0 + 448) * B.HOUR * T.MICROS
+    rows, own = with_run_lookback(raw, ["asset"], ["us", "tie"], "us", lo, hi, F.col("loaded") == 1, B.CHANNELS.gap_s * T.MICROS, 6 * B.HOUR * T.MICROS)
+    return T.row_signals(rows, B.CHANNELS).filter(own).select(big("tie"), big("asset"), big("load_start"), r6("run_elapsed"))
 
 
 @query
@@ -225,12 +241,12 @@ def control_limit_scores(spark, d):
 
 @query
 def smoothed_median(spark, d):
-    return alerts.smooth(B.scores(spark, d), ["asset"], "t", "score", B.SMOOTHING).select(big("asset"), big("t"), r6("smoothed_score"))
+    return alerts.smooth(B.scores(spark, d), ["asset"], "t", "score", B.SMOOTHING, chunk=B.CHUNK).select(big("asset"), big("t"), r6("smoothed_score"))
 
 
 @query
 def smoothed_mean(spark, d):
-    return alerts.smooth(B.scores(spark, d), ["asset"], "t", "score", B.SMOOTHING, "mean").select(big("asset"), big("t"), r6("smoothed_score"))
+    return alerts.smooth(B.scores(spark, d), ["asset"], "t", "score", B.SMOOTHING, "mean", chunk=B.CHUNK).select(big("asset"), big("t"), r6("smoothed_score"))
 
 
 @query
@@ -249,9 +265,15 @@ def quantile_thresholds(spark, d):
 _LIMIT = 50.0
 
 
+def _smoothed(spark, d):
+    """Smoothed scores to six places, as the limits meet them."""
+    s = alerts.smooth(B.scores(spark, d), ["asset"], "t", "score", B.SMOOTHING, chunk=B.CHUNK)
+    return s.withColumn("smoothed_score", F.round(F.col("smoothed_score") + 1e-9, 6))
+
+
 def _flagged(spark, d):
-    s = alerts.smooth(B.scores(spark, d), ["asset"], "t", "score", B.SMOOTHING).withColumn("smoothed_score", F.round(F.col("smoothed_score") + 1e-9, 6))
-    return W.persists_time(s.withColumn("above", F.col("smoothed_score") > _LIMIT), "above", "t", ["asset"], B.PERSISTENCE, B.MAX_GAP)
+    s = _smoothed(spark, d).withColumn("above", F.col("smoothed_score") > _LIMIT)
+    return W.persists_time(s, "above", "t", ["asset"], B.PERSISTENCE, B.MAX_GAP, chunk=B.CHUNK, start="run")
 
 
 @query
@@ -266,7 +288,7 @@ def persistence_count(spark, d):
 
 
 def _events(spark, d):
-    return alerts.events(_flagged(spark, d), ["asset"], "t", max_gap=B.MAX_GAP, unit_hours=1.0)
+    return alerts.events_of_runs(_flagged(spark, d), ["asset"], "t", "run", unit_hours=1.0)
 
 
 @query
@@ -278,7 +300,7 @@ def alert_events(spark, d):
 def episodes(spark, d):
     """Runs of hours whose longest load run within a day is over six hours."""
     h = B.hours(spark, d).withColumn("f", F.max("run_elapsed_max").over(W.trailing(["asset"], "t", 24)) > 6 * 3600)
-    rows = W.islands(h, "f", "t", ["asset"], B.MAX_GAP, "run")
+    rows = W.islands(h, "f", "t", ["asset"], B.MAX_GAP, "run", B.CHUNK)
     return rows.groupBy("asset", "run").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count(F.lit(1)).alias("n")).filter("`end` - start >= 1").select(big("asset"), big("run"), big("start"), big("end"), big("n"))
 
 
@@ -357,8 +379,7 @@ _THRESHOLDS = (46.0, 48.0, 50.0, 52.0, 54.0)
 
 def _sweep(spark, d):
     th = spark.createDataFrame([(x,) for x in _THRESHOLDS], "threshold double")
-    s = alerts.smooth(B.scores(spark, d), ["asset"], "t", "score", B.SMOOTHING).withColumn("smoothed_score", F.round(F.col("smoothed_score") + 1e-9, 6))
-    return backtest.sweep(s, th, windows(spark), economics.scenarios(spark), ["asset"], "t", B.PERSISTENCE, B.MAX_GAP, B.TRAIN[1], 1.0)
+    return backtest.sweep(_smoothed(spark, d), th, windows(spark), economics.scenarios(spark), ["asset"], "t", B.PERSISTENCE, B.MAX_GAP, B.TRAIN[1], 1.0, B.CHUNK)
 
 
 @query
@@ -386,16 +407,14 @@ def anticipation_sensitivity(spark, d):
 @query
 def persistence_sensitivity(spark, d):
     grid = spark.createDataFrame([(_LIMIT, p) for p in (2, 4, 8, 16)], "threshold double, persistence long")
-    s = alerts.smooth(B.scores(spark, d), ["asset"], "t", "score", B.SMOOTHING).withColumn("smoothed_score", F.round(F.col("smoothed_score") + 1e-9, 6))
-    ev = backtest.events_by_threshold(s, grid, ["asset"], "t", 0, B.MAX_GAP)
+    ev = backtest.events_by_threshold(_smoothed(spark, d), grid, ["asset"], "t", 0, B.MAX_GAP, B.CHUNK)
     return ev.groupBy("persistence").agg(F.count(F.lit(1)).alias("n")).select(big("persistence"), big("n", "events"))
 
 
 @query
 def persistence_pivot(spark, d):
     grid = spark.createDataFrame([(_LIMIT, p) for p in (2, 4, 8, 16)], "threshold double, persistence long")
-    s = alerts.smooth(B.scores(spark, d), ["asset"], "t", "score", B.SMOOTHING).withColumn("smoothed_score", F.round(F.col("smoothed_score") + 1e-9, 6))
-    ev = backtest.events_by_threshold(s, grid, ["asset"], "t", 0, B.MAX_GAP)
+    ev = backtest.events_by_threshold(_smoothed(spark, d), grid, ["asset"], "t", 0, B.MAX_GAP, B.CHUNK)
     p = ev.groupBy("asset").pivot("persistence", [2, 4, 8, 16]).agg(F.count(F.lit(1)))
     return p.select(big("asset"), *[big(F.coalesce(F.col(f"`{k}`"), F.lit(0)), f"p{k}") for k in (2, 4, 8, 16)])
 
@@ -416,7 +435,7 @@ def score_normalised(spark, d):
 
 @query
 def decimated(spark, d):
-    return audit.decimate(B.scores(spark, d), ["asset"], ["t"], 5).select(big("asset"), big("t"), r6("score"))
+    return audit.decimate(B.scores(spark, d), ["asset"], ["t"], 5, chunk_of("t", B.CHUNK)).select(big("asset"), big("t"), r6("score"))
 
 
 @query

@@ -68,7 +68,7 @@ def run_backtest(scores: DataFrame, name: str, threshold: float, failures: Seque
     """Alerts of one score column at one threshold against the failures, from the end of training on."""
     spark = scores.sparkSession
     costs = costs or cost_set()
-    rows, ev = alerts.generate(scores, KEYS, "t", f"score_{name}", threshold, params.smoothing, params.persistence)
+    rows, ev = alerts.generate(scores, KEYS, "t", f"score_{name}", threshold, params.smoothing, params.persistence, chunk=T.COMPRESSOR.chunk)
     ev = ev.filter(F.col("end") >= params.train[1])
     windows = backtest.failure_windows(spark, failures, params.anticipation, params.grace)
     details = backtest.failure_details(ev, windows)

@@ -33,6 +33,7 @@ HRS = f"""{SIG}, hrs AS (
   SELECT asset, us // 3600000000 AS t, count(*)::DOUBLE AS n, sum(a1) AS a1_sum, sum(a2) AS a2_sum, max(a2) AS a2_max, min(a1) AS a1_min, max(a1) AS a1_max, sum(loaded)::DOUBLE AS loaded_sum, sum(load_start)::DOUBLE AS load_starts,
     max(run_elapsed) AS run_elapsed_max, sum(idle_dp) AS idle_dp_sum, sum(idle_dt) AS idle_dt_sum, sum(a2 * loaded) AS current_loaded_sum, sum((a1 - a2) * loaded) AS dp_loaded_sum, sum(lps)::DOUBLE AS LPS_sum,
     greatest(max(a1) - min(a1), max(a2) - min(a2)) AS analog_range_max FROM sig GROUP BY 1, 2)"""
+COARSE = RAW.replace("raw AS", "fine AS", 1) + f", raw AS (SELECT * REPLACE (floor(a1 / {B.COARSE_A1}) AS a1, floor(a2 / {B.COARSE_A2}) AS a2) FROM fine)"
 _W = {"w1": 6, "w2": 24, "w3": 72, "w4": 168}
 _WIN = ", ".join(f"{w} AS (PARTITION BY asset ORDER BY t RANGE BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for w, n in _W.items())
 
@@ -167,6 +168,13 @@ def profile(c: str) -> str:
     return f"SELECT '{c}' AS signal, count(*) - count({c}) AS missing_count, {r6(f'(count(*) - count({c})) * 100.0 / count(*)', 'missing_pct')}, {', '.join(r6(x, chr(34) + n + chr(34)) for n, x in stats.items())} FROM (SELECT {c}::DOUBLE AS {c} FROM raw)"
 
 
+def runs_of(flag: str, least: int = 2) -> str:
+    """Runs of hours with a flag, ended by an empty hour, as a query on hrs."""
+    return f"""a AS (SELECT asset, t, {flag} AS f, coalesce(lag({flag}) OVER w AND t - lag(t) OVER w <= 1, false) AS on_ FROM hrs WINDOW w AS (PARTITION BY asset ORDER BY t)),
+      b AS (SELECT *, sum(CASE WHEN f AND NOT on_ THEN 1 ELSE 0 END) OVER (PARTITION BY asset ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM a)
+      SELECT asset, min(t) AS "start", max(t) AS "end", count(*) AS buckets FROM b WHERE f GROUP BY asset, run HAVING count(*) >= {least}"""
+
+
 ORACLES: dict[str, str] = {
     "row_signals": f"WITH {SIG} SELECT tie, asset, loaded::BIGINT AS loaded, load_start::BIGINT AS load_start, {r6('run_elapsed')}, {r6('idle_dp')}, {r6('idle_dt')} FROM sig",
     "run_elapsed": f"WITH {SIG} SELECT asset, {r6('max(run_elapsed)', 'longest_run')}, {r6('avg(run_elapsed)', 'mean_run')} FROM sig WHERE loaded = 1 GROUP BY asset",
@@ -179,9 +187,9 @@ ORACLES: dict[str, str] = {
     "predicate_share": f"WITH {RAW} SELECT asset, {r6('avg(CASE WHEN a2 > 50 THEN 1.0 ELSE 0.0 END)', 'share_over_50')} FROM raw GROUP BY 1",
     "interval_value_counts": f"WITH {RAW} SELECT a2::BIGINT AS k, count(*) AS n FROM raw GROUP BY 1 ORDER BY n DESC, k LIMIT 10",
     "hour_buckets": f"WITH {HRS} SELECT asset, t, {', '.join(r6(c) for c in ('n', 'a1_sum', 'a2_sum', 'a2_max', 'a1_min', 'a1_max', 'loaded_sum', 'load_starts', 'run_elapsed_max', 'idle_dp_sum', 'idle_dt_sum', 'current_loaded_sum', 'dp_loaded_sum', 'LPS_sum', 'analog_range_max'))} FROM hrs",
-    "frozen_periods": f"""WITH {HRS}, a AS (SELECT asset, t, n < 3 AS f, coalesce(lag(n < 3) OVER w AND t - lag(t) OVER w <= 1, false) AS on_ FROM hrs WINDOW w AS (PARTITION BY asset ORDER BY t)),
-      b AS (SELECT *, sum(CASE WHEN f AND NOT on_ THEN 1 ELSE 0 END) OVER (PARTITION BY asset ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM a)
-      SELECT asset, min(t) AS "start", max(t) AS "end", count(*) AS buckets FROM b WHERE f GROUP BY asset, run HAVING count(*) >= 2""",
+    "frozen_periods": f"WITH {HRS.replace(RAW, COARSE)}, {runs_of('n >= 3 AND analog_range_max = 0')}",
+    "sparse_periods": f"WITH {HRS}, {runs_of('n < 3')}",
+    "run_lookback": f"WITH {SIG} SELECT tie, asset, load_start::BIGINT AS load_start, {r6('run_elapsed')} FROM sig WHERE us >= {T0 + 400} * 3600000000 AND us < {T0 + 448} * 3600000000",
     "resample_means": f"""WITH {RAW}, b AS (SELECT asset, (us // 3600000000) // 12 AS bin, avg(a1) AS a1, avg(a2) AS a2 FROM raw GROUP BY 1, 2), g AS (SELECT asset, unnest(range(min(bin), max(bin) + 1)) AS bin FROM b GROUP BY asset)
       SELECT g.asset, g.bin, {r6('a1')}, {r6('a2')} FROM g LEFT JOIN b USING (asset, bin)""",
     "densify": f"WITH {HRS} SELECT asset, (max(t) - min(t) + 1)::BIGINT AS hours, count(*) AS filled FROM hrs GROUP BY asset",

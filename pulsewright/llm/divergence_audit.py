@@ -41,7 +41,7 @@ LEAST_DOCS = 10
 TOP = 10
 UNIT = 10**9
 #: Counts (of a term in a source) of a block of terms; a task's memory is some 100 bytes for each.
-BLOCK = 500_000
+BLOCK = 50_000
 #: Counts that a task holds before it hands them on.
 HELD = 1_200_000
 

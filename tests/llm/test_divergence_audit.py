@@ -56,7 +56,7 @@ def awkward():
     return rows
 
 
-@pytest.mark.parametrize(("least", "block"), [(10, 500_000), (1, 7), (10**6, 10)])
+@pytest.mark.parametrize(("least", "block"), [(10, 50_000), (1, 7), (10**6, 10)])
 def test_audit_equals_plain_arithmetic(spark, least, block):
     rows = awkward()
     got = D.audit(spark.createDataFrame(rows, SCHEMA).repartition(3), least, 10, block)

@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsewright.cluster import materialise
 from pulsewright.operators.chunked import numbered
+from pulsewright.operators.intervals import max_in
+from pulsewright.operators.order_stats import HELD, average_ranks, quantiles
 from pulsewright.operators.windows import islands, ordered
 
 
@@ -18,13 +21,13 @@ def sampling_gaps(df: DataFrame, keys: Sequence[str], us: str, threshold_s: floa
     return out.withColumn("gap_seconds", sec).filter(F.col("gap_seconds") > threshold_s).withColumn("gap_hours", F.col("gap_seconds") / 3600)
 
 
-def profile(df: DataFrame, signals: Sequence[str]) -> DataFrame:
-    """Missing values, extremes, exact quantiles, mean and sample deviation of each signal: one pass over the unpivoted columns."""
+def profile(df: DataFrame, signals: Sequence[str], held: int = HELD) -> DataFrame:
+    """Missing values, extremes, exact quantiles, mean and sample deviation of each signal, over the unpivoted columns."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("v")) for s in signals])).alias("x")).select("x.*")
     n = F.count(F.lit(1))
-    q = F.percentile("v", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
-    out = long.groupBy("signal").agg((n - F.count("v")).alias("missing_count"), ((n - F.count("v")) / n * 100).alias("missing_pct"), F.min("v").alias("min"), q.alias("q"), F.avg("v").alias("mean"), F.max("v").alias("max"), F.stddev_samp("v").alias("std"))
-    return out.select("signal", "missing_count", "missing_pct", "min", F.col("q")[0].alias("p01"), F.col("q")[1].alias("median"), "mean", F.col("q")[2].alias("p99"), "max", "std")
+    plain = long.groupBy("signal").agg((n - F.count("v")).alias("missing_count"), ((n - F.count("v")) / n * 100).alias("missing_pct"), F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max"), F.stddev_samp("v").alias("std"))
+    q = quantiles(long, ["signal"], "v", {"p01": 0.01, "median": 0.5, "p99": 0.99}, held)
+    return plain.join(q, "signal", "left").select("signal", "missing_count", "missing_pct", "min", "p01", "median", "mean", "p99", "max", "std")
 
 
 def frozen_periods(bucketed: DataFrame, frozen, keys: Sequence[str], t: str = "t", least: int = 10, chunk: int | None = None) -> DataFrame:
@@ -54,17 +57,18 @@ def resample_mean(df: DataFrame, keys: Sequence[str], t: str, cols: Sequence[str
     return densify(binned, keys, "bin")
 
 
-def spearman(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Rank correlation of every pair of columns per key, over rows complete in both."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    ranked, rows = df, []
-    for k, (a, b) in enumerate(pairs):  # one scan: rows that lack a value are a partition of their own
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        for c in (a, b):
-            rank = F.rank().over(Window.partitionBy(*keys, both).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, both, c)) - 1) / 2.0
-            ranked = ranked.withColumn(f"_{k}_{c}", F.when(both, rank))
-        rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(f"_{k}_{a}", f"_{k}_{b}").alias("rho")))
-    return ranked.groupBy(*keys).agg(F.array(*rows).alias("_r")).select(*keys, F.inline("_r"))
+def spearman(df: DataFrame, keys: Sequence[str], cols: Sequence[str], held: int = HELD) -> DataFrame:
+    """Rank correlation of every pair of columns per key, over rows complete in both.
+
+    All pairs are one table (keys, pair, x, y); equal rows of it are one with their number, and
+    x and y get their ranks by value (`ranked`), so no window holds a whole series.
+    """
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    by = [*keys, "a", "b"]
+    rows = df.select(*keys, F.explode(F.array(*pairs)).alias("_p")).select(*keys, "_p.*").filter("x is not null and y is not null")
+    for c in ("x", "y"):
+        rows = average_ranks(rows, by, c, f"_{c}", held)
+    return rows.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"))
 
 
 def group_means(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -94,10 +98,5 @@ def decimate(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: int
 
 
 def interval_max(events: DataFrame, rows: DataFrame, keys: Sequence[str], t: str, x: str) -> DataFrame:
-    """Largest x of the rows within each event [start, end] of the same keys."""
-    r = rows.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(t).alias("_t"), F.col(x).alias("_x"))
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    cond = (F.col("_t") >= F.col("start")) & (F.col("_t") <= F.col("end"))
-    for s in same:
-        cond = cond & s
-    return events.join(r, cond, "left").groupBy(*events.columns).agg(F.max("_x").alias(f"max_{x}"))
+    """Largest x of the rows within each event [start, end] of the same keys. The events are written: they are read three times."""
+    return max_in(materialise(events, "events"), rows, keys, t, x, f"max_{x}")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pulsewright.cluster import ship
 from pulsewright.operators.alerts import smooth
+from pulsewright.operators.order_stats import medians, quantiles
 
 #: Rows of the healthy slice that trees and networks are grown on at most, chosen by a hash of the row's key.
 #: Medians, moments and thresholds are always those of all rows.
@@ -81,8 +82,8 @@ def training_frame(healthy: DataFrame, features: Sequence[str], keys: Sequence[s
 def moments(healthy: DataFrame, features: Sequence[str]) -> tuple[list[float], list[float], list[float]]:
     """Medians, and means and deviations once they stand for nulls, over all rows; 0 for no median, 1 for a vanishing deviation."""
     rows = healthy.select(*[F.col(f).cast("double").alias(f) for f in features])
-    row = rows.agg(*[F.median(f).alias(f"m_{f}") for f in features]).first()
-    fill = [row[f"m_{f}"] if row[f"m_{f}"] is not None else 0.0 for f in features]
+    found = medians(rows, features)
+    fill = [found[f] if found[f] is not None else 0.0 for f in features]
     filled = rows.fillna(dict(zip(features, fill, strict=True)))
     row = filled.agg(*[F.avg(f).alias(f"a_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
     return fill, [row[f"a_{f}"] or 0.0 for f in features], [row[f"s_{f}"] or 1.0 for f in features]
@@ -119,7 +120,7 @@ class IsolationForest:
     def fit(self, healthy: DataFrame, keys: Sequence[str] = ("asset", "t")) -> IsolationForest:
         self.fill, self.mean, self.scale = moments(healthy, self.features)
         self.grow(training_frame(healthy, self.features, keys))
-        scored = self.score(healthy, "_score").agg(F.percentile("_score", F.lit(1 - self.contamination)).alias("q")).first()
+        scored = quantiles(self.score(healthy, "_score"), [], "_score", {"q": 1 - self.contamination}).first()
         self.threshold = float("nan") if scored.q is None else float(scored.q)
         return self
 
@@ -187,4 +188,4 @@ def calibrate(healthy_scored: DataFrame, keys: Sequence[str], t: str, score: str
     `smooth_first`, already sliced, to smooth before slicing instead.
     """
     rows = smooth_first if smooth_first is not None else smooth(healthy_scored, keys, t, score, window)
-    return rows.agg(F.percentile("smoothed_score", F.lit(q)).alias("threshold"))
+    return quantiles(rows, [], "smoothed_score", {"threshold": q})

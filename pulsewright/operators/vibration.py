@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pulsewright.cluster import ship
 from pulsewright.functions.exprs import array_median, clip, first_argmax, let
+from pulsewright.operators.order_stats import median_of_others
 from pulsewright.operators.windows import ordered, trailing_median, trailing_rows
 
 FAULTS = ("bpfo", "bpfi", "bsf", "ftf")
@@ -163,9 +164,8 @@ def health_indicator(bt: DataFrame, features: Sequence[str], level: str = "rms",
     cols = list(dict.fromkeys([*features, *z_only]))
     base = (F.col("hours") >= skip_hours) & (F.col("hours") <= skip_hours + baseline_hours)
     stats = [x for c in cols for x in (F.avg(f"{prefix}{c}").alias(f"_mu_{c}"), F.stddev_samp(f"{prefix}{c}").alias(f"_sd_{c}"))]
-    # one row a bearing, so it is small beside the snapshots
     own = bt.filter(base).groupBy(*keys).agg(*stats, F.median(level).alias("_level"))
-    out = bt.join(F.broadcast(own), list(keys), "left")
+    out = bt.join(own, list(keys), "left")
     z = {f"z_{c}": (F.col(f"{prefix}{c}") - F.col(f"_mu_{c}")) / F.when(F.col(f"_sd_{c}") > 1e-9, F.col(f"_sd_{c}")).otherwise(1.0) for c in cols}
     out = out.withColumns(z | {"_own": F.col(level) / F.col("_level")}).select(*bt.columns, *z, "_own")
     z = [clip(f"z_{c}", 0.0) for c in features]
@@ -230,19 +230,14 @@ def exponential_fit(df: DataFrame, keys: Sequence[str], hours: Column, level: st
 def remaining_life(hi: DataFrame, onsets: DataFrame, known: DataFrame, fractions: Sequence[float] = (0.5, 0.75, 0.9), min_points: int = 12, max_rul: float = 2000.0, tail: int = 6, level: str = "rms_ratio", keys: Sequence[str] = ("test", "bearing")) -> DataFrame:
     """Leave-one-bearing-out remaining life of each failed bearing at fractions of the way from onset to failure.
 
-    The level at failure is the median of the other failed bearings' last levels.
-    The failed bearings are a small table, so their self join is broadcast.
+    The level at failure is the median of the other failed bearings' last levels, by
+    ranks instead of pairs. known is a configuration table, so it is broadcast.
     """
     keys = list(keys)
     g = hi.join(F.broadcast(known.select(*keys)), keys)
     last = g.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("hours")))).filter(F.col("_r") <= tail)
     eol = last.groupBy(*keys).agg(F.median(level).alias("own_eol"), F.max("hours").alias("eol"))
-    other = eol.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("own_eol").alias("_o"))
-    differs = None
-    for k in keys:
-        d = F.col(k) != F.col(f"_{k}")
-        differs = d if differs is None else differs | d
-    fail = eol.join(F.broadcast(other), differs, "left").groupBy(*keys, "own_eol", "eol").agg(F.median("_o").alias("hi_fail"))
+    fail = median_of_others(eol, [], "own_eol", "hi_fail")
     at = fail.join(onsets.select(*keys, "onset_hours"), keys, "left").withColumn("eval_fraction", F.explode(F.array(*[F.lit(f) for f in fractions])))
     at = at.withColumn("t_eval", F.col("onset_hours") + F.col("eval_fraction") * (F.col("eol") - F.col("onset_hours")))
     pts = g.join(at.select(*keys, "eval_fraction", "onset_hours", "t_eval"), keys).filter("hours >= onset_hours and hours <= t_eval")
@@ -258,12 +253,7 @@ def naive_life(summary: DataFrame, keys: Sequence[str] = ("test", "bearing"), fr
     """The baseline: the median time from onset to failure of the other failed bearings, less the time since onset."""
     keys = list(keys)
     f = summary.filter("known_failure <> 'none' and onset_hours is not null").select(*keys, "onset_hours", (F.col("life_hours") - F.col("onset_hours")).alias("post"))
-    o = f.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("post").alias("_post"))
-    differs = None
-    for k in keys:
-        d = F.col(k) != F.col(f"_{k}")
-        differs = d if differs is None else differs | d
-    rows = f.join(F.broadcast(o), differs).groupBy(*keys, "onset_hours", "post").agg(F.median("_post").alias("other"))
+    rows = median_of_others(f, [], "post", "other").filter("other is not null")
     rows = rows.withColumn("eval_fraction", F.explode(F.array(*[F.lit(x) for x in fractions])))
     actual = F.col("post") * (1 - F.col("eval_fraction"))
     pred = F.greatest(F.col("other") - F.col("eval_fraction") * F.col("post"), F.lit(0.0))
@@ -283,7 +273,12 @@ def band_peak(spectrum: DataFrame, keys: Sequence[str], rate: float, n: int, low
 
 
 def likelier_rate(spectrum: DataFrame, keys: Sequence[str], n: int, rates: Sequence[float], expected: float, tolerance: float = 0.05) -> DataFrame:
-    """Which of several sampling rates puts the peak near an expected frequency closest to it: peak_hz under each rate, and the rate."""
-    near = [band_peak(spectrum, keys, r, n, expected * (1 - tolerance), expected * (1 + tolerance)).select(*keys, F.lit(float(r)).alias("rate"), "peak_hz") for r in rates]
-    every = reduce(DataFrame.unionByName, near)
-    return every.groupBy(*keys).agg(F.min_by(F.struct("rate", "peak_hz"), F.struct(F.abs(F.col("peak_hz") - expected).alias("d"), "rate")).alias("b")).select(*keys, "b.*")
+    """Which of several sampling rates puts the peak near an expected frequency closest to it: peak_hz under each rate, and the rate.
+
+    Each bin meets the few rates once: one pass over the spectra, however many rates.
+    """
+    rows = spectrum.withColumn("rate", F.explode(F.array(*[F.lit(float(r)) for r in rates]))).withColumn("hz", F.col("pos") * F.col("rate") / n)
+    near = rows.filter(F.col("hz").between(expected * (1 - tolerance), expected * (1 + tolerance)))
+    peak = near.groupBy(*keys, "rate").agg(F.max_by("hz", F.struct("power", (-F.col("pos")).alias("p"))).alias("peak_hz"))
+    best = F.min_by(F.struct("rate", "peak_hz"), F.struct(F.abs(F.col("peak_hz") - expected).alias("d"), "rate"))
+    return peak.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")

@@ -28,6 +28,8 @@ ANTICIPATION, GRACE = 72, 24
 MAX_GAP, SMOOTHING, PERSISTENCE = 24, 12, 4
 #: Steps of the coarse channels.
 COARSE_A1, COARSE_A2 = 150.0, 60.0
+#: Different values that are numbered by one window; more are dealt into ranges.
+HELD = 200
 #: Hours of one task of a series of minutes or scores.
 CHUNK = 120
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsewright.cluster import materialise
 from pulsewright.functions.exprs import first_argmax, safe_ratio, shift_label
-from pulsewright.operators import alerts, audit, backtest, economics
+from pulsewright.operators import alerts, audit, backtest, economics, intervals, order_stats
 from pulsewright.operators import telemetry as T
 from pulsewright.operators import vibration as V
 from pulsewright.operators import windows as W
@@ -72,7 +73,7 @@ def interval_histogram(spark, d):
 
 @query
 def range_profile(spark, d):
-    p = audit.profile(B.telemetry(spark, d), ["a1", "a2", "comp", "lps"])
+    p = audit.profile(B.telemetry(spark, d), ["a1", "a2", "comp", "lps"], B.HELD)
     return p.select("signal", big("missing_count"), *[r6(c) for c in ("missing_pct", "min", "p01", "median", "mean", "p99", "max", "std")])
 
 
@@ -219,6 +220,15 @@ def failure_labels(spark, d):
     return s.groupBy("asset", "failure_id", "is_failure").agg(F.count(F.lit(1)).alias("n")).select(big("asset"), "failure_id", "is_failure", big("n"))
 
 
+@query
+def failure_labels_by_bins(spark, d):
+    """The labels from a table of failures by asset, as many as there may be: by an interval join."""
+    rows = [(a, i, f[0], f[1] + 6 * a, f[2] + 6 * a) for a in range(8) for i, f in enumerate(B.FAILURES)] + [(1, 9, "F9", B.T0 + 262, B.T0 + 300)]
+    f = spark.createDataFrame(rows, "asset long, ord int, failure_id string, start long, end long")
+    s = intervals.label_points(B.scores(spark, d).select("asset", "t"), f, ["asset"], "t", "failure_id", "ord", ["asset", "t"])
+    return s.groupBy("asset", F.coalesce("failure_id", F.lit("healthy")).alias("failure_id")).agg(F.count(F.lit(1)).alias("n")).select(big("asset"), "failure_id", big("n"))
+
+
 @query
 def training_slice(spark, d):
     s = B.scores(spark, d).filter(T.training_slice("t", B.TRAIN[0], B.TRAIN[1], B.EXCLUDE))
@@ -258,8 +268,8 @@ def rolling_median_rows(spark, d):
 @query
 def quantile_thresholds(spark, d):
     s = alerts.smooth(B.scores(spark, d).filter(T.training_slice("t", *B.TRAIN, B.EXCLUDE)), ["asset"], "t", "score", B.SMOOTHING)
-    q = s.groupBy("asset").agg(F.percentile("smoothed_score", F.array(*[F.lit(x) for x in (0.5, 0.9, 0.97, 0.995)])).alias("q"))
-    return q.select(big("asset"), *[r6(F.col("q")[i], n) for i, n in enumerate(("q50", "q90", "q97", "q995"))])
+    q = order_stats.quantiles(s, ["asset"], "smoothed_score", {"q50": 0.5, "q90": 0.9, "q97": 0.97, "q995": 0.995}, B.HELD)
+    return q.select(big("asset"), *[r6(n) for n in ("q50", "q90", "q97", "q995")])
 
 
 _LIMIT = 50.0
@@ -429,7 +439,7 @@ def alert_triage(spark, d):
 def score_normalised(spark, d):
     """0 at the healthy median, 1 at the threshold."""
     s = B.scores(spark, d)
-    m = s.filter(T.training_slice("t", *B.TRAIN, B.EXCLUDE)).agg(F.median("score").alias("m"))
+    m = order_stats.quantiles(s.filter(T.training_slice("t", *B.TRAIN, B.EXCLUDE)), [], "score", {"m": 0.5}, B.HELD)
     return s.join(F.broadcast(m)).select(big("asset"), big("t"), r6((F.col("score") - F.col("m")) / (60.0 - F.col("m")), "normalised"))
 
 
@@ -441,7 +451,20 @@ def decimated(spark, d):
 @query
 def spearman(spark, d):
     f = B.hours(spark, d).select("asset", (F.col("a1_sum") / F.col("n")).alias("x"), (F.col("a2_sum") / F.col("n")).alias("y"), F.col("loaded_sum").alias("z"))
-    return audit.spearman(f, ["asset"], ["x", "y", "z"]).select(big("asset"), "a", "b", r6("rho"))
+    return audit.spearman(f, ["asset"], ["x", "y", "z"], B.HELD).select(big("asset"), "a", "b", r6("rho"))
+
+
+@query
+def event_overlaps(spark, d):
+    """Pairs of alert events of an asset at a low and a high limit that have an hour in common; and the low ones without any."""
+    limits = spark.createDataFrame([(48.0,), (52.0,)], "threshold double")
+    ev = materialise(backtest.events_by_threshold(_smoothed(spark, d), limits, ["asset"], "t", 2, B.MAX_GAP, B.CHUNK), "events")
+    low = ev.filter("threshold = 48").select("asset", F.col("start").alias("low_start"), F.col("end").alias("low_end"))
+    high = ev.filter("threshold = 52").select("asset", F.col("start").alias("high_start"), F.col("end").alias("high_end"))
+    ends = ("low_start", "low_end"), ("high_start", "high_end")
+    both = intervals.overlaps(low, high, ["asset"], *ends)
+    alone = intervals.with_overlap(low, high, ["asset"], *ends, ["asset", "low_start"], without=True).withColumns({c: F.lit(None).cast("long") for c in ends[1]})
+    return both.unionByName(alone).select(big("asset"), *[big(c) for e in ends for c in e])
 
 
 # --- vibration ----------------------------------------------------------------------

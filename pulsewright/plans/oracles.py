@@ -206,6 +206,11 @@ ORACLES: dict[str, str] = {
     "shift_assign": f"WITH {SC} SELECT asset, t, hour, shift FROM sc",
     "calendar_parts": f"WITH {SC}, c AS (SELECT *, make_timestamp(t * 3600000000) AS ts FROM sc) SELECT dayname(ts) AS day_of_week, isodow(ts) >= 6 AS is_weekend, count(*) AS n, {r6('avg(score)', 'mean_score')} FROM c GROUP BY 1, 2",
     "failure_labels": f"""WITH {SC}, l AS (SELECT asset, {"CASE " + " ".join(f"WHEN t BETWEEN {f[1]} AND {f[2]} THEN '{f[0]}'" for f in reversed(B.FAILURES)) + " ELSE 'healthy' END"} AS failure_id FROM sc) SELECT asset, failure_id, failure_id <> 'healthy' AS is_failure, count(*) AS n FROM l GROUP BY 1, 2""",
+    "failure_labels_by_bins": f"""WITH {SC}, fl AS (SELECT a AS asset, ord, failure_id, f_start + 6 * a AS lo, f_end + 6 * a AS hi FROM {failure_rows()}, range(8) AS r(a) UNION ALL SELECT 1, 9, 'F9', {T0 + 262}, {T0 + 300}),
+      l AS (SELECT sc.asset, t, coalesce(arg_max(failure_id, ord), 'healthy') AS failure_id FROM sc LEFT JOIN fl ON fl.asset = sc.asset AND t BETWEEN lo AND hi GROUP BY 1, 2) SELECT asset, failure_id, count(*) AS n FROM l GROUP BY 1, 2""",
+    "event_overlaps": f"""WITH lo AS (SELECT asset, "start" AS low_start, "end" AS low_end FROM (WITH {SC}, sm AS ({smoothed()}), {flags("sm", "48.0", "2")} SELECT * FROM ev)),
+      hi AS (SELECT asset, "start" AS high_start, "end" AS high_end FROM (WITH {SC}, sm AS ({smoothed()}), {flags("sm", "52.0", "2")} SELECT * FROM ev))
+      SELECT lo.asset, low_start, low_end, high_start, high_end FROM lo LEFT JOIN hi ON lo.asset = hi.asset AND low_start <= high_end AND low_end >= high_start""",
     "training_slice": f"WITH {SC} SELECT asset, count(*) AS n, {r6('avg(score)', 'mean_score')} FROM sc WHERE {TRAIN} GROUP BY 1",
     "control_limit_scores": f"""WITH {FEATS}, b AS (SELECT {', '.join(f"avg({x}) AS mu{i}, CASE WHEN stddev_samp({x}) < 1e-6 THEN 1e-3 ELSE stddev_samp({x}) END AS sd{i}" for i, x in enumerate(('duty_cycle_w2', 'cur_mean_w2', 'tmp_std_w2')))} FROM feats WHERE {TRAIN}),
       s AS (SELECT asset, t, round(1e-9 + greatest({', '.join(f"abs((coalesce({x}, mu{i}) - mu{i}) / sd{i})" for i, x in enumerate(('duty_cycle_w2', 'cur_mean_w2', 'tmp_std_w2')))}), 6) AS score FROM feats, b) SELECT *, score > 3 AS above FROM s""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pulsewright.cluster import materialise
 from pulsewright.operators.chunked import numbered
 from pulsewright.operators.intervals import max_in
-from pulsewright.operators.order_stats import HELD, average_ranks, quantiles
+from pulsewright.operators.order_stats import HELD, average_rank, quantiles, ranked
 from pulsewright.operators.windows import islands, ordered
 
 
@@ -60,14 +61,19 @@ def resample_mean(df: DataFrame, keys: Sequence[str], t: str, cols: Sequence[str
 def spearman(df: DataFrame, keys: Sequence[str], cols: Sequence[str], held: int = HELD) -> DataFrame:
     """Rank correlation of every pair of columns per key, over rows complete in both.
 
-    All pairs are one table (keys, pair, x, y); equal rows of it are one with their number, and
-    x and y get their ranks by value (`ranked`), so no window holds a whole series.
+    All pairs are one written table (keys, pair, x, y), and the values of both sides get their ranks
+    together (`ranked`), so no window holds a whole series.
     """
     pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     by = [*keys, "a", "b"]
     rows = df.select(*keys, F.explode(F.array(*pairs)).alias("_p")).select(*keys, "_p.*").filter("x is not null and y is not null")
+    rows = materialise(rows, "pairs")
+    sides = F.array(*[F.struct(F.lit(c).alias("_side"), F.col(c).alias("_value")) for c in ("x", "y")])
+    ranks = ranked(rows.select(*by, F.explode(sides).alias("_s")).select(*by, "_s.*"), [*by, "_side"], "_value", held)
     for c in ("x", "y"):
-        rows = average_ranks(rows, by, c, f"_{c}", held)
+        own = ranks.filter(F.col("_side") == c).select(*[F.col(k).alias(f"_r_{k}") for k in by], F.col("v").alias("_v"), average_rank().alias(f"_{c}"))
+        same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in by]
+        rows = rows.join(own, reduce(lambda p, q: p & q, [*same, F.col(c) == F.col("_v")])).drop("_v", *[f"_r_{k}" for k in by])
     return rows.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"))
 
 

@@ -7,7 +7,8 @@ gaps. Rows before the first full window take the first score of their series.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import copy
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,9 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsewright.cluster import ship
-from pulsewright.operators.detectors import MAX_TRAIN_ROWS, moments
-from pulsewright.operators.windows import ordered, sequences
+from pulsewright.cluster import discard, materialise, ship
+from pulsewright.operators.chunked import chunk_of, numbered
+from pulsewright.operators.detectors import moments
+from pulsewright.operators.order_stats import quantiles
+from pulsewright.operators.windows import in_chunks, ordered, sequences
+
+#: Windows that a task shuffles among each other.
+POOL = 8192
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -76,6 +82,8 @@ class LstmAutoencoder:
     rate: float = 0.002
     seed: int = 42
     contamination: float = 0.01
+    workers: int = 8  # groups of windows that train at the same time
+    chunk: int = 1440  # units of time, or rows, of one task
     threshold: float = 0.0
     fill: list[float] = field(default_factory=list)
     mean: list[float] = field(default_factory=list)
@@ -124,28 +132,33 @@ class LstmAutoencoder:
     def _weights(self, k: str) -> np.ndarray:
         return self.parts[k].w if isinstance(self.parts[k], Lstm) else self.parts[k]
 
-    def fit_arrays(self, x: np.ndarray) -> LstmAutoencoder:
-        """x: windows x seq_len x features, already scaled."""
-        rng = np.random.default_rng(self.seed)
-        self._build(rng)
-        m = {k: (np.zeros_like(self._weights(k)), np.zeros_like(self._weights(k))) for k in self.parts}
-        step = 0
-        for _ in range(self.epochs):
-            total = 0.0
-            for rows in np.array_split(rng.permutation(len(x)), max(1, -(-len(x) // self.batch))):
-                loss, g = self._gradients(x[rows])
-                total += loss * len(rows)
-                step += 1
-                for k, d in g.items():
-                    a, b = m[k]
-                    a += 0.1 * (d - a)
-                    b += 0.001 * (d**2 - b)
-                    w = self._weights(k)
-                    w -= self.rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-            self.losses.append(total / len(x))
-        errors = self.errors(x)
-        self.threshold = float(np.quantile(errors, 1 - self.contamination))
-        return self
+    def _start(self) -> None:
+        self._build(np.random.default_rng(self.seed))
+        self._step = 0
+        self._moments = {k: (np.zeros_like(self._weights(k)), np.zeros_like(self._weights(k))) for k in self.parts}
+
+    def _learn(self, x: np.ndarray) -> float:
+        """One step of Adam on a batch of scaled windows; returns its loss before."""
+        loss, g = self._gradients(x)
+        self._step += 1
+        for k, d in g.items():
+            a, b = self._moments[k]
+            a += 0.1 * (d - a)
+            b += 0.001 * (d**2 - b)
+            w = self._weights(k)
+            w -= self.rate * (a / (1 - 0.9**self._step)) / (np.sqrt(b / (1 - 0.999**self._step)) + 1e-8)
+        return loss
+
+    def _flat(self) -> np.ndarray:
+        """All weights and both moments of each, as one row."""
+        return np.concatenate([x.ravel() for k in self.parts for x in (self._weights(k), *self._moments[k])])
+
+    def _set(self, flat: np.ndarray) -> None:
+        at = 0
+        for k in self.parts:
+            for x in (self._weights(k), *self._moments[k]):
+                x[...] = flat[at : at + x.size].reshape(x.shape)
+                at += x.size
 
     def errors(self, x: np.ndarray) -> np.ndarray:
         out = [((self._forward(part)[0] - part) ** 2).mean((1, 2)) for part in np.array_split(x, max(1, -(-len(x) // 4096)))]
@@ -155,24 +168,81 @@ class LstmAutoencoder:
         return (np.where(np.isnan(x), self.fill, x) - self.mean) / self.scale
 
     def fit(self, healthy: DataFrame, keys: Sequence[str] = ("asset",), t: str = "t") -> LstmAutoencoder:
-        """Train on the gap-free windows of the healthy slice: at most MAX_TRAIN_ROWS / seq_len of them, chosen by a hash; the threshold is of all."""
+        """Train on all gap-free windows of the healthy slice; the threshold is an exact quantile of their errors.
+
+        The slice is dealt to `workers` groups by a hash of series and day. In a round each group, in a task of
+        its own, goes on from the weights of the round before through its windows, batch by batch from
+        a shuffled pool; the driver gets one row of weights a group and averages them by their numbers of
+        windows. A task holds a pool of windows, whatever the group's size.
+        """
+        keys = list(keys)
         rows = healthy.select(*keys, t, *[F.col(f).cast("double").alias(f) for f in self.features])
         self.fill, self.mean, self.scale = moments(rows, self.features)
-        filled = rows.fillna(dict(zip(self.features, self.fill, strict=True)))
-        seq = sequences(filled, list(keys), t, list(self.features), self.seq_len).filter("contiguous")
-        most = MAX_TRAIN_ROWS // self.seq_len
-        n = seq.count()
-        own = seq
-        if n > most:
-            own = seq.filter(F.pmod(F.xxhash64(*keys, t), F.lit(1 << 20)) < int((1 << 20) * most / n))
-        sample = own.orderBy(*keys, t).select("sequence").collect()
-        x = np.array([[[r[f] for f in self.features] for r in row["sequence"]] for row in sample], float).reshape(-1, self.seq_len, len(self.features))
-        self.fit_arrays(self.scaled(x))
-        if n > most:
-            windows = F.transform("sequence", lambda r: F.struct(*[r[f].alias(f) for f in self.features]))
-            self.threshold = float(seq.select(self._errors_of(seq.sparkSession)(windows).alias("e")).agg(F.percentile("e", F.lit(1 - self.contamination))).first()[0])
+        table = in_chunks(rows, t, self.chunk, self.seq_len - 1)
+        table = materialise(table.withColumn("_group", F.pmod(F.xxhash64(*keys, "_chunk"), F.lit(self.workers)).cast("int")), "windows")
+        self._start()
+        for epoch in range(self.epochs):
+            self._round(table, keys, t, epoch)
+        windows = sequences(rows, keys, t, list(self.features), self.seq_len).filter("contiguous")
+        steps = F.transform("sequence", lambda r: F.struct(*[r[f].alias(f) for f in self.features]))
+        q = quantiles(windows.select(self._errors_of(rows.sparkSession)(steps).alias("e")), [], "e", {"q": 1 - self.contamination}).first().q
+        self.threshold = float("nan") if q is None else float(q)
+        discard(table)
         return self
 
+    def _round(self, table: DataFrame, keys: list[str], t: str, epoch: int) -> None:
+        ship(table.sparkSession)
+        shared = table.sparkSession.sparkContext.broadcast(self)
+        n, columns = self.seq_len, list(self.features)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            model = group = rng = None
+            pool: list[np.ndarray] = []
+            seen, loss = 0, 0.0
+
+            def learn(least: int) -> None:
+                nonlocal pool, seen, loss
+                x = np.concatenate(pool) if pool else np.zeros((0, n, len(columns)))
+                x = x[rng.permutation(len(x))]
+                while len(x) > least:
+                    loss += model._learn(x[: model.batch]) * len(x[: model.batch])
+                    seen += len(x[: model.batch])
+                    x = x[model.batch :]
+                pool = [x]
+
+            def done() -> pd.DataFrame:
+                learn(0)
+                return pd.DataFrame({"grp": [group], "n": [seen], "loss": [loss], "flat": [model._flat()], "steps": [model._step]})
+
+            tail: pd.DataFrame | None = None
+            for b in batches:
+                b = b if tail is None else pd.concat([tail, b], ignore_index=True)
+                for g, own in b.groupby("_group", sort=True):
+                    if g != group:
+                        if model is not None:
+                            yield done()
+                        model, group, rng, pool, seen, loss = copy.deepcopy(shared.value), g, np.random.default_rng([shared.value.seed, epoch, int(g)]), [], 0, 0.0
+                    at, time = own.groupby([*keys, "_chunk"], dropna=False, sort=False).ngroup().to_numpy(), own[t].to_numpy()
+                    if len(own) >= n:
+                        first, last = slice(0, len(own) - n + 1), slice(n - 1, None)
+                        whole = (at[first] == at[last]) & (time[last] - time[first] == n - 1) & own["_own"].to_numpy()[last]
+                        x = np.lib.stride_tricks.sliding_window_view(model.scaled(own[columns].to_numpy(float)), n, 0)[whole].transpose(0, 2, 1)
+                        pool.append(x)
+                        if sum(map(len, pool)) >= POOL:
+                            learn(POOL // 2)
+                tail = b[b["_group"] == group].iloc[-(n - 1) :] if n > 1 else None  # of windows that end in the next batch
+            if model is not None:
+                yield done()
+
+        dealt = table.repartition(self.workers, "_group").sortWithinPartitions("_group", *keys, "_chunk", t)
+        rows = dealt.mapInPandas(run, "grp int, n long, loss double, flat array<double>, steps long").collect()
+        total = sum(r.n for r in rows)
+        if total:
+            self._set(sum(np.array(r.flat) * (r.n / total) for r in sorted(rows, key=lambda r: r.grp)))
+            self._step = max(r.steps for r in rows)
+            self.losses.append(sum(r.loss for r in rows) / total)
+        shared.destroy()
+
     def _errors_of(self, spark: SparkSession):
         """A function of windows of rows: the error of each full one."""
         ship(spark)
@@ -192,10 +262,13 @@ class LstmAutoencoder:
         return run
 
     def score(self, df: DataFrame, name: str = "score", keys: Sequence[str] = ("asset",), t: str = "t") -> DataFrame:
-        n = self.seq_len
+        """Windows are rows of any distance, so a series is cut by row numbers, with the rows of one window before each piece."""
+        n, keys = self.seq_len, list(keys)
         run = self._errors_of(df.sparkSession)
-        w = ordered(list(keys), [t])
-        frame = w.rowsBetween(-(n - 1), 0)
-        out = df.withColumn("_seq", F.collect_list(F.struct(*[F.col(f).cast("double").alias(f) for f in self.features])).over(frame))
-        out = out.withColumn(name, F.when(F.size("_seq") == n, run("_seq"))).drop("_seq")
-        return out.withColumn(name, F.coalesce(F.col(name), F.first(name, True).over(w.rowsBetween(0, n - 1))))
+        size = max(self.chunk, n)
+        rows = in_chunks(numbered(df, keys, [t], chunk_of(t, self.chunk), "_i"), "_i", size, n - 1)
+        w = ordered([*keys, "_chunk"], ["_i"])
+        rows = rows.withColumn("_seq", F.collect_list(F.struct(*[F.col(f).cast("double").alias(f) for f in self.features])).over(w.rowsBetween(-(n - 1), 0)))
+        rows = rows.withColumn(name, F.when(F.col("_own") & (F.size("_seq") == n), run("_seq"))).drop("_seq")
+        rows = rows.withColumn(name, F.when(F.col("_i") < n - 1, F.first(name, True).over(w.rowsBetween(0, n - 1))).otherwise(F.col(name)))
+        return rows.filter("_own").drop("_i", "_chunk", "_own")

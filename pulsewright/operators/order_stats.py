@@ -83,9 +83,14 @@ def medians(df: DataFrame, columns: Sequence[str], held: int = HELD) -> dict[str
     return dict.fromkeys(columns) | {r[0]: r[1] for r in quantiles(long, ["_column"], "_value", {"m": 0.5}, held).collect()}
 
 
+def average_rank() -> Column:
+    """Of a row of `ranked`: the mean of the ranks (from 1) of the rows with its value."""
+    return F.col("before") + (F.col("m") + 1) / 2.0
+
+
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, held: int = HELD) -> DataFrame:
     """df's rows with a value and its rank (from 1; equal values share the mean of theirs) in the column `name`."""
-    ranks = ranked(df, keys, value, held).select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("v").alias("_v"), (F.col("before") + (F.col("m") + 1) / 2.0).alias(name))
+    ranks = ranked(df, keys, value, held).select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("v").alias("_v"), average_rank().alias(name))
     same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
     return df.join(ranks, reduce(lambda a, b: a & b, [*same, F.col(value).cast("double") == F.col("_v")])).drop("_v", *[f"_r_{k}" for k in keys])
 

@@ -636,14 +636,14 @@ def envelope_spectrum(spark, d):
 @query
 def iforest_scores(spark, d):
     f = B.features(spark, d).select("asset", "t", "duty_cycle_w1", "cur_mean_w2", "tmp_std_w2", "load_starts_per_hour")
-    m = IsolationForest(("duty_cycle_w1", "cur_mean_w2", "tmp_std_w2", "load_starts_per_hour"), n_trees=50).fit(f.filter(T.training_slice("t", *B.TRAIN, B.EXCLUDE)))
+    m = IsolationForest(("duty_cycle_w1", "cur_mean_w2", "tmp_std_w2", "load_starts_per_hour")).fit(f.filter(T.training_slice("t", *B.TRAIN, B.EXCLUDE)))
     return m.score(f).select("asset", "t", "score", (F.col("score") > m.threshold).alias("above"))
 
 
 @query
 def lstm_scores(spark, d):
     grid = audit.densify(B.hours(spark, d).select("asset", "t", "a1_sum", "n", "loaded_sum"), ["asset"], "t").select("asset", "t", (F.col("a1_sum") / F.col("n")).alias("x"), (F.col("loaded_sum") / F.col("n")).alias("y"))
-    m = LstmAutoencoder(("x", "y"), seq_len=8, hidden=8, latent=4, epochs=2).fit(grid.filter(T.training_slice("t", *B.TRAIN)))
+    m = LstmAutoencoder(("x", "y"), chunk=B.CHUNK).fit(grid.filter(T.training_slice("t", *B.TRAIN)))
     return m.score(grid).select("asset", "t", "score")
 
 

@@ -120,32 +120,71 @@ def test_isolation_forest_ranks(spark, healthy, tmp_path):
     assert {k: tuple(v) for k, v in loaded.items()} == cl.limits
 
 
-def test_forest_takes_the_share_asked_for_and_statistics_of_all_rows(spark, monkeypatch):
+def test_forest_takes_the_share_asked_for_of_all_rows(spark):
     n = 2000
     pdf = pd.DataFrame({"asset": 0, "t": np.arange(n), "a": np.where(np.arange(n) % 3 == 0, 0.0, np.random.default_rng(1).normal(3, 2, n)), "b": 1.0})
     pdf.loc[7, "a"] = None
     df = spark.createDataFrame(pdf)
     m = D.IsolationForest(["a", "b"], n_trees=20).fit(df)
-    assert m.sample == 1600
-    monkeypatch.setattr(D, "MAX_TRAIN_ROWS", 500)
-    kept = D.training_frame(df, ["a", "b"])
-    assert 350 < len(kept) < 650 and 0.2 < (kept.a == 0).mean() < 0.47  # equal rows are neither all kept nor all dropped
-    few = D.IsolationForest(["a", "b"], n_trees=20).fit(df)
-    assert few.sample == int(0.8 * len(kept)) and few.scale[1] == 1.0
+    assert m.sample == 1600 and m.scale[1] == 1.0
     filled = pdf.a.fillna(pdf.a.median())
-    np.testing.assert_allclose([few.fill[0], few.mean[0], few.scale[0]], [pdf.a.median(), filled.mean(), filled.std(ddof=0)])
-    assert abs(few.threshold - np.quantile(few.score(df).toPandas().score, 0.99)) < 1e-12
-
-
-def test_lstm_threshold_is_of_all_windows(spark, monkeypatch):
+    np.testing.assert_allclose([m.fill[0], m.mean[0], m.scale[0]], [pdf.a.median(), filled.mean(), filled.std(ddof=0)])
+    assert abs(m.threshold - np.quantile(m.score(df).toPandas().score, 0.99)) < 1e-12
+    again = D.IsolationForest(["a", "b"], n_trees=20).fit(df.repartition(7))
+    for x, y in zip(m.trees, again.trees, strict=True):
+        assert all((x[k] == y[k]).all() for k in "flr")
+        np.testing.assert_allclose(x["v"], y["v"])
+
+
+def test_nodes_too_large_for_a_task_are_split_over_the_cluster(spark, healthy):
+    """Whole trees against trees whose upper levels come from aggregates: as deep, and each leaf as many rows as it says."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"asset": 0, "t": np.arange(1500), "a": np.where(np.arange(1500) < 700, 2.0, rng.normal(0, 1, 1500)), "b": np.where(np.arange(1500) < 700, 3.0, rng.normal(0, 1, 1500))})
+    df = spark.createDataFrame(pdf)  # 700 rows are equal: more than a task may hold, and no node to split
+    whole, parts = (D.IsolationForest(["a", "b"], n_trees=120).fit(df, held=h) for h in (10**6, 100))
+    x = pdf[["a", "b"]].to_numpy()
+    s, q = whole.score_array(x), parts.score_array(x)
+    assert np.corrcoef(s, q)[0, 1] > 0.97 and abs(s.mean() - q.mean()) < 0.02 and s[0] < s[700:].mean() and q[0] < q[700:].mean()
+    z = (x - parts.mean) / parts.scale
+    for t in parts.trees[:5]:
+        at = np.zeros(len(z), int)
+        for _ in range(60):
+            inner = t["f"][at] >= 0
+            at = np.where(inner, np.where(z[np.arange(len(z)), np.maximum(t["f"][at], 0)] < t["v"][at], t["l"][at], t["r"][at]), at)
+        assert (t["f"][at] < 0).all() and len(set(at[:700].tolist())) == 1
+
+
+def test_lstm_trains_on_all_gap_free_windows(spark, monkeypatch):
+    """Every window is seen once a round, whatever the groups, batches of Arrow and chunks; the threshold is exact."""
     from pulsewright.operators import lstm
 
-    monkeypatch.setattr(lstm, "MAX_TRAIN_ROWS", 200)
-    df = spark.createDataFrame([(0, i, float(np.sin(i / 3)) + (i == 350) * 4) for i in range(400)], "asset int, t long, a double")
-    m = LstmAutoencoder(["a"], seq_len=5, hidden=3, latent=2, epochs=1).fit(df)
-    x = m.scaled(df.orderBy("t").toPandas().a.to_numpy().reshape(-1, 1))
-    errors = m.errors(np.stack([x[i : i + 5] for i in range(396)]))
-    assert abs(m.threshold - np.quantile(errors, 1 - m.contamination)) < 1e-9
+    monkeypatch.setattr(lstm, "POOL", 50)
+    rows = [(a, i, float(np.sin(i / 3)) + (i == 350) * 4) for a in (0, 1) for i in range(400) if not 200 <= i < 203]
+    df = spark.createDataFrame(rows, "asset int, t long, a double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        m = LstmAutoencoder(["a"], seq_len=5, hidden=3, latent=2, epochs=2, batch=16, chunk=30, workers=4).fit(df)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    assert len(m.losses) == 2 and m.losses[1] < m.losses[0]
+    own = df.filter("asset = 0").orderBy("t").toPandas()
+    x = m.scaled(own.a.to_numpy().reshape(-1, 1))
+    at = [i for i in range(len(x) - 4) if own.t[i + 4] - own.t[i] == 4]
+    errors = np.tile(m.errors(np.stack([x[i : i + 5] for i in at])), 2)
+    assert len(errors) == 2 * (196 + 193) and abs(m.threshold - np.quantile(errors, 1 - m.contamination)) < 1e-9
+    learned = []
+    monkeypatch.setattr(lstm.LstmAutoencoder, "_set", lambda self, flat: None)
+    m.losses = learned
+    m._round(spark_table(m, df), ["asset"], "t", 0)
+    s = m.score(df).toPandas().sort_values(["asset", "t"]).reset_index(drop=True)
+    want = np.concatenate([[e := m.errors(np.stack([x[i : i + 5] for i in range(len(x) - 4)]))][0][:1].repeat(4), e])
+    np.testing.assert_allclose(s.score[: len(x)], want)
+
+
+def spark_table(m, df):
+    from pulsewright.operators.windows import in_chunks
+
+    return in_chunks(df, "t", m.chunk, m.seq_len - 1).withColumn("_group", F.pmod(F.xxhash64("asset", "_chunk"), F.lit(m.workers)).cast("int"))
 
 
 def test_thresholds_are_exact_quantiles(spark, healthy):
@@ -168,7 +207,7 @@ def test_lstm_learns_a_sine_and_its_gradients_are_right(spark):
         w[at] += 1e-6
         assert abs((up - down) / 2e-6 - g[k][at]) < 1e-6, k
     df = spark.createDataFrame([(0, i, float(np.sin(i / 3))) for i in range(400)], "asset int, t long, a double")
-    m = LstmAutoencoder(["a"], seq_len=12, hidden=12, latent=6, epochs=30, batch=64, rate=0.01).fit(df)
+    m = LstmAutoencoder(["a"], seq_len=12, hidden=12, latent=6, epochs=30, batch=64, rate=0.01, workers=1).fit(df)
     assert m.losses[-1] < 0.4 * m.losses[0]
     s = m.score(df.withColumn("a", F.when(F.col("t") == 200, 6.0).otherwise(F.col("a")))).toPandas().sort_values("t")
     assert s.score[205] > 5 * s.score[150] and s.score.notna().all()

@@ -118,12 +118,13 @@ class Counts:
 
     def out(self, groups: list[tuple[str, str]], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
         if self.parts:
-            names, counts = list(self.terms), _summed(np.concatenate(self.parts, 1))
+            counts = _summed(np.concatenate(self.parts, 1))
+            lang, source = (pa.array([g[i] for g in groups], pa.string()) for i in (0, 1))
+            terms = pa.array(list(self.terms), pa.binary()).cast(pa.string())
             for s in range(0, counts.shape[1], rows):
                 key, n, docs = counts[:, s : s + rows]
-                pair = [groups[g] for g in (key >> 32).tolist()]
-                term = pa.array([names[t] for t in (key & 0xFFFFFFFF).tolist()], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pair], pa.string()), pa.array([p[1] for p in pair], pa.string()), term, pa.array(n), pa.array(docs)], _COUNTED)
+                group = pa.array(key >> 32)
+                yield pa.RecordBatch.from_arrays([lang.take(group), source.take(group), terms.take(pa.array(key & 0xFFFFFFFF)), pa.array(n), pa.array(docs)], _COUNTED)
         self.clear()
 
 
@@ -152,7 +153,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     counted = rows.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # tasks have added up what they can: a second partial sum before the shuffle would find next to nothing
+    return counted.repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 # --- shares and differences -----------------------------------------------------------

@@ -1,19 +1,21 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents are cut into blocks. Time is counted in blocks; in a
-phase, source s of weight w may not give its j-th block before slot
-floor((j-1)/w) (its release) and must have given it by slot ceil(j/w) (its
-deadline). Taking, in each slot, the released block with the earliest deadline
-meets all deadlines, as the weights add up to one. So at every time each source
-is less than one block away from its share.
-
-Weights are exact fractions of the numbers as they are written, whatever their
-number: nothing is rounded. Where they repeat exactly within PERIOD slots, one
-period is scheduled on the driver and a block's slot follows from its number by
-arithmetic; otherwise each block has a row of the schedule (the driver holds some
-30 bytes for each of a phase and hands the rows on in files). When a source has no more blocks
-its share goes to the others in proportion and a new phase begins; so every
-document is used once and none is dropped. Sources of weight zero come last.
+Each source's documents are cut into blocks, and time is counted in blocks (slots). Ideally all sources
+flow at once, each in proportion to its weight, and when one runs out the others go on in
+their proportions. In units v of what a weight of one has given, source s of weight w and n blocks
+has given min(w v, n), so all together have given t(v) = sum of min(w v, n) by then: its j-th
+block (from 0) flows from t(j / w) to t((j + 1) / w), whatever else runs out meanwhile. The block may not be
+given before slot floor(t(j / w)), its release, and must be by slot ceil(t((j + 1) / w)), its deadline.
+Of any stretch of slots the blocks that lie within it fill no more, as the flows add up to one
+block a slot; so taking, in each slot, the released block with the earliest deadline meets all
+deadlines, and at every time, over the whole run, each source is less than one block away from its flow.
+
+Weights are exact fractions of the numbers as they are written, whatever their number: nothing is
+rounded. Every document is used once and none is dropped. Sources of weight zero come last, evenly.
+
+A block has BLOCK documents, or more where that made more than BLOCKS of them: so the driver,
+which takes the slots one after the other, has a bounded number (besides a row a source), hands them on
+in files, and the deviation is a millionth of the corpus.
 
 Ranks within a source come from counts per hash bucket, so that a source of any
 size is numbered by many tasks; within a bucket the order is by doc_id and, for ties and
@@ -27,10 +29,10 @@ from __future__ import annotations
 
 import heapq
 import math
-from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import batched, islice
+from itertools import accumulate, batched
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -41,12 +43,10 @@ from pyspark.sql import functions as F
 from pulsewright.cluster import BROADCAST_ROWS, new_path
 
 BLOCK = 32
-#: Slots of a repeated period at most.
-PERIOD = 1000
+#: Blocks at most, but for a started one a source.
+BLOCKS = 1_000_000
 #: Rows of a schedule that the driver turns into a file at once.
 ROWS_AT_ONCE = 50_000
-#: A deadline that is never met before the end.
-FOREVER = 1 << 60
 #: Without target weights a source weighs its number of documents to this power.
 FLATTEN = 0.7
 BUCKET_ROWS = 20_000
@@ -63,94 +63,57 @@ def whole_weights(weights: dict[str, float]) -> dict[str, int]:
     return {s: int(w * unit) for s, w in exact.items()}
 
 
-def _turns(order: list[str], weights: dict[str, int], total: int) -> Iterator[tuple[str, int, int, int]]:
-    """(source, number of its block, release, deadline) of slot after slot, without end; `order` is by falling weight."""
-    waiting: list[tuple] = []  # by release
-    ready: list[tuple] = []  # by deadline
-    begun = t = 0
-    while True:
-        while waiting and waiting[0][0] <= t:
-            release, at, j, deadline = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline, at, j, release))
-        # first blocks are all released at once, and their deadlines rise as weights fall
-        first = (-(-total // weights[order[begun]]), begun, 0, 0) if begun < len(order) else None
-        if first and not (ready and ready[0] < first):
-            begun += 1
-        else:
-            first = heapq.heappop(ready)
-        deadline, at, j, release = first
-        w = weights[order[at]]
-        yield order[at], j, release, deadline
-        heapq.heappush(waiting, ((j + 1) * total // w, at, j + 1, -(-(j + 2) * total // w)))
-        t += 1
+class Flow:
+    """t(v) of sources with whole weights and numbers of blocks, from slot `start` on, for v = j / w."""
 
+    def __init__(self, blocks: dict[str, int], weights: dict[str, int], start: int = 0):
+        order = sorted(blocks, key=lambda s: Fraction(blocks[s], weights[s]))
+        self.ends = [Fraction(blocks[s], weights[s]) for s in order]  # when each runs out, in v
+        self.given = [start, *accumulate((blocks[s] for s in order), initial=start)][1:]
+        self.open = [sum(weights.values()), *(sum(weights.values()) - x for x in accumulate(weights[s] for s in order))]
 
-def _by_weight(weights: dict[str, int]) -> list[str]:
-    return sorted(weights, key=lambda s: (-weights[s], s))
+    def at(self, j: int, w: int) -> tuple[int, int, int]:
+        """(floor and ceiling of t(j / w), how many sources have run out)."""
+        k = bisect_right(self.ends, Fraction(j, w))
+        flown = j * self.open[k]
+        return self.given[k] + flown // w, self.given[k] - (-flown // w), k
 
 
-def one_period(slots: dict[str, int]) -> list[tuple[str, int, int, int]]:
-    """(source, number of its block in the period, release, deadline) of each slot of a period."""
-    period = sum(slots.values())
-    return list(islice(_turns(_by_weight(slots), slots, period), period))
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple]:
+    """Rows (source, block, slot, release, deadline, phase: how many sources have run out at its release), slot after slot."""
+    whole = whole_weights({s: weights[s] for s, n in blocks.items() if n > 0})
+    slot = 0
+    for shares in ({s: w for s, w in whole.items() if w > 0}, {s: 1 for s, w in whole.items() if w == 0}):
+        names = sorted(shares)
+        own = [blocks[s] for s in names]
+        flow = Flow({s: blocks[s] for s in names}, shares, slot)
+        waiting: list[tuple] = []  # by release
 
+        def window(i: int, j: int, flow: Flow = flow, names: list[str] = names, shares: dict[str, int] = shares) -> tuple:
+            release, _, phase = flow.at(j, shares[names[i]])
+            return release, flow.at(j + 1, shares[names[i]])[1], i, j, phase
 
-def schedule(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> Iterator[tuple]:
-    """Rows (phase, source, first block, end block, slots a period, number in the period, period, first slot, slot in the period, release, deadline).
+        for i in range(len(names)):
+            heapq.heappush(waiting, window(i, 0))
+        ready: list[tuple] = []  # by deadline
+        for _ in range(sum(own)):
+            while waiting and waiting[0][0] <= slot:
+                release, deadline, i, j, phase = heapq.heappop(waiting)
+                heapq.heappush(ready, (deadline, i, j, release, phase))
+            deadline, i, j, release, phase = heapq.heappop(ready)
+            yield names[i], j, slot, release, deadline, phase
+            if j + 1 < own[i]:
+                heapq.heappush(waiting, window(i, j + 1))
+            slot += 1
 
-    A phase repeats if its weights are exactly whole slots of at most `period`; otherwise it is its own only period.
-    """
-    whole = whole_weights({s: weights[s] for s, n in blocks.items() if n > 0})
-    left = {s: blocks[s] for s in whole}
-    given = dict.fromkeys(left, 0)
-    at = phase = 0
-    for shares in ({s: w for s, w in whole.items() if w > 0}, {s: 1 for s, w in whole.items() if w == 0}):
-        order, total = _by_weight(shares), sum(shares.values())
-        while order:
-            common = math.gcd(*(shares[s] for s in order)) if len(order) <= period else 1
-            if total // common <= period:
-                slots = {s: shares[s] // common for s in order}
-                table = one_period(slots)
-                length = len(table)
-                place = {(s, j): t for t, (s, j, _, _) in enumerate(table)}
-                ends = min((left[s] - 1) // n * length + place[s, (left[s] - 1) % n] + 1 for s, n in slots.items())
-                used = {s: ends // length * n for s, n in slots.items()}
-                for s, *_ in table[: ends % length]:
-                    used[s] += 1
-                for t, (s, j, release, deadline) in enumerate(table):
-                    if used[s] > j:
-                        yield phase, s, given[s], given[s] + used[s], slots[s], j, length, at, t, release, deadline
-            else:
-                used = {}
-                columns = [array("q") for _ in range(4)]
-                names = {s: i for i, s in enumerate(order)}
-                for s, j, release, deadline in _turns(order, shares, total):
-                    for column, v in zip(columns, (names[s], j, release, min(deadline, FOREVER)), strict=True):
-                        column.append(v)
-                    used[s] = j + 1
-                    if used[s] == left[s]:
-                        break
-                ends = len(columns[0])
-                for t, (i, j, release, deadline) in enumerate(zip(*columns, strict=True)):
-                    s = order[i]
-                    yield phase, s, given[s], given[s] + used[s], used[s], j, ends, at, t, release, deadline
-            for s, n in used.items():
-                given[s] += n
-                left[s] -= n
-            for s in [s for s in used if not left[s]]:
-                order.remove(s)
-                total -= shares[s]
-            at += ends
-            phase += 1
-
-
-_TABLE = "phase int, _src string, first long, until long, share long, number long, period long, slot0 long, at long, release0 long, deadline0 long"
+
+_TABLE = "_src string, block long, slot long, release long, deadline long, phase int"
 
 
 def _stored(spark: SparkSession, rows: Iterator[tuple]) -> tuple[DataFrame, int]:
     """The rows of a schedule as a table in the shared folder, and their number; the driver holds some of them at a time."""
     path, names, n = new_path(spark, "schedule"), [c.split()[0] for c in _TABLE.split(", ")], 0
-    kinds = [pa.int32(), pa.string(), *[pa.int64()] * (len(names) - 2)]
+    kinds = [pa.string(), *[pa.int64()] * 4, pa.int32()]
     fs, folder = pafs.FileSystem.from_uri(path)
     fs.create_dir(folder)
     for k, part in enumerate(batched(rows, ROWS_AT_ONCE)):
@@ -163,12 +126,13 @@ def _stored(spark: SparkSession, rows: Iterator[tuple]) -> tuple[DataFrame, int]
 NEW = ("phase", "block", "place", "slot", "release", "deadline")
 
 
-def _placed(rows: DataFrame, weights: dict[str, float] | None, block: int, period: int) -> DataFrame:
+def _placed(rows: DataFrame, weights: dict[str, float] | None, block: int) -> DataFrame:
     """rows: row (a struct with doc_id, source and maybe text). Returns row and the columns NEW."""
     spark = rows.sparkSession
     tie = F.xxhash64(*[F.col(f"row.`{c}`") for c in ("doc_id", "text") if c in rows.schema["row"].dataType.names])
     keyed = rows.select("row", F.coalesce(F.col("row.source").cast("string"), F.lit(NO_SOURCE)).alias("_src"), tie.alias("_tie"))
     sizes = {r["_src"]: r["n"] for r in keyed.groupBy("_src").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a source
+    block = max(block, -(-sum(sizes.values()) // BLOCKS))
     n_buckets = max(LEAST_BUCKETS, sum(sizes.values()) // BUCKET_ROWS)
     keyed = keyed.withColumn("_bucket", F.pmod("_tie", F.lit(n_buckets)))
     counts = keyed.groupBy("_src", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -180,24 +144,17 @@ def _placed(rows: DataFrame, weights: dict[str, float] | None, block: int, perio
 
     blocks = {s: -(-n // block) for s, n in sizes.items()}
     named = {NO_SOURCE if s is None else s: w for s, w in (weights or {}).items()}
-    table, n_rows = _stored(spark, schedule(blocks, {s: named.get(s, n**FLATTEN) for s, n in sizes.items()}, period))
-    phases = table.select("_src", "phase", "first", "until", "share").distinct().groupBy("_src").agg(F.array_sort(F.collect_list(F.struct("first", "until", "phase", "share"))).alias("_phases"))
-    in_phase = F.element_at(F.filter("_phases", lambda p: (F.col("block") >= p["first"]) & (F.col("block") < p["until"])), 1)
-    ranked = ranked.join(F.broadcast(phases) if n_rows <= BROADCAST_ROWS else phases, "_src").withColumn("_p", in_phase)
-    ranked = ranked.withColumns({"phase": F.col("_p.phase"), "number": (F.col("block") - F.col("_p.first")) % F.col("_p.share")}).drop("_phases", "_p")
-    out = ranked.join(F.broadcast(table) if n_rows <= BROADCAST_ROWS else table, ["_src", "phase", "number"])
-    turn = F.floor((F.col("block") - F.col("first")) / F.col("share")) * F.col("period") + F.col("slot0")
-    out = out.withColumns({"slot": turn + F.col("at"), "release": turn + F.col("release0"), "deadline": turn + F.col("deadline0")})
-    return out.select("row", *NEW)
-
-
-def place(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    table, n_rows = _stored(spark, schedule(blocks, {s: named.get(s, n**FLATTEN) for s, n in sizes.items()}))
+    return ranked.join(F.broadcast(table) if n_rows <= BROADCAST_ROWS else table, ["_src", "block"]).select("row", *NEW)
+
+
+def place(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
     """`docs` (doc_id, source, ...) with phase, block, place (in the block), slot, release and deadline.
 
     weights: target weight by source; sources that are not named share what their
     number of documents gives them. The order is by slot, then place.
     """
-    return _placed(docs.select(F.struct(*docs.columns).alias("row")), weights, block, period).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in NEW], *NEW)
+    return _placed(docs.select(F.struct(*docs.columns).alias("row")), weights, block).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in NEW], *NEW)
 
 
 def digest(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -207,5 +164,5 @@ def digest(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFram
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The rows of `docs`, sorted over the partitions into the mixed order; columns as they were."""
-    mixed = _placed(docs.select(F.struct(*docs.columns).alias("row")), weights, BLOCK, PERIOD)
+    mixed = _placed(docs.select(F.struct(*docs.columns).alias("row")), weights, BLOCK)
     return mixed.select("row", "slot", "place").repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")

@@ -150,14 +150,17 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray)
     return (lo + hi) / 2
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ra, rb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-        na, nb = (b.column(c).to_numpy().astype(float) for c in ("na", "nb"))
-        fits = (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (joint_estimate(ra, rb, na, nb) >= LEAST_ESTIMATE)
-        yield b.select(["a", "b"]).filter(pa.array(fits))
+def _likely(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ra, rb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
+            na, nb = (b.column(c).to_numpy().astype(float) for c in ("na", "nb"))
+            fits = (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (joint_estimate(ra, rb, na, nb) >= least)
+            yield b.select(["a", "b"]).filter(pa.array(fits))
+
+    return run
 
 
 #: Members that are held against a hub at one place; a hub of more is sent to several.
@@ -194,17 +197,18 @@ def _few(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def _linked(proposals: DataFrame, sketch: DataFrame, texts: DataFrame, tag: str, gate: bool = True) -> DataFrame:
+def _linked(proposals: DataFrame, sketch: DataFrame, texts: DataFrame, tag: str, least: float | None) -> DataFrame:
     """The verified ones of the proposed pairs (a: member, b: hub): a table. sketch and texts: tables by doc_id.
 
+    least: pairs whose similarity is estimated below it are not verified.
     Where an id stands for several texts, each of the one is held against each of the
     other, and one link suffices.
     """
     old = []
-    if gate:
+    if least is not None:
         of = sketch.select("doc_id", "registers", "n_shingles")
         pairs = proposals.join(of.toDF("a", "ra", "na"), "a").join(of.toDF("b", "rb", "nb"), "b")
-        proposals = pairs.mapInArrow(_likely, "a long, b long").distinct()
+        proposals = pairs.mapInArrow(_likely(least), "a long, b long").distinct()
     likely = materialise(proposals, f"{tag}-likely")
     nodes = materialise(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), f"{tag}-nodes")
     need = materialise(only_rows_of(texts, nodes, ["doc_id"]).distinct(), f"{tag}-texts")
@@ -268,7 +272,7 @@ def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
     return known.join(mixed, "bucket")
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def classes(docs: DataFrame, least: float = LEAST_ESTIMATE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sketch, members, links): a row per document; (s1, s2, n_shingles, rep) per set; (node, component) of linked representatives.
 
     Rows that share a doc_id are one vertex; rows without one are linked with nothing.
@@ -287,28 +291,28 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     hubs = materialise(buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).filter("hub < top").select("bucket", "hub"), "near-hubs")
     shared = materialise(buckets.join(hubs.select("bucket"), "bucket").distinct(), "near-buckets")
     proposed = shared.join(hubs, "bucket").filter("doc_id > hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    links = [_linked(proposed, reps, texts, "near-0")]
+    links = [_linked(proposed, reps, texts, "near-0", least)]
     comp = materialise(components(links[0]), "near-components")
 
-    rest = shared.join(hubs, "bucket").filter("doc_id > hub").select("bucket", "doc_id")
-    rest = materialise(_mixed(rest, comp), "near-open")
+    # with their hubs: a bucket's pair that the estimate passed over is open like any other
+    rest = materialise(_mixed(shared.select("bucket", "doc_id"), comp), "near-open")
     nodes = materialise(rest.select("doc_id").distinct(), "near-rest")
     ranked = _ranked_shingles(nodes, texts)
     weight = ranked.groupBy("doc_id").agg(F.avg("freq").alias("weight"))
     nearest = Window.partitionBy("bucket").orderBy(F.desc("weight"), "doc_id")
     heads = rest.join(weight, "doc_id").withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") <= HUBS).select("bucket", F.col("doc_id").alias("hub"), F.col("c").alias("hub_c"))
     proposed = rest.join(materialise(heads, "near-heads"), "bucket").filter("c <> hub_c").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    links.append(_linked(proposed, reps, texts, "near-1"))
+    links.append(_linked(proposed, reps, texts, "near-1", least))
     comp = materialise(components(links[0].unionByName(links[1])), "near-components")
-    links.append(_linked(_prefix_pairs(ranked, comp), reps, texts, "near-2", gate=False))
+    links.append(_linked(_prefix_pairs(ranked, comp), reps, texts, "near-2", None))
     comp = materialise(components(links[0].unionByName(links[1]).unionByName(links[2])), "near-components")
     discard(hubs, shared, rest, nodes, ranked, reps, *links)
     return sketch, known_members, comp
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs`."""
-    sketch, members, comp = classes(docs)
+    sketch, members, comp = classes(docs, least)
     reached = members.join(comp, members["rep"] == comp["node"], "left").select("s1", "s2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component"))
     reached = materialise(reached, "near-reached")
     rows = sketch.select("doc_id", "n_shingles", "s1", "s2")

@@ -131,55 +131,64 @@ def test_token_files_of_nulls_beside_added_tokens(spark):
     assert [(r.doc_id, r.n_tokens) for r in token_files.digest(rows, tokenizer_path()).orderBy("doc_id").collect()] == [(1, 1), (2, 3), (3, 3), (4, 1)]
 
 
-def test_pfair_deviation_is_below_one_block():
-    for slots in ({"a": 500, "b": 300, "c": 199, "d": 1}, {"a": 7, "b": 5, "c": 3}, {"x": 1}):
-        table = pfair_mix.one_period(slots)
-        period = sum(slots.values())
-        given = Counter()
-        for t, (s, j, release, deadline) in enumerate(table):
-            assert release <= t < deadline and j == given[s]
-            given[s] += 1
-            for k, a in slots.items():
-                assert abs(given[k] - a * (t + 1) / period) < 1
-        assert given == slots
-
-
-def test_pfair_schedule_is_whole():
-    blocks = {"a": 37, "b": 5, "c": 1, "d": 0}
-    rows = pfair_mix.schedule(blocks, {"a": 1.0, "b": 2.0, "c": 0.1, "d": 1.0}, 20)
-    seen = defaultdict(set)
-    for phase, s, first, until, share, number, period, slot0, at, *_ in rows:
-        for b in range(first, until):
-            if (b - first) % share == number:
-                seen[s].add((b, (b - first) // share * period + slot0 + at))
-    assert {s: len(x) for s, x in seen.items()} == {"a": 37, "b": 5, "c": 1}
-    assert sorted(slot for x in seen.values() for _, slot in x) == list(range(43))
-
-
-def test_pfair_keeps_the_weights_asked_for_with_many_sources():
-    for n in (20, 200, 1500):
-        blocks = {"hot": 1000, **{f"s{i:04d}": 1000 for i in range(n)}}
-        weights = {s: 0.5 if s == "hot" else 0.5 / n for s in blocks}
-        exact = {s: Fraction(repr(w)) for s, w in weights.items()}
-        total = sum(exact.values())
-        slots = defaultdict(list)
-        for phase, s, first, until, share, number, period, slot0, at, *_ in pfair_mix.schedule(blocks, weights):
-            if phase:
-                break
-            slots[s] += [(b - first) // share * period + slot0 + at for b in range(first + number, until, share)]
-        length = sum(map(len, slots.values()))
-        assert length >= 1998
-        for s, times in slots.items():
-            share = exact[s] / total
-            for j, t in enumerate(sorted(times)):
-                assert abs(j - share * t) < 1 and abs(j + 1 - share * (t + 1)) < 1
-            assert abs(len(times) - share * length) < 1
+def flows(blocks, weights):
+    """Exact flows of each source at the end of every slot, by going from one exhaustion to the next."""
+    weights = {s: Fraction(repr(float(w))) for s, w in weights.items() if blocks[s]}
+    at, given, out = Fraction(0), dict.fromkeys(weights, Fraction(0)), []
+    for own in ({s for s, w in weights.items() if w > 0}, {s for s, w in weights.items() if w == 0}):
+        left = set(own)
+        rate = {s: weights[s] or Fraction(1) for s in own}
+        while left:
+            total = sum(rate[s] for s in left)
+            step = min(min((blocks[s] - given[s]) * total / rate[s] for s in left), len(out) + 1 - at)
+            for s in left:
+                given[s] += step * rate[s] / total
+            at += step
+            left = {s for s in left if given[s] < blocks[s]}
+            if at == len(out) + 1:
+                out.append(dict(given))
+    return out
+
+
+def check_schedule(blocks, weights):
+    rows = list(pfair_mix.schedule(blocks, weights))
+    assert sorted((r[0], r[1]) for r in rows) == sorted((s, j) for s, n in blocks.items() for j in range(n))
+    given, worst = Counter(), 0
+    for t, ((s, j, slot, release, deadline, _), flow) in enumerate(zip(rows, flows(blocks, weights), strict=True)):
+        assert slot == t and j == given[s] and release <= t < deadline
+        given[s] += 1
+        worst = max(worst, *(abs(given[o] - x) for o, x in flow.items()))
+    assert worst < 1
+    return rows
+
+
+def test_pfair_deviation_is_below_one_block_over_the_whole_run():
+    check_schedule({"a": 37, "b": 5, "c": 1, "d": 0}, {"a": 1.0, "b": 2.0, "c": 0.1, "d": 1.0})
+    check_schedule({"x": 3}, {"x": 0.0})
+    rng = random.Random(17)
+    for k in (5, 20, 60):
+        for _ in range(4):
+            check_schedule({f"s{i:02d}": rng.randint(1, 60) for i in range(k)}, {f"s{i:02d}": rng.choice([rng.random(), rng.random() ** 4, 1e-6, 5]) for i in range(k)})
+    check_schedule({"hot": 700, **{f"s{i:03d}": 7 for i in range(100)}}, {"hot": 0.5, **{f"s{i:03d}": 0.005 for i in range(100)}})
+
+
+def test_pfair_windows_against_the_definition():
+    """A block's release and deadline are where its flow begins and ends, rounded outwards."""
+    blocks, weights = {"a": 30, "b": 11, "c": 4, "z": 3}, {"a": 1 / 3, "b": 0.7, "c": 0.01, "z": 0.0}
+    flow = [dict.fromkeys(blocks, 0), *flows(blocks, weights)]
+    for s, j, _, release, deadline, _ in pfair_mix.schedule(blocks, weights):
+        assert release == max(t for t, f in enumerate(flow) if f[s] <= j and (t == 0 or s != "z" or t >= 45)) and deadline == min(t for t, f in enumerate(flow) if f[s] >= j + 1)
 
 
 def test_pfair_sources_without_weight_come_last():
-    rows = list(pfair_mix.schedule({"a": 5, "b": 3, "c": 2}, {"a": 0.7, "b": 0.0, "c": 0.1**9}))
-    assert {r[1] for r in rows if r[7] + r[8] < 7} == {"a", "c"}
-    assert [(r[2], r[3], r[7]) for r in rows if r[1] == "b"] == [(0, 3, 7)]
+    rows = check_schedule({"a": 5, "b": 3, "c": 2, "d": 3}, {"a": 0.7, "b": 0.0, "c": 0.1**9, "d": 0.0})
+    assert {r[0] for r in rows[:7]} == {"a", "c"} and {r[0] for r in rows[7:]} == {"b", "d"}
+
+
+def test_pfair_blocks_grow_so_that_their_number_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(pfair_mix, "BLOCKS", 10)
+    got = pfair_mix.digest(spark.range(1000).selectExpr("id as doc_id", "'x' as source")).collect()
+    assert Counter(r.block for r in got) == dict.fromkeys(range(10), 100) and sorted((r.slot, r.place) for r in got) == [(b, p) for b in range(10) for p in range(100)]
 
 
 def test_mix_keeps_every_row(docs, empty):
@@ -199,7 +208,7 @@ def test_pfair_places_against_the_definition(spark):
     rng.shuffle(names)
     weights = {"a": 1 / 3, "b": 1 / 3, "c": 0.3, "tiny": 1e-6, None: 0.03}
     rows = [(None if i % 50 == 0 else i // 2, s, f"t{i}") for i, s in enumerate(names)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 as slot", "2 as first", "3 as period", "4 as share", "5 as number", "6 as until")
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 as slot", "2 as _src", "3 as _bucket", "4 as row")
     out = pfair_mix.place(df, weights, block=4)
     assert [c for c in out.columns if c not in pfair_mix.NEW] == [c for c in df.columns if c != "slot"]
     got = out.collect()
@@ -212,22 +221,9 @@ def test_pfair_places_against_the_definition(spark):
     head = {k: v[0] for k, v in blocks.items()}
     assert all(len({(r.slot, r.release, r.deadline, r.phase) for r in v}) == 1 for v in blocks.values())
     assert sorted(r.slot for r in head.values()) == list(range(len(head)))
-    exact = {s: Fraction(repr(w)) for s, w in weights.items()}
-    left = {s: -(-n // 4) for s, n in sizes.items()}
-    slot0 = phase = 0
-    while any(left.values()):
-        own = {k: r for k, r in head.items() if r.phase == phase}
-        total = sum(exact[s] for s in left if left[s])
-        first = {s: -(-sizes[s] // 4) - left[s] for s in left}
-        for (s, b), r in own.items():
-            j, w = b - first[s], exact[s] / total
-            assert r.release - slot0 == int(j / w) and r.deadline - slot0 == -(-(j + 1) // w) and r.release <= r.slot < r.deadline
-        for t in range(len(own)):
-            given = Counter(s for (s, _), r in own.items() if r.slot - slot0 <= t)
-            assert all(abs(given[s] - exact[s] / total * (t + 1)) < 1 for s in left if left[s])
-        for s, _ in own:
-            left[s] -= 1
-        slot0, phase = slot0 + len(own), phase + 1
+    listed = {(s if s != "null" else None, j): w for s, j, *w in check_schedule({s or "null": -(-n // 4) for s, n in sizes.items()}, {s or "null": w for s, w in weights.items()})}
+    assert {k: (r.release, r.deadline) for k, r in head.items()} == {k: (w[1], w[2]) for k, w in listed.items()}
+    assert all(r.release <= r.slot < r.deadline for r in head.values())
     again = {r.text: (r.slot, r.place) for r in pfair_mix.place(df.repartition(7), weights, block=4).collect()}
     assert again == {r.text: (r.slot, r.place) for r in got}
 
@@ -379,7 +375,7 @@ def test_quality_rules(docs, empty):
     assert quality_rules.digest(empty).count() == 0
 
 
-def check_near_duplicates(docs):
+def check_near_duplicates(docs, **settings):
     def shingles(t):
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if x]
         return {tuple(w[p : p + 5]) for p in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
@@ -396,7 +392,7 @@ def check_near_duplicates(docs):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     want = [(i, len(s), None if i is None else find(i), i is None or find(i) == i) for i, s in rows]
-    assert collected(setsketch_dedup.digest(docs), "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=repr)
+    assert collected(setsketch_dedup.digest(docs, **settings), "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=repr)
     out = setsketch_dedup.drop_near_duplicates(docs)
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} == {x[0] for x in want if x[3]}
@@ -415,6 +411,10 @@ def test_near_duplicates(docs, empty):
     assert setsketch_dedup.digest(empty).count() == 0
 
 
+def test_an_estimate_that_refuses_all_pairs_loses_none(docs):
+    check_near_duplicates(docs, least=2.0)
+
+
 def test_one_id_with_several_texts(spark):
     """All links of an id count, whichever of its texts they come from."""
     rng = random.Random(14)

@@ -23,8 +23,10 @@ shingles are most frequent stand nearest to what the others are copies of, and
 are the hubs of the second round. Pairs that are still in different components
 are found by an exact prefix filter: in the order from the rarest shingle on, a
 linked pair shares one early in both. All pairs that pass it are verified on full sets,
-without an estimate before. So among documents that share a band no link between
-different components is lost, and none within a component is needed.
+without an estimate before; none within a component is needed. What can be lost, besides
+pairs without a band in common: a bucket's least member is no part of the filter, so a linked pair of it that
+the likelihood puts under `LEAST_ESTIMATE` (over 5 standard errors off, a chance below 1e-7) and that no
+other path joins.
 
 Hubs with very many members are joined as skewed keys of plain tables, which Spark
 splits, and verified in parts of `HUB_MEMBERS`.

@@ -118,6 +118,15 @@ def features(valid: DataFrame, c: Channels) -> DataFrame:
     return out.filter("_own").drop("_own", "_chunk") if c.chunk else out
 
 
+def features_of(c: Channels) -> list[str]:
+    """Names of the feature columns, in their order."""
+    (l1, l2, l3, l4), (cur, tmp, res) = c.labels, (c.names[k] for k in ("current", "temperature", "reservoir"))
+    return [
+        *c.analogs, "loaded_frac", *[f"duty_cycle_{x}" for x in (l1, l2, l3)], "load_starts_per_hour", f"max_load_run_min_{l2}", f"{cur}_mean_{l1}", f"{cur}_std_{l1}", f"{cur}_mean_{l2}", f"{cur}_loaded_{l2}",
+        f"{tmp}_mean_{l1}", f"{tmp}_mean_{l2}", f"{tmp}_std_{l2}", f"{tmp}_excess_{l4}", f"delta_p_loaded_{l2}", f"{res}_mean_{l1}", f"{res}_min_{l2}", f"idle_decay_rate_{l2}", f"lps_frac_{l2}", "n_samples",
+    ]
+
+
 def drift_targets(c: Channels) -> list[tuple[str, str]]:
     l2, cur, tmp = c.labels[1], c.names["current"], c.names["temperature"]
     return [(f"duty_cycle_{l2}", "duty_cycle_drift_z"), (f"{cur}_mean_{l2}", f"{cur}_drift_z"), (f"{tmp}_mean_{l2}", f"{tmp}_drift_z"), (f"idle_decay_rate_{l2}", "idle_decay_drift_z")]

@@ -20,8 +20,8 @@ from pulsewright.operators.windows import ordered, trailing_median, trailing_row
 FAULTS = ("bpfo", "bpfi", "bsf", "ftf")
 
 
-def defect_frequencies(shaft_hz: float, n_rollers: int, pitch_d: float, roller_d: float, contact_deg: float) -> dict[str, float]:
-    """Frequencies of outer race, inner race, roller and cage of a rolling-element bearing."""
+def defect_frequencies(shaft_hz: float | Column, n_rollers: int, pitch_d: float, roller_d: float, contact_deg: float) -> dict:
+    """Frequencies of outer race, inner race, roller and cage of a rolling-element bearing, for a number or a column of shaft speeds."""
     ratio = roller_d / pitch_d * math.cos(math.radians(contact_deg))
     return {
         "bpfo": 0.5 * n_rollers * shaft_hz * (1 - ratio),

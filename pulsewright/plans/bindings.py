@@ -42,14 +42,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def as_telemetry(e: DataFrame) -> DataFrame:
+    """Rows of `events`, or a stream of them, as telemetry."""
     return e.select(
         (F.col("user_id") % 8).alias("asset"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("tie"), F.col("value").alias("a1"),
         F.regexp_extract("props", r"(\d+)", 1).cast("double").alias("a2"), F.when(F.col("event_type").isin("click", "purchase"), 0).otherwise(1).alias("comp"), (F.col("event_type") == "error").cast("int").alias("lps"),
     )
 
 
+def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_telemetry(table(spark, sf_dir, "events"))
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.row_signals(telemetry(spark, sf_dir), CHANNELS)
 

@@ -618,9 +618,10 @@ def summary_report(spark, d):
 
 @query
 def kinematics(spark, d):
-    """Defect frequencies over a grid of shaft speeds."""
-    g = spark.createDataFrame([(rpm, *(v for _, v in sorted(V.defect_frequencies(rpm / 60, 16, 2.815, 0.331, 15.17).items()))) for rpm in range(500, 3000, 500)], "rpm long, bpfi double, bpfo double, bsf double, ftf double")
-    return g.select("rpm", r6("bpfo"), r6("bpfi"), r6("bsf"), r6("ftf"))
+    """Defect frequencies of each part's bearing at its own shaft speed."""
+    hz = F.col("p_size") * 50 / F.lit(60.0)
+    x = V.defect_frequencies(hz, 16, 2.815, 0.331, 15.17)
+    return B.table(spark, d, "part").select(big("p_partkey"), *[r6(x[k], k) for k in ("bpfo", "bpfi", "bsf", "ftf")])
 
 
 # --- not SQL: models, long transforms, streams --------------------------------------

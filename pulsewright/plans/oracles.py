@@ -265,7 +265,7 @@ ORACLES: dict[str, str] = {
     "onset_economics": " UNION ALL ".join(onset(k) for k in ("0.5", "1.0", "1.5")),
     "summary_report": f"""SELECT s.bearing, s.known_failure, {r6('life', 'life_hours')}, {r6('onset', 'onset_hours')}, {r6('actual', 'rul75_actual')}, rul75_pred FROM (WITH {SUMMARY} SELECT bearing, coalesce(kf, 'none') AS known_failure, life, onset FROM su) s
       LEFT JOIN (WITH {RUL} SELECT bearing, actual, round(pred, 3) AS rul75_pred FROM ru WHERE f = 0.75) r ON r.bearing = s.bearing""",
-    "kinematics": f"""SELECT rpm, {r6('8 * hz * (1 - q)', 'bpfo')}, {r6('8 * hz * (1 + q)', 'bpfi')}, {r6('0.5 * 2.815 / 0.331 * hz * (1 - q * q)', 'bsf')}, {r6('0.5 * hz * (1 - q)', 'ftf')} FROM (SELECT i * 500 AS rpm, i * 500 / 60.0::DOUBLE AS hz, 0.331 / 2.815::DOUBLE * cos(radians(15.17)) AS q FROM range(1, 6) AS r(i))""",
+    "kinematics": f"""SELECT p_partkey, {r6('8 * hz * (1 - q)', 'bpfo')}, {r6('8 * hz * (1 + q)', 'bpfi')}, {r6('0.5 * 2.815 / 0.331 * hz * (1 - q * q)', 'bsf')}, {r6('0.5 * hz * (1 - q)', 'ftf')} FROM (SELECT p_partkey, p_size * 50 / 60.0::DOUBLE AS hz, 0.331 / 2.815::DOUBLE * cos(radians(15.17)) AS q FROM part)""",
     "exp_fit": f"WITH {HEALTH} SELECT bearing, {r6('regr_intercept(ln(greatest(rms_ratio, 1e-3)), hours)', 'a')}, {r6('regr_slope(ln(greatest(rms_ratio, 1e-3)), hours)', 'b')}, count(rms_ratio) AS points FROM hh GROUP BY 1",
     "loo_rul": f"WITH {RUL} SELECT bearing::BIGINT AS bearing, f AS eval_fraction, {r6('hi_fail')}, {r6('own_eol')}, {r6('t_eval')}, {r6('actual', 'actual_rul')}, round(pred, 3) AS pred_rul FROM ru",
     "rul_error": f"WITH {RUL} SELECT f AS eval_fraction, round(median(abs(pred - actual)), 3) AS median_abs_error FROM ru GROUP BY 1",
@@ -273,3 +273,16 @@ ORACLES: dict[str, str] = {
       SELECT bearing::BIGINT AS bearing, f AS eval_fraction, {r6('post * (1 - f)', 'actual_rul')}, {r6('greatest(other - f * post, 0)', 'naive_rul')}, {r6('abs(greatest(other - f * post, 0) - post * (1 - f))', 'abs_error')} FROM o, (VALUES (0.5::DOUBLE), (0.75::DOUBLE), (0.9::DOUBLE)) AS fr(f)""",
     "stream_replay_features": f"WITH {FEATS} SELECT asset, t, {', '.join(r6(c) for c in FEATURES)} FROM feats",
 }
+
+FEATURE_ROWS = f"WITH {FEATS} SELECT asset, t, {', '.join(r6(c) for c in FEATURES)} FROM feats"
+ORACLES |= {
+    "csv_scan": f"WITH {RAW} SELECT us, {r6('a1::FLOAT', 'TP2')}, {r6('a2::FLOAT', 'TP3')}, comp::BIGINT AS comp, lps::BIGINT AS lps, true AS no_towers FROM raw",
+    "clean_parquet": f"WITH {RAW} SELECT asset, count(*) AS n, min(us) AS first, round(sum(a1::FLOAT::DOUBLE), 2) AS tp2, sum(comp)::BIGINT AS comp FROM raw WHERE asset < 3 AND us >= epoch_us(TIMESTAMP '2024-01-05 06:00:00') AND us < epoch_us(TIMESTAMP '2024-01-20 00:00:00') GROUP BY asset",
+    "snapshot_files": f"WITH {WAVE} SELECT vec_id // 4 AS hours, vec_id % 4 + 1 AS bearing, vec_id % 4 AS channel, {r6('rms')}, 64::BIGINT AS points FROM wave",
+    "model_store": ORACLES["control_limit_scores"],
+    "baseline_store": ORACLES["baseline_drift"],
+    "score_store": f"WITH {SC} SELECT asset, t, {r6('score')}, shift FROM sc",
+    "report_csv": ORACLES["threshold_sweep"],
+    "stream_scores": FEATURE_ROWS,
+    "stream_event_time": f"{FEATURE_ROWS} WHERE (t + 1) * 3600000000 <= (SELECT (max(epoch_us(ts)) // 1000) * 1000 - {6 * 3600}000000 FROM events)",
+}

@@ -8,14 +8,19 @@ table: each bucket's contribution to each class.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
+from pulsewright.llm import textkit as K
 
 GRAMS = (2, 3, 4)
 BITS = 16
 DIM = 16
+#: Features of each size of run that a training text gives, drawn from all of it: what the driver holds of a text.
+POOL = 512
 _ODD = np.uint32(2654435761)
 
 #: For languages: letters lower-cased, all else below 0x80 is one blank.
@@ -35,13 +40,36 @@ def buckets(data: np.ndarray, n: int) -> np.ndarray:
     return _bucket(x, n)
 
 
-def _drawn(data: np.ndarray, start: np.ndarray, size: np.ndarray, n: int, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Buckets of k runs of n bytes drawn from each of the texts that start there."""
-    at = start[:, None] + (rng.random((len(start), k)) * (size - n + 1)[:, None]).astype(np.int64)
-    x = np.zeros(at.shape, np.uint32)
-    for i in range(n):
-        x |= data[at + i].astype(np.uint32) << np.uint32(8 * i)
-    return _bucket(x, n)
+def pools(data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Buckets of POOL runs of each size, drawn from all of each text: texts x sizes x POOL; zeros for texts shorter than the largest run."""
+    out = np.zeros((len(offsets) - 1, len(GRAMS), POOL), np.uint16)
+    for r, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+        if hi - lo >= max(GRAMS):
+            rng = np.random.default_rng(int(seeds[r]))
+            for g, n in enumerate(GRAMS):
+                at = lo + (rng.random(POOL) * (hi - lo - n + 1)).astype(np.int64)
+                x = np.zeros(POOL, np.uint32)
+                for i in range(n):
+                    x |= fold[data[at + i]].astype(np.uint32) << np.uint32(8 * i)
+                out[r, g] = _bucket(x, n)
+    return out
+
+
+def drawn(fold: np.ndarray, key: str, carry: list[str]):
+    """A function for mapInArrow: rows (key, text, ...) to carry, n (bytes) and pool (binary), each text's pool drawn by its key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, offsets in K.chunks(b.column("text")):
+                pool = pools(data, offsets, b.column(key).slice(i, j - i).to_numpy().view(np.uint64), fold)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in carry), pa.array(np.diff(offsets)), pa.array([p.tobytes() for p in pool], pa.binary())], [*carry, "n", "pool"])
+
+    return run
+
+
+def pool_of(rows: list) -> np.ndarray:
+    """The pools of collected rows."""
+    return np.frombuffer(b"".join(r["pool"] for r in rows), np.uint16).reshape(len(rows), len(GRAMS), POOL)
 
 
 def _bucket(x: np.ndarray, n: int) -> np.ndarray:
@@ -89,25 +117,21 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def train(texts: list[bytes], targets: np.ndarray, fold: np.ndarray, labels: list[str], epochs: int = 12, per_text: int = 255, batch: int = 32, rate: float = 0.5, seed: int = 1) -> Model:
-    """Stochastic gradient descent on soft targets (texts x classes); each step sees `per_text` features of each of `batch` texts, drawn anew."""
+def train(pool: np.ndarray, targets: np.ndarray, labels: list[str], epochs: int = 12, per_text: int = 255, batch: int = 32, rate: float = 0.5, seed: int = 1) -> Model:
+    """Stochastic gradient descent on soft targets (texts x classes); each step sees `per_text` features of each of `batch` texts, drawn anew from their pools."""
     rng = np.random.default_rng(seed)
-    data = fold[np.frombuffer(b"".join(texts), np.uint8)]
-    size = np.array([len(t) for t in texts], np.int64)
-    start = np.cumsum(size) - size
-    keep = np.flatnonzero(size >= max(GRAMS))  # shorter texts do not train
-    each = per_text // len(GRAMS)
+    n, each = len(pool), per_text // len(GRAMS)
     emb = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     head = rng.normal(0, 0.1, (DIM, targets.shape[1])).astype(np.float32)
     bias = np.zeros(targets.shape[1], np.float32)
-    steps, done = epochs * -(-len(keep) // batch), 0
+    steps, done = epochs * -(-n // batch), 0
     for _ in range(epochs):
-        for s in np.array_split(rng.permutation(keep), -(-len(keep) // batch) or 1):
+        for s in np.array_split(rng.permutation(n), -(-n // batch) or 1):
             if not len(s):
                 continue
             lr = rate * (1 - done / steps)
             done += 1
-            at = np.concatenate([_drawn(data, start[s], size[s], n, each, rng) for n in GRAMS], 1)
+            at = pool[s][:, :, rng.integers(0, POOL, each)].reshape(len(s), -1)
             x = emb[at].mean(1)
             g = (softmax(x @ head + bias) - targets[s]).astype(np.float32)
             dx = g @ head.T
@@ -117,12 +141,9 @@ def train(texts: list[bytes], targets: np.ndarray, fold: np.ndarray, labels: lis
     return Model(labels, (emb @ head).astype(np.float32), bias.astype(float))
 
 
-def calibrate(model: Model, texts: list[bytes], targets: np.ndarray, fold: np.ndarray) -> Model:
+def calibrate(model: Model, logits: np.ndarray, targets: np.ndarray) -> Model:
     """Choose the scale of the logits that makes the labels of these texts likeliest."""
-    if len(texts):
-        z = np.concatenate([model.logits(fold[np.frombuffer(t, np.uint8)], np.array([0, len(t)])) for t in texts])
-        loss = {c: -np.mean(np.sum(targets * np.log(softmax(z * c) + 1e-12), 1)) for c in np.geomspace(0.1, 30, 40)}
+    if len(logits):
+        loss = {c: -np.mean(np.sum(targets * np.log(softmax(logits * c) + 1e-12), 1)) for c in np.geomspace(0.1, 30, 40)}
         model.scale = min(loss, key=loss.get)
     return model
-
-

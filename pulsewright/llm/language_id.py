@@ -1,10 +1,10 @@
 """Language identification: averaged hashed subword embeddings, a linear softmax, calibrated rejection.
 
 Learns from text and lang of the documents whose crc32(doc_id as text) mod 4 is
-not 2: at most `PER_LANGUAGE` of a language and `TOTAL` of all, chosen by a hash of
-the row, and of a text of over 16,000 characters four slices of 4,000 spread
-over it (`rows.sliced`). That bounds what the driver holds; no text is left out for its length. A fifth
-of the texts are kept from training and calibrate both outputs: the scale of the
+not 2: at most some `PER_LANGUAGE` of a language and `TOTAL` of all (but LEAST_EACH of a language, if it has
+them), chosen by a hash of the row. A chosen text is read whole, in a task, which draws a bounded number of
+its subwords from all of it (`hashed_grams.POOL`); these go to the driver, texts do not. A fifth
+of the texts are kept from training and calibrate both outputs, by logits of their whole texts: the scale of the
 logits, so that the score is a probability; and rejection. Predictions use the
 text alone, and all of it.
 
@@ -30,13 +30,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsewright.cluster import ship
+from pulsewright.cluster import discard, materialise, ship
 from pulsewright.llm import hashed_grams as H
 from pulsewright.llm import textkit as K
-from pulsewright.llm.rows import pack, sliced, unpack
+from pulsewright.llm.rows import pack, unpack
 
 PER_LANGUAGE = 1500
 TOTAL = 12_000
+LEAST_EACH = 20
+#: Without this many texts none is kept from training.
+LEAST_CALIBRATED = 100
 #: Share of texts in known languages that may be rejected, at each length class (bytes from which it begins).
 REJECTED = 0.0005
 LENGTHS = (0, 64, 256, 1024, 4096)
@@ -59,23 +62,25 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL) -
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     if not counts:
         return None
-    each = max(20, min(per_language, total // len(counts)))
+    each = max(LEAST_EACH, min(per_language, total // len(counts)))
     wanted = F.lit(False)
     for lang, n in counts.items():
         wanted = wanted | ((F.col("lang") == lang) & (F.col("_h") < int((1 << 40) * min(1.0, each / n))))
-    chosen = usable.filter(wanted).select("_h", sliced(F.col("_text")).alias("text"), "lang").dropDuplicates(["_h"])
-    sample = sorted((r["_h"], r["text"].encode(), r["lang"]) for r in chosen.collect())
+    spark = docs.sparkSession
+    ship(spark)
+    chosen = materialise(usable.filter(wanted).select("_h", F.col("_text").alias("text"), "lang").dropDuplicates(["_h"]), "lang-sample")
+    cal = F.lit(chosen.count() >= LEAST_CALIBRATED) & (F.col("_h") % 5 == 4)
     labels = sorted(counts)
-    targets = np.eye(len(labels))[[labels.index(x[2]) for x in sample]]
-    texts = [x[1] for x in sample]
-    cal = np.arange(len(texts)) % 5 == 4
-    if cal.sum() < 20:
-        cal[:] = False
-    model = H.train([t for t, c in zip(texts, cal, strict=True) if not c], targets[~cal], H.LETTERS, labels)
-    if cal.any():
-        own = [t for t, c in zip(texts, cal, strict=True) if c]
-        H.calibrate(model, own, targets[cal], H.LETTERS)
-        model.least = least_evidence(model, own)
+    rows = chosen.filter(~cal).mapInArrow(H.drawn(H.LETTERS, "_h", ["_h", "lang"]), "_h long, lang string, n long, pool binary").filter(F.col("n") >= max(H.GRAMS)).collect()
+    rows.sort(key=lambda r: r["_h"])
+    target = lambda found: np.eye(len(labels))[[labels.index(r["lang"]) for r in found]].reshape(len(found), len(labels))
+    model = H.train(H.pool_of(rows), target(rows), labels)
+    told = chosen.filter(cal).mapInArrow(_calibration(spark.sparkContext.broadcast(model)), "_h long, lang string, logits array<double>, evidence array<double>").collect()
+    if told:
+        told.sort(key=lambda r: r["_h"])
+        H.calibrate(model, np.array([r["logits"] for r in told]), target(told))
+        model.least = least_evidence(np.array([r["evidence"] for r in told], float).reshape(len(told), len(LENGTHS), DRAWS))
+    discard(chosen)
     return model
 
 
@@ -83,19 +88,36 @@ def evidence(logits: np.ndarray) -> np.ndarray:
     return logits.max(1) - logits.mean(1)
 
 
-def least_evidence(model: H.Model, texts: list[bytes]) -> np.ndarray:
-    """The evidence that a text of each length class needs, from slices of texts in known languages; never more than a shorter one's class allows a longer one."""
-    rng = np.random.default_rng(3)
+def _calibration(shared):
+    """Rows (_h, text, lang) to logits of the whole text and the evidence of DRAWS slices in each length class (NaN for none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: H.Model = shared.value
+        for b in batches:
+            for i, j, data, offsets in K.chunks(b.column("text")):
+                low, keys = H.LETTERS[data], b.column("_h").slice(i, j - i)
+                logits = model.logits(low, offsets)
+                found = np.full((j - i, len(LENGTHS), DRAWS), np.nan)
+                for r, key in enumerate(keys.to_pylist()):
+                    rng = np.random.default_rng(key)
+                    for k, least in enumerate(LENGTHS):
+                        n, size = int(offsets[r + 1] - offsets[r]), max(least, 24)
+                        if n < size:
+                            continue
+                        x = low[(offsets[r] + rng.integers(0, n - size + 1, DRAWS))[:, None] + np.arange(size)]
+                        enough = (x != 0x20).mean(1) > 0.3  # else too few letters to tell a language by
+                        found[r, k] = np.where(enough, evidence(model.logits(x.reshape(-1), np.arange(DRAWS + 1) * size)), np.nan)
+                yield pa.RecordBatch.from_arrays([keys, b.column("lang").slice(i, j - i), pa.array(logits.tolist(), pa.list_(pa.float64())), pa.array(found.reshape(j - i, -1).tolist(), pa.list_(pa.float64()))], ["_h", "lang", "logits", "evidence"])
+
+    return run
+
+
+def least_evidence(found: np.ndarray) -> np.ndarray:
+    """The evidence that a text of each length class needs, from slices of texts in known languages (texts x classes x draws); never more than a shorter one's class allows a longer one."""
     out = []
-    for k, low in enumerate(LENGTHS):
-        size = max(low, 24)
-        slices = [H.LETTERS[np.frombuffer(t, np.uint8)][s : s + size] for t in texts if len(t) >= size for s in rng.integers(0, len(t) - size + 1, DRAWS)]
-        slices = [x for x in slices if (x != 0x20).mean() > 0.3]  # too few letters to tell a language by
-        if len(slices) < 100:
-            out.append(out[-1] if out else -np.inf)
-            continue
-        at = np.concatenate([[0], np.cumsum([len(x) for x in slices])])
-        out.append(float(np.quantile(evidence(model.logits(np.concatenate(slices), at)), REJECTED)))
+    for k in range(len(LENGTHS)):
+        own = found[:, k][~np.isnan(found[:, k])]
+        out.append(float(np.quantile(own, REJECTED)) if len(own) >= 100 else out[-1] if out else -np.inf)
     return np.maximum.accumulate(out)
 
 

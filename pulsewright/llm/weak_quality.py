@@ -9,13 +9,14 @@ each labeller, how it votes on good and on bad documents, and the share of good
 ones; each pattern then has a posterior.
 
 *Scorer.* A hashed linear model of byte runs learns the posteriors of at most
-`SAMPLE` texts (chosen by a hash of the text; of those of over 16,000 characters
-four slices of 4,000; a bound of what the driver holds), and scores the whole of every
-text. It generalises where the labellers are silent.
-
-Null and empty texts have score 0 and are not kept. Rows that repeat are scored
-each by itself; ids, sources and further columns are never inputs. An empty
-table gives an empty result.
+`SAMPLE` texts (about half of either side, chosen by a hash of the text), and scores the whole of every
+text. A chosen text is read whole, in a task, which draws a bounded number of its byte runs from all of it
+(`hashed_grams.POOL`) for the driver to learn from. It generalises where the labellers are silent.
+
+Null and empty texts have score 0 and are not kept. Rows that repeat are scored each by itself, and
+their text counts once in training; ids (null or not), sources and further columns, whatever they are
+called, are never inputs and are carried as they are. A score of exactly THRESHOLD is kept. A long
+text is one chunk of its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pulsewright.cluster import discard, materialise, ship
 from pulsewright.llm import hashed_grams as H
 from pulsewright.llm import quality_rules
 from pulsewright.llm import textkit as K
-from pulsewright.llm.rows import pack, sliced, unpack
+from pulsewright.llm.rows import pack, unpack
 
 SAMPLE = 3000
 THRESHOLD = 0.5
@@ -112,11 +113,14 @@ def score(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for good, n in sizes.items():
         pick = pick | ((F.col("good") == good) & (F.col("h") < int((1 << 30) * min(1.0, SAMPLE / 2 / n))))
     chosen = materialise(usable.filter(pick).groupBy("rid").agg(F.first("posterior").alias("posterior")), "weak-sample")
-    sample = sorted((r["rid"], (r["text"] or "").encode(), r["posterior"]) for r in rows.select("rid", sliced(F.col("text")).alias("text")).join(F.broadcast(chosen), "rid").dropDuplicates(["rid"]).collect())
+    # whole texts stay in the tasks; the driver gets features drawn from all of each
+    picked = rows.select("rid", text.alias("text")).join(F.broadcast(chosen), "rid").dropDuplicates(["rid"])
+    drawn = picked.mapInArrow(H.drawn(H.SHAPES, "rid", ["rid", "posterior"]), "rid long, posterior double, n long, pool binary").filter(F.col("n") >= max(H.GRAMS))
+    sample = sorted(drawn.collect(), key=lambda r: r["rid"])
     model = None
     if sample:
-        p = np.array([x[2] for x in sample])
-        model = H.train([x[1] for x in sample], np.stack([1 - p, p], 1), H.SHAPES, ["bad", "good"])
+        p = np.array([r["posterior"] for r in sample])
+        model = H.train(H.pool_of(sample), np.stack([1 - p, p], 1), ["bad", "good"])
     scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), T.StructType([*rows.schema, T.StructField("score", T.DoubleType())]))
     by_text = materialise(known.groupBy("rid").agg(F.max("posterior").alias("posterior")), "weak-posteriors")
     discard(chosen, voted)

@@ -591,8 +591,72 @@ def test_label_model_learns_who_is_right():
     assert weak_quality.label_model({}) == {}
 
 
+def test_votes_posteriors_and_scores_against_plain_loops(spark):
+    """Votes by Python's own measures, posteriors by expectation-maximisation over documents, scores by one mean a text."""
+    rng = random.Random(31)
+    texts = [". ".join(prose(rng, rng.randint(3, 30)) for _ in range(rng.randint(1, 9))) for _ in range(120)]
+    texts += ["\n".join(rng.choice(["same line", "other line", "THE LOUD LINE"]) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    texts += [" ".join(w + rng.choice(["", "##", "&"]) for w in prose(rng, 60).split()) for _ in range(60)] + ["", " \n", None, "x", "ab"]
+    got = weak_quality.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    measured = quality_rules.measures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    digits = {}
+    for r in measured:
+        t = r.text or ""
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+        if not words:
+            continue
+        chars, lines = sum(map(len, words)), [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        inside = {i + k for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        assert r.n_words == len(words) and r.n_lines == len(lines)
+        values = [
+            (len(re.findall(r"[#*$%&|<>]", t)) / len(words), ">", 0.1, 0.02), (len(inside) / len(words), ">", 0.5, 0.1), (r.n_stop_words / len(words), "<", 0.06, 0.12),
+            ((len(lines) - len(set(lines))) / len(lines) if len(lines) >= 4 else None, ">", 0.5, 0.1), (chars / len(words), ">", 6.5, 6.0), (len(re.findall("[A-Z]", t)) / chars, ">", 0.3, 0.1),
+        ]
+        vote = lambda v, sign, bad, good: 0 if v is None else 1 if (v > bad if sign == ">" else v < bad) else 2 if (v < good if sign == ">" else v > good) else 0
+        digits[r.doc_id] = [vote(*x) for x in values]
+    post = {i: min(0.95, max(0.05, 0.5 + 0.2 * (d.count(2) - 1.5 * d.count(1)))) for i, d in digits.items()}
+    for _ in range(100):
+        rates = []
+        for weight in (lambda p: 1 - p, lambda p: p):
+            each = []
+            for k in range(6):
+                n = [0.5 + sum(weight(post[i]) for i, d in digits.items() if d[k] == v) for v in range(3)]
+                each.append([np.log(x / sum(n)) for x in n])
+            rates.append(each)
+        prior = min(0.99, max(0.01, sum(post.values()) / len(post)))
+        z = {i: np.log(prior / (1 - prior)) + sum(rates[1][k][v] - rates[0][k][v] for k, v in enumerate(d)) for i, d in digits.items()}
+        post = {i: 1 / (1 + np.exp(-max(-30.0, min(30.0, x)))) for i, x in z.items()}
+    for r in got:
+        assert abs(r.posterior - post.get(r.doc_id, 0.0)) < 1e-6, r.doc_id
+    rid = {r.doc_id: r.h for r in spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "xxhash64(coalesce(text, '')) as h").collect()}
+    own = {rid[i]: (texts[i].encode(), post[i]) for i in digits if len(texts[i].encode()) >= 4}
+    order = sorted(own)
+    pool = np.concatenate([hashed_grams.pools(np.frombuffer(own[h][0], np.uint8), np.array([0, len(own[h][0])]), np.array([h]).view(np.uint64), hashed_grams.SHAPES) for h in order])
+    p = np.array([own[h][1] for h in order])
+    model = hashed_grams.train(pool, np.stack([1 - p, p], 1), ["bad", "good"])
+    for r in got:
+        b = hashed_grams.SHAPES[np.frombuffer((texts[r.doc_id] or "").encode(), np.uint8)]
+        runs = [int(x) for n in hashed_grams.GRAMS for x in hashed_grams.buckets(b, n)]
+        logit = (model.table[runs].astype(float).mean(0) if runs else 0) + model.bias
+        want = 0.0 if r.doc_id not in digits else 1 / (1 + np.exp(logit[0] - logit[1]))
+        assert abs(r.score - want) < 1e-3 and r.kept == (r.score >= 0.5)
+
+
+def test_training_features_come_from_whole_texts():
+    text = np.frombuffer(b"ab" * 60_000 + b"qz" * 60_000, np.uint8)
+    got = hashed_grams.pools(text, np.array([0, len(text)]), np.array([5], np.uint64), hashed_grams.LETTERS)[0]
+    for g, n in enumerate(hashed_grams.GRAMS):
+        all_of = Counter(hashed_grams.buckets(hashed_grams.LETTERS[text], n).tolist())
+        assert set(got[g].tolist()) <= set(all_of)
+        half = set(hashed_grams.buckets(text[:1000], n).tolist())
+        assert 0.4 < np.mean([x in half for x in got[g].tolist()]) < 0.6
+    assert not hashed_grams.pools(np.frombuffer(b"abc", np.uint8), np.array([0, 3]), np.array([1], np.uint64), hashed_grams.LETTERS).any()
+
+
 def test_training_is_deterministic():
     texts = [b"abc def", b"xyz uvw", b"abc abc", b"xyz xyz"] * 5
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
     y = np.eye(2)[[0, 1, 0, 1] * 5]
-    a, b = (hashed_grams.train(texts, y, hashed_grams.LETTERS, ["a", "x"]) for _ in range(2))
+    a, b = (hashed_grams.train(hashed_grams.pools(data, at, np.arange(20), hashed_grams.LETTERS), y, ["a", "x"]) for _ in range(2))
     assert (a.table == b.table).all()

@@ -41,10 +41,12 @@ def parser() -> argparse.ArgumentParser:
     v = sub.add_parser("vibration")
     v.add_argument("--test", type=int, nargs="+", default=[1, 2, 3])
     v.add_argument("--limit", type=int)
+    v.add_argument("--n-jobs", type=int, help="tasks of the extraction; by default as many as the files give")
     sub.add_parser("health")
     r = sub.add_parser("replay")
     for x in ("--start", "--end", "--out"):
         r.add_argument(x)
+    r.add_argument("--speed", type=float, default=0, help="seconds of the data a second, a day at a time; 0: as fast as can be")
     r.add_argument("--model", choices=STREAMED, help="all of them by default")
     return p
 
@@ -53,8 +55,7 @@ def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = session()
     raw_params = config.load(a.config)
-    section = lambda name: raw_params.get(name, raw_params)
-    own = section("telemetry")
+    own = config.section(raw_params, "telemetry", ("train_split",), a.command in ("features", "models", "backtest", "replay"))
     params = config.Params.from_dict(own) if "train_split" in own else None
     entries = config.load(a.failures) if a.failures else []
     failures = config.failures(entries["failures"] if isinstance(entries, dict) else entries)
@@ -75,22 +76,27 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "backtest":
         scores = S.read_built(spark, at("scores"), "models")
         costs = config.costs(a.costs) if a.costs else None
-        report = None
+        report = points = None
+        amounts = config.amounts(a.costs) if a.costs else None
         for name, threshold in S.read_json(spark, at("models/thresholds.json")).items():
             b = compressor.run_backtest(scores, name, threshold, failures, params, costs)
             report = b.report if report is None else report.unionByName(b.report)
             S.write_report(b.details, at(f"report_{name}"))
+            best = compressor.operating_point(scores, name, failures, params, amounts)
+            points = best if points is None else points.unionByName(best)
         S.write_report(report, at("report"))
+        S.write_report(points, at("report_operating_points"))
         report.show(truncate=False)
     elif a.command == "vibration":
-        rig = section("rig")
+        rig = config.section(raw_params, "rig", ("bearing_geometry", "fault_frequencies_hz"))
         g = rig.get("bearing_geometry")
         freqs = V.defect_frequencies(rig["shaft_speed_rpm"] / 60, g["n_rollers"], g["pitch_diameter_in"], g["roller_diameter_in"], g["contact_angle_deg"]) if g else rig["fault_frequencies_hz"]
         for t in a.test:
             rows = snapshots.with_bearing(snapshots.load(spark, at(f"test{t}"), a.limit), t)
+            rows = rows.repartition(a.n_jobs) if a.n_jobs else rows
             V.SpectralFeatures(rig.get("sampling_frequency_hz", 20480), freqs).add(rows).drop("samples").write.mode("overwrite").parquet(at(f"vibration/test={t}"))
     elif a.command == "health":
-        h = section("health")
+        h = config.section(raw_params, "health", ("hi_features", "known", "limit", "persistence", "baseline_hours"), False)
         cols = h.get("hi_features", ["rms", "kurtosis", "env_bpfo", "env_bpfi", "env_bsf"])
         rows = S.read_built(spark, at("vibration"), "vibration")
         bt = V.bearing_max(rows, list(dict.fromkeys([*cols, "rms", "kurtosis", *[f"env_{f}" for f in V.FAULTS]])))
@@ -112,8 +118,14 @@ def main(argv: list[str] | None = None) -> None:
         rows = S.as_rows(S.replay_slice(clean, a.start, a.end))
         # a folder a batch, so that a batch that runs again replaces its own; what the end leaves open is replaced by a run that goes on
         write = lambda df, batch: df.write.mode("overwrite").json(f"{a.out or at('replay')}/batch={batch}")
-        q = score_stream(rows, T.COMPRESSOR, scorer).writeStream.foreachBatch(write).option("checkpointLocation", at("replay_checkpoint")).trigger(availableNow=True).start()
-        q.awaitTermination()
+        q = score_stream(rows, T.COMPRESSOR, scorer).writeStream.foreachBatch(write).option("checkpointLocation", at("replay_checkpoint"))
+        if a.speed:  # a file is a day of an asset
+            q = q.trigger(processingTime=f"{max(1, round(86_400 / a.speed))} seconds").start()
+            q.processAllAvailable()
+            q.stop()
+        else:
+            q = q.trigger(availableNow=True).start()
+            q.awaitTermination()
         last = spark.read.format("state-metadata").load(at("replay_checkpoint")).selectExpr("max(maxBatchId) AS last").first().last
         if last is not None:
             write(flush_stream(spark, at("replay_checkpoint"), T.COMPRESSOR, scorer), last + 1)

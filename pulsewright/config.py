@@ -60,8 +60,22 @@ def failures(entries: list[dict], bucket_s: int = 60) -> list[tuple]:
     return [(e["id"], bucket_of(e["start"], bucket_s), bucket_of(e["end"], bucket_s), bucket_of(e.get("maintenance"), bucket_s)) for e in entries]
 
 
-def costs(path: str | Path) -> dict[str, float]:
-    """The cost set of a file; amounts stand at its top or in its sections."""
+def amounts(path: str | Path) -> dict[str, float]:
+    """The amounts and hours that a file states, at its top or in its sections."""
     found = load(path)
     tables = [found, *(v for v in found.values() if isinstance(v, dict))]
-    return cost_set({k: float(t[k]) for t in tables for k in AMOUNTS if k in t})
+    return {k: float(t[k]) for t in tables for k in AMOUNTS if k in t}
+
+
+def costs(path: str | Path) -> dict[str, float]:
+    """The cost set of a file."""
+    return cost_set(amounts(path))
+
+
+def section(found: dict, name: str, keys: tuple[str, ...], needed: bool = True) -> dict:
+    """The section of a configuration; a file without one of that name is that section, if it has one of its keys."""
+    if name in found:
+        return found[name]
+    if needed and not any(k in found for k in keys):
+        raise ValueError(f"no section {name}, and none of its keys: {', '.join(keys)}")
+    return found

@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsewright.cluster import materialise
 from pulsewright.config import Params
-from pulsewright.operators import alerts, backtest
+from pulsewright.operators import alerts, audit, backtest, order_stats
 from pulsewright.operators import telemetry as T
 from pulsewright.operators.detectors import ControlLimits, IsolationForest, calibrate
-from pulsewright.operators.economics import cost_set
+from pulsewright.operators.economics import AMOUNTS, cost_set, scenarios
 from pulsewright.operators.lstm import LstmAutoencoder
 from pulsewright.schema import require
 from pulsewright.sources.telemetry import as_rows
@@ -78,6 +79,30 @@ def run_backtest(scores: DataFrame, name: str, threshold: float, failures: Seque
     return Backtest(rows, ev, details, false, backtest.false_by_shift(scores.filter(F.col("t") >= params.train[1]), false), backtest.results_row(name, details, false, months, costs))
 
 
+# The healthy quantiles that a threshold is chosen among.
+QUANTILES = (0.95, 0.97, 0.98, 0.99, 0.993, 0.995, 0.997, 0.998, 0.999, 0.9995, 0.9999)
+
+
+def operating_point(scores: DataFrame, name: str, failures: Sequence[tuple], params: Params, amounts: dict[str, float] | None = None, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+    """One report row: the healthy quantile of a model's smoothed scores whose threshold is worth most, the least of equals.
+
+    Scores are smoothed once, the thresholds are exact quantiles, and all of them are one sweep.
+    """
+    spark = scores.sparkSession
+    smoothed = materialise(alerts.smooth(scores, KEYS, "t", f"score_{name}", params.smoothing, chunk=T.COMPRESSOR.chunk), "smoothed")
+    healthy = smoothed.filter(T.training_slice("t", params.train[0], params.train[1], params.exclude))
+    row = order_stats.quantiles(healthy, [], "smoothed_score", {f"q{i}": q for i, q in enumerate(quantiles)}).first()
+    grid = spark.createDataFrame([(float(row[f"q{i}"]), float(q)) for i, q in enumerate(quantiles) if row[f"q{i}"] is not None], "threshold double, quantile double")
+    cases = scenarios(spark, amounts, [{**AMOUNTS, **(amounts or {})}["parts_delivery_hours"]])
+    windows = backtest.failure_windows(spark, failures, params.anticipation, params.grace)
+    swept = backtest.sweep(smoothed, grid, windows, cases, KEYS, "t", params.persistence, alerts.MAX_GAP, params.train[1], chunk=T.COMPRESSOR.chunk)
+    best = audit.best_row(swept, ["scenario"], "net_value", "quantile")
+    return best.select(
+        F.lit(name).alias("model"), F.col("quantile").alias("best_quantile"), "threshold", "flagged_early", F.round("median_lead_h", 1).alias("median_lead_h"), F.round("false_alerts_per_month", 2).alias("false_alerts_per_month"),
+        F.round("break_even_per_month", 1).alias("break_even_per_month"), F.round("net_value").alias("net_value_usd"),
+    )
+
+
 def score_features(df: DataFrame, models: dict) -> DataFrame:
     """Scores of feature rows; says which columns are missing."""
     need = sorted({f for d in models.values() for f in d.features})

@@ -6,7 +6,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from pulsewright.config import Params
+from pulsewright.operators import alerts
 from pulsewright.plans import compressor
 from pulsewright.schema import SchemaError
 from tests.synth import telemetry
@@ -28,6 +31,13 @@ def test_raw_rows_to_a_report(spark, tmp_path):
     assert b.report.first().detected_by_end == "1 / 1" and b.rows.count() == scores.count()
     with pytest.raises(SchemaError):
         compressor.score_features(feats.drop("duty_cycle_60m"), models)
+    best = compressor.operating_point(scores, "control_limits", failures, params).first()
+    smoothed = alerts.smooth(scores, ["asset"], "t", "score_control_limits", params.smoothing).filter(F.col("t").between(*params.train)).toPandas().smoothed_score
+    priced = {}
+    for q in compressor.QUANTILES:
+        r = compressor.run_backtest(scores, "control_limits", float(np.quantile(smoothed, q)), failures, params).report.first()
+        priced[q] = r.net_value_usd
+    assert best.net_value_usd == max(priced.values()) and best.best_quantile == min(q for q, v in priced.items() if v == max(priced.values()))
     out = compressor.score_raw(spark.createDataFrame(telemetry(hours=3, frozen=None, gap=None)), models)
     assert out.count() == 180
 
@@ -46,6 +56,11 @@ def test_command_line(spark, tmp_path):
     main([*base, "replay", "--model", "control_limits"])
     assert spark.read.option("header", True).csv(str(tmp_path / "report")).count() == 2
     assert spark.read.json(str(tmp_path / "replay")).count() > 1400
+    points = spark.read.option("header", True).csv(str(tmp_path / "report_operating_points")).collect()
+    assert {r.model for r in points} == {"control_limits", "isolation_forest"} and all(float(r.best_quantile) in compressor.QUANTILES and r.net_value_usd for r in points)
+    (tmp_path / "q.json").write_text(json.dumps({"train": {}}))
+    with pytest.raises(ValueError, match="telemetry"):
+        main(["--config", str(tmp_path / "q.json"), "features"])
 
 
 def test_replay_emits_every_minute_with_the_batch_scores_of_each_detector(spark, tmp_path):

@@ -282,11 +282,11 @@ def _score_arrays(model, df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, run(F.struct(*[F.col(f).cast("double").alias(f) for f in model.features])))
 
 
-def calibrate(healthy_scored: DataFrame, keys: Sequence[str], t: str, score: str, window: int = 30, q: float = 0.995, smooth_first: DataFrame | None = None) -> DataFrame:
+def calibrate(healthy_scored: DataFrame, keys: Sequence[str], t: str, score: str, window: int = 30, q: float = 0.995, smooth_first: DataFrame | None = None, chunk: int | None = None) -> DataFrame:
     """One row, threshold: the exact quantile (linear between ranks) of the smoothed scores of the healthy slice.
 
     Smoothing sees the healthy slice alone; pass the whole smoothed series as
     `smooth_first`, already sliced, to smooth before slicing instead.
     """
-    rows = smooth_first if smooth_first is not None else smooth(healthy_scored, keys, t, score, window)
+    rows = smooth_first if smooth_first is not None else smooth(healthy_scored, keys, t, score, window, chunk=chunk)
     return quantiles(rows, [], "smoothed_score", {"threshold": q})

@@ -14,7 +14,7 @@ from pulsewright.operators import telemetry as T
 from pulsewright.operators import vibration as V
 from pulsewright.operators import windows as W
 from pulsewright.operators.chunked import chunk_of, with_run_lookback
-from pulsewright.operators.detectors import ControlLimits, IsolationForest
+from pulsewright.operators.detectors import ControlLimits, IsolationForest, calibrate
 from pulsewright.operators.lstm import LstmAutoencoder
 from pulsewright.plans import bindings as B
 
@@ -648,6 +648,28 @@ def lstm_scores(spark, d):
     return m.score(grid).select("asset", "t", "score")
 
 
+@query
+def module_a(spark, d):
+    """End to end: features once, three detectors trained on the healthy slice and calibrated, all scores, and a back-test report of each."""
+    feats = materialise(B.features(spark, d), "features")
+    healthy = feats.filter(T.training_slice("t", *B.TRAIN, B.EXCLUDE))
+    models = {"control_limits": ControlLimits(_CL), "isolation_forest": IsolationForest(("duty_cycle_w1", "cur_mean_w2", "tmp_std_w2", "load_starts_per_hour")), "lstm_autoencoder": LstmAutoencoder(("a1", "a2", "loaded_frac"), seq_len=6, chunk=B.CHUNK)}
+    scored = feats
+    for name, m in models.items():
+        m.fit(healthy)
+        scored = m.score(scored, f"score_{name}")
+    scored = materialise(T.calendar(scored, F.col("t") * B.HOUR).select("asset", "t", "shift", *[f"score_{n}" for n in models]), "scores")
+    report, last = None, scored.agg(F.max("t")).first()[0]
+    for name, m in models.items():
+        limit = m.threshold if name == "control_limits" else calibrate(scored.filter(T.training_slice("t", *B.TRAIN, B.EXCLUDE)), ["asset"], "t", f"score_{name}", B.SMOOTHING, chunk=B.CHUNK).first().threshold
+        _, ev = alerts.generate(scored, ["asset"], "t", f"score_{name}", limit, B.SMOOTHING, B.PERSISTENCE, B.MAX_GAP, 1.0, B.CHUNK)
+        ev = materialise(ev.filter(F.col("end") >= B.TRAIN[1]), "events")
+        months = max((last - B.TRAIN[1]) / 24 / backtest.DAYS_PER_MONTH, 1e-9)
+        row = backtest.results_row(name, backtest.failure_details(ev, windows(spark), unit_hours=1.0), backtest.false_alerts(ev, windows(spark)), months, economics.cost_set())
+        report = row if report is None else report.unionByName(row)
+    return report
+
+
 @query
 def stream_replay_features(spark, d):
     """The stream's expressions over each asset's rows, with the last minute flushed; equal to feature_table."""

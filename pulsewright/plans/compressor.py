@@ -43,7 +43,7 @@ def train(feats: DataFrame, params: Params, lstm: bool = True) -> dict:
     for d in out.values():
         d.fit(healthy)
         if not isinstance(d, ControlLimits):
-            d.threshold = float(calibrate(d.score(healthy), KEYS, "t", "score", params.smoothing, params.quantile).first().threshold)
+            d.threshold = float(calibrate(d.score(healthy), KEYS, "t", "score", params.smoothing, params.quantile, chunk=T.COMPRESSOR.chunk).first().threshold)
     return out
 
 

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsewright.cluster import materialise
+from pulsewright.cluster import discard, materialise
 from pulsewright.llm import language_id, pfair_mix, setsketch_dedup, token_files, winnow_decontam
 from pulsewright.llm.queries import tokenizer_path
 
@@ -62,5 +62,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
+    out = STAGES[-1][1](spark, docs, sf_dir)  # the token files are written by now
+    discard(docs)
+    return out

@@ -6,7 +6,9 @@ array functions in linear or sorting time, and the table of rules becomes one
 boolean expression over them.
 
 A null or empty text has no words and fails the base rules. Rows are judged one
-by one, so ties, repeated rows, null ids and further columns change nothing.
+by one, so ties, repeated rows, null ids and further columns change nothing; columns that
+are called like a measure are carried as they are. A very long text is judged
+whole, by array functions over its words. An empty table gives an empty result.
 """
 
 from __future__ import annotations

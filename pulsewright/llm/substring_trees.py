@@ -12,13 +12,16 @@ or more exactly if those words are equal.  So each suffix tree is cut there.
    small enough; a window that is too frequent by itself is one single deep node,
    counted before any shuffle (see `repeats`).
 3. *Trees.* A task builds the tree of its group level by level, from sorted names of
-   1, 3, 9, 27 and `window` words. The internal nodes of full depth with leaves in
-   several documents are the maximal repeats; the least document keeps the words, all
-   others lose them.
+   1, 3, 9, 27 and `window` words. Of an internal node of full depth with leaves in
+   several documents the least document keeps the words, all others lose them. (Deeper
+   nodes are not built: a longer repeat is what such nodes cover one after the other. README
+   says why suffixes are not grouped from their first word.)
 
 Copies of whole documents are settled by a hash of all words before step 1.
 Nulls are empty texts, an empty table gives an empty result, and rows that repeat
-an id are settled each by its own text. Words are told by 64-bit hashes.
+an id are settled each by its own text, ties of the least id among them included: all rows of that id keep
+the words. Words are told by 64-bit hashes. A very long text is cut up by its samples and taken in
+pieces. Only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations

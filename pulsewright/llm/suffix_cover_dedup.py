@@ -14,7 +14,7 @@ Copies of whole texts are settled first by a hash of the text: all their bytes
 go. Keys of texts are of 128 bits. All tables are keyed by content, so rows that
 repeat, share an id or have none need no special case. A null text is empty, an
 empty table gives an empty result, ties cannot matter, and matches never cross
-texts. A text of any length is cut up by its samples.
+texts. A text of any length is cut up by its samples. Columns of any other name are carried, not read.
 """
 
 from __future__ import annotations

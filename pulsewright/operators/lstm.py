@@ -90,6 +90,7 @@ class LstmAutoencoder:
     scale: list[float] = field(default_factory=list)
     parts: dict = field(default_factory=dict)
     losses: list[float] = field(default_factory=list)
+    windows: int = 0  # that each round trained on
 
     def _build(self, rng: np.random.Generator) -> None:
         n, h, k = len(self.features), self.hidden, self.latent
@@ -236,7 +237,7 @@ class LstmAutoencoder:
 
         dealt = table.repartition(self.workers, "_group").sortWithinPartitions("_group", *keys, "_chunk", t)
         rows = dealt.mapInPandas(run, "grp int, n long, loss double, flat array<double>, steps long").collect()
-        total = sum(r.n for r in rows)
+        self.windows = total = sum(r.n for r in rows)
         if total:
             self._set(sum(np.array(r.flat) * (r.n / total) for r in sorted(rows, key=lambda r: r.grp)))
             self._step = max(r.steps for r in rows)

@@ -10,7 +10,6 @@ import pandas as pd
 import pytest
 
 from pulsewright.operators import telemetry as T
-from pulsewright.sources.telemetry import as_rows
 from pulsewright.streaming import event_time as E
 from pulsewright.streaming.processor import Scorer, _minutes, _signals, alert_states, replay
 from tests.synth import telemetry
@@ -116,4 +115,3 @@ def test_rows_out_of_order_give_the_batch_result(spark, tmp_path):
             else:
                 np.testing.assert_allclose(mine[c].astype(float), want[c].astype(float), rtol=1e-6, atol=1e-6, err_msg=c)
     assert got[got.asset == 1].t.max() == (one[one.us < one.us.iloc[0] + 3 * 3600 * 10**6].us.max()) // (60 * 10**6)
-    assert as_rows is not None

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -227,7 +227,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by block; a block's first ones name its sources, the others are counts by source."""
     held: list[pa.RecordBatch] = []
     for b in batches:
-        ends = pa.compute.run_end_encode(b.column("block")).run_ends.to_numpy() if b.num_rows else []
+        ends = pc.run_end_encode(b.column("block")).run_ends.to_numpy() if b.num_rows else []
         start = 0
         for end in ends:
             part = b.slice(start, int(end) - start)
@@ -242,11 +242,11 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _block(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = pa.Table.from_batches(held).combine_chunks()
-    heads = rows.filter(pa.compute.is_null(rows.column("term")))
+    heads = rows.filter(pc.is_null(rows.column("term")))
     names = heads.column("source").combine_chunks()
-    counts = rows.filter(pa.compute.is_valid(rows.column("term")))
-    source = pa.compute.index_in(counts.column("source"), names).to_numpy().astype(np.int64)
-    term = pa.compute.dictionary_encode(counts.column("term").combine_chunks()).indices.to_numpy().astype(np.int64)
+    counts = rows.filter(pc.is_valid(rows.column("term")))
+    source = pc.index_in(counts.column("source"), names).to_numpy().astype(np.int64)
+    term = pc.dictionary_encode(counts.column("term").combine_chunks()).indices.to_numpy().astype(np.int64)
     block = Block(heads.column("n").to_numpy(), heads.column("v")[0].as_py(), source, term, counts.column("n").to_numpy())
     lang = rows.column("lang")[0].as_py()
     for s in range(len(names) - 1):

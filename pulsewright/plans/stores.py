@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from pulsewright.cluster import new_path, ship
+from pulsewright.cluster import new_path, shuffle_partitions, ship
 from pulsewright.operators import telemetry as T
 from pulsewright.operators import vibration as V
 from pulsewright.operators.detectors import ControlLimits
@@ -19,9 +21,12 @@ from pulsewright.schema import ANALOG
 from pulsewright.sources import registry, snapshots
 from pulsewright.sources import telemetry as S
 from pulsewright.streaming import event_time, processor
+from pulsewright.streaming.rounds import Rounds
 
 #: Delay of the event-time stream's watermark.
 DELAY_S = 6 * 3600
+#: Tasks of a stream's state at most: every micro-batch starts them all, and there are eight assets.
+STATE_TASKS = 16
 
 
 def _compressor_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -110,19 +115,18 @@ def report_csv(spark, d):
     return x.select(number("threshold"), "scenario", big("flagged_early"), big("detected"), number("median_lead_h"), big("false_alerts"), number("false_alerts_per_month"), number("net_value"), number("break_even_per_month"))
 
 
-def _stream(spark: SparkSession, d: str) -> DataFrame:
-    """The events table as a stream of telemetry rows."""
-    schema = B.table(spark, d, "events").schema
-    return B.as_telemetry(spark.readStream.schema(schema).parquet(f"{d}/events.parquet*"))  # a pattern: a file by itself is no streaming source
-
-
-def _collected(stream: DataFrame, tag: str) -> tuple[str, str, object]:
-    """(JSON lines, checkpoint, query) of a stream that has run through its input."""
-    spark = stream.sparkSession
+def _collected(spark: SparkSession, d: str, score: Callable[[DataFrame], DataFrame], tag: str) -> tuple[str, str, StreamingQuery]:
+    """(JSON lines, checkpoint, query) of `score` over the events table as a stream of telemetry rows, run through all of it."""
+    rounds = Rounds(B.telemetry(spark, d), ["us", "tie"])
     out, state = new_path(spark, tag), new_path(spark, f"{tag}-state")
     write = lambda df, batch: df.write.mode("overwrite").json(f"{out}/batch={batch}")
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
-    q.awaitTermination()
+    tasks = shuffle_partitions(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", min(tasks, STATE_TASKS))  # the query takes it over when it starts
+    try:
+        q = score(rounds.stream).writeStream.foreachBatch(write).option("checkpointLocation", state).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    rounds.feed(q)
     return out, state, q
 
 
@@ -135,7 +139,7 @@ def _records(df: DataFrame) -> DataFrame:
 @query
 def stream_scores(spark, d):
     """The stateful stream over all rows, written as JSON lines, with the minutes that its end leaves open."""
-    out, state, _ = _collected(processor.score_stream(_stream(spark, d), B.CHANNELS), "stream")
+    out, state, _ = _collected(spark, d, lambda rows: processor.score_stream(rows, B.CHANNELS), "stream")
     closed = spark.read.schema(processor.SCORED).json(out).select("asset", "record")
     return _records(closed.unionByName(processor.flush_stream(spark, state, B.CHANNELS).select("asset", "record")))
 
@@ -146,7 +150,7 @@ def stream_event_time(spark, d):
     was = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     event_time.use_event_time(spark)
     try:
-        out, _, _ = _collected(event_time.score_events(_stream(spark, d), B.CHANNELS, delay=f"{DELAY_S} seconds", silence=90 * 86_400), "by-event-time")
+        out, _, _ = _collected(spark, d, lambda rows: event_time.score_events(rows, B.CHANNELS, delay=f"{DELAY_S} seconds", silence=90 * 86_400), "by-event-time")
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", was) if was else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     return _records(spark.read.schema(processor.SCORED).json(out))

@@ -10,6 +10,8 @@ What a minute costs does not depend on how long the windows are. Each window kee
 minutes and where its oldest one stands; a new minute adds its row and takes off those that
 have left, which are read from pages of PAGE minutes, so each window touches a page now and then. Extremes
 are monotone queues, the smoothing median is a sorted list. Rounding apart, the results are the batch plan's.
+
+A task holds a minute's rows, or some ROWS of an asset, however many a micro-batch has or a timer closes.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pulsewright.cluster import ship
 from pulsewright.operators.telemetry import MICROS, Channels
-from pulsewright.streaming.processor import SCORED, Scorer, _frame, _minutes, _signals
+from pulsewright.streaming.processor import SCORED, Scorer, _frame, _minutes, _signals, pieces
 
 PAGE = 64
 
@@ -193,16 +195,17 @@ class MinuteProcessor(StatefulProcessor):
         return json.loads(self.own.get()[0]) if self.own.exists() else {"signals": {}, "windows": {}, "alerts": {}, "last": 0}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows))[["us", "tie", *self.c.analogs, "comp", "lps"]]
         carry, last = self._carry(), 0
-        for t, part in pdf.groupby(pdf["us"] // (self.c.bucket_s * MICROS)):
-            k = (int(t),)
-            if self.open.containsKey(k):
-                part = pd.concat([_unpack(self.open.getValue(k)[0]), part], ignore_index=True)
-            else:
-                self.handle.registerTimer((int(t) + 1) * self.bucket_ms)
-            self.open.updateValue(k, (_pack(part),))
-            last = max(last, (int(t) + 1) * self.bucket_ms)
+        for pdf in pieces(rows):
+            pdf = pdf[["us", "tie", *self.c.analogs, "comp", "lps"]]
+            for t, part in pdf.groupby(pdf["us"] // (self.c.bucket_s * MICROS)):
+                k = (int(t),)
+                if self.open.containsKey(k):
+                    part = pd.concat([_unpack(self.open.getValue(k)[0]), part], ignore_index=True)
+                else:
+                    self.handle.registerTimer((int(t) + 1) * self.bucket_ms)
+                self.open.updateValue(k, (_pack(part),))
+                last = max(last, (int(t) + 1) * self.bucket_ms)
         if last > carry["last"]:
             carry["last"] = last
             self.handle.registerTimer(last + self.silence)
@@ -213,18 +216,22 @@ class MinuteProcessor(StatefulProcessor):
         now, carry = timerValues.getCurrentWatermarkInMs(), self._carry()
         ready = sorted(k[0] for k in self.open.keys() if (k[0] + 1) * self.bucket_ms <= now)
         if ready:
-            rows = pd.concat([_unpack(self.open.getValue((t,))[0]) for t in ready]).sort_values(["us", "tie"], kind="stable", ignore_index=True)
-            for t in ready:
-                self.open.removeKey((t,))
-            out = self._closed(rows, carry)
+            for rows in pieces(self._taken(t) for t in ready):
+                out = self._closed(rows.sort_values(["us", "tie"], kind="stable", ignore_index=True), carry)
+                if len(out):
+                    yield _frame(key[0], out)
             self.own.update((json.dumps(carry),))
-            if len(out):
-                yield _frame(key[0], out)
         elif carry["last"] + self.silence <= now and not any(True for _ in self.open.keys()):
             self.own.clear()
             self.pages.clear()
         yield pd.DataFrame()
 
+    def _taken(self, t: int) -> pd.DataFrame:
+        """The rows of a minute, which leave the state."""
+        rows = _unpack(self.open.getValue((t,))[0])
+        self.open.removeKey((t,))
+        return rows
+
     def _closed(self, rows: pd.DataFrame, carry: dict) -> pd.DataFrame:
         """Features, scores and alert states of the minutes of rows, which are whole and in order."""
         c = self.c

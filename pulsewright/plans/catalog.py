@@ -17,6 +17,7 @@ from pulsewright.operators.chunked import chunk_of, with_run_lookback
 from pulsewright.operators.detectors import ControlLimits, IsolationForest, calibrate
 from pulsewright.operators.lstm import LstmAutoencoder
 from pulsewright.plans import bindings as B
+from pulsewright.streaming.processor import replay_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -673,22 +674,5 @@ def module_a(spark, d):
 @query
 def stream_replay_features(spark, d):
     """The stream's expressions over each asset's rows, with the last minute flushed; equal to feature_table."""
-    import pandas as pd
-    from pyspark.sql import types as ST
-
-    from pulsewright.cluster import ship
-    from pulsewright.streaming.processor import replay
-
-    ship(spark)
-    cols = [c for c in B.features(spark, d).columns if c not in ("asset", "t")]
-    schema = ST.StructType([ST.StructField("asset", ST.LongType()), ST.StructField("t", ST.LongType()), *[ST.StructField(c, ST.DoubleType()) for c in cols]])
-    channels = B.CHANNELS
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = replay(pdf.sort_values(["us", "tie"], ignore_index=True), channels)
-        return out.assign(asset=int(key[0])).reindex(columns=["asset", "t", *cols])
-
-    out = B.telemetry(spark, d).groupBy("asset").applyInPandas(one, schema)
-    return out.select("asset", "t", *[r6(c) for c in cols])
-
-
+    out = replay_table(B.telemetry(spark, d), B.CHANNELS)
+    return out.select("asset", "t", *[r6(c) for c in T.features_of(B.CHANNELS)])
